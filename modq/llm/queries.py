@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modq.llm import mixing, near_dedup, packing, substring_dedup, token_counts
+from modq.llm import media, mixing, near_dedup, packing, quality, secret_scan, substring_dedup, token_counts
 from modq.session import prepare, table
 
 
@@ -16,6 +16,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -28,15 +32,29 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner: the source; repository: the source's documents of a language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("owner"), F.concat_ws("/", "source", "lang").alias("repository"))
+    return secret_scan.with_digests(secret_scan.secrets(docs))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_media": op6_media,
+    "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
 }
 

@@ -1,36 +1,57 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: five stages over documents, each written before the next one reads it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modq.llm import mixing, near_dedup, packing
-from modq.session import table, written
+from modq.llm import line_dedup, mixing, near_dedup, packing, rules
+from modq.session import prepare, table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base conditions and the learned rules keep."""
+    return rules.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+
+
+def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each component stays in the texts; n_chars follows. Documents stay, if only as an empty text."""
+    done = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast("long"))
+    return done.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates stays; so do documents without words."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as their source's target takes them."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with their ids."""
+    """Pieces of sequences along the curve, with their ids."""
     return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_duplicates), ("mixing", mix), ("packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_duplicates),
+    ("near_dedup", near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-#: The tokens of the last stage are beyond SQL.
+#: Learned rules, MinHash bands and token ids are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modq.session import written
 
-#: Rounds that compare each list with one of its members before the rest is compared pair by pair.
-PIVOT_ROUNDS = 3
-
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) for every node of edges a, b.
@@ -48,50 +45,47 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], may: Callable[[str, str], Column] | None = None, carried: tuple[str, ...] = (), rounds: int = PIVOT_ROUNDS) -> DataFrame:
-    """Components of all nodes that share a list and that verify() links: node, component.
+def prefix_postings(items: DataFrame, threshold: int) -> DataFrame:
+    """value, node, n: the lists that every pair of 100 * |A & B| >= threshold * |A | B| shares; items: node, value, whole sets.
+
+    Both sets of such a pair have at least ceil(threshold * n / 100) values in common, so with all values in
+    one order, each must find a common one among its first n - ceil(threshold * n / 100) + 1. The
+    order is by rarity: what only one node has is in no list.
+    """
+    shared = items.groupBy("value").agg(F.count("*").alias("nodes"))
+    by = Window.partitionBy("node")
+    ranked = items.join(shared, "value").withColumn("rank", F.row_number().over(by.orderBy("nodes", "value"))).withColumn("n", F.count("*").over(by))
+    room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    return ranked.where((F.col("rank") <= room) & (F.col("nodes") > 1)).select("value", "node", "n")
+
+
+def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+    """node, component for nodes that share a list (others are linked with nothing).
 
-    postings: value, node and the carried columns. Nodes that share no value aren't linked.
-    verify: pairs a, b to those of them that are links. may(x, y): a cheap condition over the carried
-    columns with suffixes x and y, that every link meets.
+    postings: value, node, n (set size), rank (lower: likelier to be in the middle of its near copies).
+    verify: pairs a, b to those of them that are links. whole_sets: nodes to node, value rows.
 
-    Comparing all of a list of n nodes would take n * n / 2 pairs. Instead, each round compares a
-    list's nodes with one pivot, another in each round, and only while the list spans
-    several components: a group of near copies is soon one component, at n pairs a
-    round. What is left is compared pair by pair, so that no link between components is
-    missed; pairs within one component can't change it.
+    Comparing all of a list of n nodes would take n * n / 2 pairs. So each list first compares its nodes
+    with one, the lowest by rank: of a group of near copies most join it there. Lists that still span
+    several components are left: their nodes' whole sets go through prefix_postings(), which drops all
+    that is too far from everything, and what then shares a list in different components is compared pair by
+    pair. No link between components is missed; pairs within one can't change it.
     """
-    carry = [*carried]
-    known = None  # node, component so far
-    edges = None
-    tested = None
-    for r in range(rounds + 1):
-        at = postings if known is None else postings.join(known, "node", "left")
-        at = at.withColumn("component", F.coalesce("component", "node") if known is not None else F.col("node"))
-        by = Window.partitionBy("value")
-        if r < rounds:
-            order = F.struct(F.xxhash64(F.lit(r), "node"), "node", *carry) if r else F.struct(F.lit(0).cast("long"), "node", *carry)
-            pivots = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(order.alias("o"), F.col("component").alias("c"))).alias("p")).where("low <> high")
-            pivots = pivots.select("value", F.col("p.o.node").alias("pivot"), F.col("p.c").alias("pivot_component"), *[F.col(f"p.o.{c}").alias(f"{c}_p") for c in carry])
-            pairs = at.select("value", "node", "component", *[F.col(c).alias(f"{c}_n") for c in carry]).join(pivots, "value").where("component <> pivot_component")
-            if may is not None:
-                pairs = pairs.where(may("_n", "_p"))
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        else:
-            spread = at.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).where("low <> high").drop("low", "high")
-            spread = written(spread, "spread")
-            one = spread.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"{c}_n") for c in carry])
-            two = spread.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"{c}_p") for c in carry])
-            on = (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-            if may is not None:
-                on = on & may("_n", "_p")
-            pairs = one.join(two, on).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = written(verify(pairs), "links")
-        if known is None or not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            known = written(components(edges), "components")
-    return known
+    pivots = postings.groupBy("value").agg(F.min(F.struct("rank", "node", "n")).alias("p"), F.count("*").alias("nodes")).where("nodes > 1")
+    pivots = pivots.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold
+    pairs = postings.join(pivots, "value").where((F.col("node") != F.col("pivot")) & sizes("n", "n_pivot"))
+    pairs = written(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+    edges = written(verify(pairs), "links")
+    known = components(edges)
+    at = postings.select("value", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
+    left = written(at.join(open_, "value", "left_semi").select("node", "component").distinct(), "spread")
+    finer = prefix_postings(whole_sets(left.select("node")), threshold)
+    finer = written(finer.join(left, "node"), "finer")
+    one = finer.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    two = finer.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes("na", "nb"))
+    more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = written(verify(more), "links")
+    return written(components(edges.union(found)), "components") if not found.isEmpty() else written(known, "components")

@@ -20,6 +20,21 @@ SKETCH, LOOKUPS = 32, 17
 SLACK = 0.35
 
 
+def set_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending, of 63 bits, so that the order of signed longs is theirs."""
+    w = Words(data, offs)
+    word = w.hashes()
+    hashes, at = w.windows(word, words)
+    hashes >>= np.uint64(1)
+    bounds = np.searchsorted(at, w.first)
+    for d, n in enumerate(w.counts()):
+        if 0 < n < words:
+            short, _ = Words(data[offs[d] : offs[d + 1]], np.array([0, offs[d + 1] - offs[d]])).windows(word[w.first[d] : w.first[d + 1]], int(n))
+            yield np.unique(short >> np.uint64(1))
+        else:
+            yield np.unique(hashes[bounds[d] : bounds[d + 1]])
+
+
 def shingle_sets(docs: DataFrame, words: int, lower: bool) -> DataFrame:
     """doc_id, n_shingles, digest (of the whole set), sketch (its SKETCH smallest hashes), one per row of docs."""
     schema = "doc_id long, n_shingles long, digest binary, sketch array<long>"
@@ -27,18 +42,8 @@ def shingle_sets(docs: DataFrame, words: int, lower: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offs in slices(batch, "text"):
-                w = Words(LOWER[data] if lower else data, offs)
-                word = w.hashes()
-                hashes, at = w.windows(word, words)
-                hashes >>= np.uint64(1)  # so that the order of signed longs is theirs
-                bounds = np.searchsorted(at, w.first)
                 sizes, digests, sketches = [], [], []
-                for d, n in enumerate(w.counts()):
-                    if 0 < n < words:
-                        short, _ = Words(w.data[offs[d] : offs[d + 1]], np.array([0, offs[d + 1] - offs[d]])).windows(word[w.first[d] : w.first[d + 1]], int(n))
-                        values = np.unique(short >> np.uint64(1))
-                    else:
-                        values = np.unique(hashes[bounds[d] : bounds[d + 1]])
+                for values in set_hashes(LOWER[data] if lower else data, offs, words):
                     sizes.append(values.size)
                     digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                     sketches.append(values[:SKETCH])
@@ -91,8 +96,17 @@ def verifier(heads: DataFrame, texts: DataFrame, words: int, threshold: int, low
     return verify
 
 
-def sizes_allow(threshold: int):
-    return lambda x, y: F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * threshold
+def hashed_sets(texts: DataFrame, words: int, lower: bool) -> DataFrame:
+    """node, value: the hashed shingles of each text, each once."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offs in slices(batch, "text"):
+                for d, values in enumerate(set_hashes(LOWER[data] if lower else data, offs, words)):
+                    node = batch.column("node").take(pa.array(np.full(values.size, first + d)))
+                    yield pa.RecordBatch.from_arrays([node, pa.array(values.view(np.int64))], names=["node", "value"])
+
+    return texts.select("node", "text").mapInArrow(scan, "node long, value long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower: bool = True) -> DataFrame:
@@ -121,14 +135,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower:
     heads = written(heads.select("node", "n", "sketch"), "heads")
     retained = heads.select("node", "n", F.explode("sketch").alias("value"))
     shared = retained.groupBy("value").agg(F.count("*").alias("classes"))
-    ranked = retained.join(shared, "value").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("classes", "value")))
+    ranked = retained.join(shared, "value").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("classes", "value")))
     room = F.when(F.col("n") > SKETCH, F.lit(LOOKUPS)).otherwise(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
-    looked = ranked.where((F.col("rank") <= room) & (F.col("classes") > 1))
-    postings = written(looked.select("value", "node", "n"), "postings")
+    # a text in the middle of its near copies has few values of its own and many that the others have
+    ranked = ranked.withColumn("rank", -F.sum("classes").over(Window.partitionBy("node")))
+    looked = ranked.where((F.col("place") <= room) & (F.col("classes") > 1))
+    postings = written(looked.select("value", "node", "n", "rank"), "postings")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").join(postings.select("node").distinct(), "node", "left_semi")
     texts = written(texts.dropDuplicates(["node"]), "candidates")
     near = written(heads.join(postings.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "sketches")
-    linked = link(postings, verifier(near, texts, words, threshold, lower), sizes_allow(threshold), ("n",))
+
+
+    def whole_sets(nodes: DataFrame) -> DataFrame:
+        return hashed_sets(texts.join(nodes, "node", "left_semi"), words, lower)
+
+    linked = link(postings, verifier(near, texts, words, threshold, lower), whole_sets, threshold)
     rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     heads_of = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("class_component"))
     out = rows.join(heads_of, "digest", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modq.session import written
@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def prefix_postings(items: DataFrame, threshold: int) -> DataFrame:
-    """value, node, n: the lists that every pair of 100 * |A & B| >= threshold * |A | B| shares; items: node, value, whole sets.
+    """value, node, n, place: the lists that every pair of 100 * |A & B| >= threshold * |A | B| shares; items: node, value, whole sets.
 
     Both sets of such a pair have at least ceil(threshold * n / 100) values in common, so with all values in
     one order, each must find a common one among its first n - ceil(threshold * n / 100) + 1. The
@@ -54,9 +54,16 @@ def prefix_postings(items: DataFrame, threshold: int) -> DataFrame:
     """
     shared = items.groupBy("value").agg(F.count("*").alias("nodes"))
     by = Window.partitionBy("node")
-    ranked = items.join(shared, "value").withColumn("rank", F.row_number().over(by.orderBy("nodes", "value"))).withColumn("n", F.count("*").over(by))
+    ranked = items.join(shared, "value").withColumn("place", F.row_number().over(by.orderBy("nodes", "value"))).withColumn("n", F.count("*").over(by))
     room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    return ranked.where((F.col("rank") <= room) & (F.col("nodes") > 1)).select("value", "node", "n")
+    return ranked.where((F.col("place") <= room) & (F.col("nodes") > 1)).select("value", "node", "n", "place")
+
+
+def may_overlap(threshold: int) -> Column:
+    """Whether a value at places pa and pb of sets of na and nb values can be the first of enough common ones:
+    no more than 1 + min(na - pa, nb - pb) can be, and threshold / (100 + threshold) * (na + nb) must. The
+    first common value of every link meets it (Xiao et al., WWW 2008)."""
+    return (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold
 
 
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
@@ -68,8 +75,8 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     Comparing all of a list of n nodes would take n * n / 2 pairs. So each list first compares its nodes
     with one, the lowest by rank: of a group of near copies most join it there. Lists that still span
     several components are left: their nodes' whole sets go through prefix_postings(), which drops all
-    that is too far from everything, and what then shares a list in different components is compared pair by
-    pair. No link between components is missed; pairs within one can't change it.
+    that is too far from everything, and what then shares a list in different components, at places that leave room for a
+    link, is compared pair by pair. No link between components is missed; pairs within one can't change it.
     """
     pivots = postings.groupBy("value").agg(F.min(F.struct("rank", "node", "n")).alias("p"), F.count("*").alias("nodes")).where("nodes > 1")
     pivots = pivots.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"))
@@ -79,13 +86,14 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     edges = written(verify(pairs), "links")
     known = components(edges)
     at = postings.select("value", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
+    # the only pair of a list of two has been compared
+    open_ = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high and nodes > 2").select("value")
     left = written(at.join(open_, "value", "left_semi").select("node", "component").distinct(), "spread")
     finer = prefix_postings(whole_sets(left.select("node")), threshold)
     finer = written(finer.join(left, "node"), "finer")
-    one = finer.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = finer.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes("na", "nb"))
+    one = finer.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    two = finer.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_overlap(threshold))
     more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = written(verify(more), "links")
     return written(components(edges.union(found)), "components") if not found.isEmpty() else written(known, "components")

@@ -1,6 +1,488 @@
-"""The library's own queries and their SQL; the llm subpackage keeps its own."""
+"""The library's queries over the given tables, and their SQL; the llm subpackage keeps its own."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from modq.functions import text as T
+from modq.operators import chat, evaluate, moderate, store, streams, train
+from modq.plans import inputs
+from modq.plans.inputs import KEYWORDS_SQL, SAMPLES_SQL
+from modq.session import fresh_path, prepare, table, written
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+MAX_TERMS, TRAIN = 200, 400
+TEMPLATE = "Judge this text: {{text}}"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def on_documents(name: str, value, sql: str | None) -> None:
+    """A scalar function over the whole texts of documents."""
+    query(name, None if sql is None else f"SELECT doc_id, {sql} AS value FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", value(F.col("text")).alias("value")))
+
+
+SPACE = r"'\s+'"
+on_documents("a1_clean_newlines", T.clean_newlines, "translate(text, chr(13) || chr(10), '  ')")
+on_documents("a2_normalize_spaces", T.normalize_spaces, f"regexp_replace(text, {SPACE}, ' ', 'g')")
+on_documents("a3_lower", F.lower, "lower(text)")
+on_documents("a3_ascii_lower", T.ascii_lower, f"translate(text, '{T.UPPER}', '{T.LOWER}')")
+on_documents("a4_ws_tokens", lambda t: F.array_join(T.ws_tokens(t), "|"), f"array_to_string(list_filter(regexp_split_to_array(lower(text), {SPACE}), lambda x: x <> ''), '|')")
+on_documents("a5_char_ngrams", lambda t: F.size(F.array_distinct(T.char_ngrams(t, 2, 4))).cast("long"), "(SELECT len(list_distinct(list_concat([c[i] || c[i + 1] FOR i IN range(1, len(c))], [c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)], [c[i] || c[i + 1] || c[i + 2] || c[i + 3] FOR i IN range(1, len(c) - 2)]))) FROM (SELECT string_split(text, '') AS c))")
+on_documents("a6_word_ngrams", lambda t: F.array_join(T.word_ngrams(t, 1, 2), "|"), f"(SELECT array_to_string(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), '|') FROM (SELECT list_filter(regexp_split_to_array(text, {SPACE}), lambda x: x <> '') AS w))")
+on_documents("a10_text_hash", T.text_hash, "md5(text)")
+on_documents("a11_truncate_middle", lambda t: T.truncate_middle(t, 300), "CASE WHEN length(text) > 300 THEN left(text, 200) || chr(10) || '...[中间省略]...' || chr(10) || right(text, 100) ELSE text END")
+on_documents("a12_render_prompt", lambda t: T.render_prompt(F.lit(TEMPLATE), t), "replace('Judge this text: {{text}}', '{{text}}', replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'))")
+on_documents("a13_estimate_tokens", T.estimate_tokens, r"(SELECT CASE WHEN t = '' THEN NULL ELSE greatest(1, ceil(0.28::DOUBLE * (length(t) - s) + 1.4::DOUBLE * 0 + 0.15::DOUBLE * s + 4.0::DOUBLE))::BIGINT END FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t)))")
+
+
+@query("a7_hash_bucket")
+def _(spark, d):
+    grams = table(spark, d, "documents").select(F.explode(T.ws_tokens(F.col("text"))).alias("gram")).distinct()
+    return grams.select("gram", T.hash_bucket(F.col("gram"), 1 << 20).alias("b")).select("gram", "b.bucket", "b.sign")
+
+
+@query("a8_l2_normalize", r"""
+WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL)
+SELECT doc_id, term, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
+def _(spark, d):
+    c = table(spark, d, "documents").select("doc_id", F.explode(T.ws_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").count()
+    lengths = c.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("length"))
+    return c.join(lengths, "doc_id").select("doc_id", "term", F.round(F.col("count") / F.col("length"), 6).alias("value"))
+
+
+on_documents("a9_sigmoid", lambda t: F.round(T.sigmoid((F.length(t) - 1500) / 100.0), 9), "round(CASE WHEN length(text) >= 1500 THEN 1 / (1 + exp(-((length(text) - 1500) / 100.0::DOUBLE))) ELSE exp((length(text) - 1500) / 100.0::DOUBLE) / (1 + exp((length(text) - 1500) / 100.0::DOUBLE)) END, 9)")
+
+
+@query("a14_category_class", f"WITH {SAMPLES_SQL} SELECT id, CASE WHEN category IS NULL THEN 'missing' WHEN lower(trim(category)) = 'unknown' THEN 'unknown' ELSE 'other' END AS value FROM samples")
+def _(spark, d):
+    return inputs.samples(spark, d).select("id", T.category_class(F.col("category")).alias("value"))
+
+
+@query("a15_parse_created_at", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS value FROM events")
+def _(spark, d):
+    raw = F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, F.lit("Z")).otherwise(F.lit(" ")))
+    return table(spark, d, "events").select("event_id", F.date_format(T.parse_created_at(raw), "yyyy-MM-dd HH:mm:ss").alias("value"))
+
+
+VERDICTS = """verdicts AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no json here ' || source
+    ELSE 'Sure: {"violation": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || ', "category": "' || source || '", "confidence": 0.5} done' END AS content,
+    source, toxic FROM documents JOIN labels USING (doc_id))"""
+
+
+@query("a16_parse_verdict", f"""WITH {VERDICTS} SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN toxic = 1 END AS violation, CASE WHEN doc_id % 3 <> 0 THEN source END AS category,
+  CASE WHEN doc_id % 3 <> 0 THEN 0.5::DOUBLE END AS confidence, doc_id % 3 = 0 AS failed FROM verdicts""")
+def _(spark, d):
+    v = _verdicts(spark, d).withColumn("v", T.parse_verdict(F.col("content")))
+    return v.select("doc_id", "v.violation", "v.category", "v.confidence", F.col("v.parse_error").isNotNull().alias("failed"))
+
+
+def _verdicts(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    body = F.concat(F.lit('Sure: {"violation": '), F.when(F.col("toxic") == 1, "true").otherwise("false"), F.lit(', "category": "'), "source", F.lit('", "confidence": 0.5} done'))
+    return rows.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("no json here "), "source")).otherwise(body))
+
+
+@query("a17_content_text", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE coalesce(text, '') || chr(10) || role END AS value FROM conversations")
+def _(spark, d):
+    c = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    parts = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("role").alias("text"))))
+    one = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    return c.select("conv_id", "turn", T.content_text(F.parse_json(F.when(F.col("turn") % 2 == 0, one).otherwise(parts))).alias("value"))
+
+
+# B. sources and sinks
+
+
+@query("b1_read_samples", f"WITH {SAMPLES_SQL} SELECT profile, id, label, category, text_hash FROM samples")
+def _(spark, d):
+    from modq.sources import tables
+
+    path = fresh_path(spark, "samples")
+    tables.write_samples(inputs.samples(spark, d), path)
+    return tables.read_samples(spark, path).select("profile", "id", "label", "category", "text_hash")
+
+
+@query("b2_append_samples", f"WITH {SAMPLES_SQL} SELECT profile, (SELECT max(id) FROM samples s WHERE s.profile = t.profile) + row_number() OVER (PARTITION BY profile) AS id FROM samples t")
+def _(spark, d):
+    s = inputs.samples(spark, d)
+    return store.append_samples(s.select("profile", "text", "label", "category"), s).select("profile", "id")
+
+
+@query("b3_read_keywords", "SELECT doc_id, i - 1 AS pos, trim(lines[i]) AS original FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(lines[i]) <> '' AND NOT starts_with(trim(lines[i]), '#')")
+def _(spark, d):
+    from modq.sources import tables
+
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    kept = tables.keywords_of(lines.select("line", F.struct("doc_id", "pos").alias("pos")))
+    return kept.select("pos.doc_id", F.col("pos.pos").cast("long").alias("pos"), "original")
+
+
+@query("b4_read_requests", "SELECT conv_id::VARCHAR AS request_id, true AS readable FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    from modq.sources import tables
+
+    path = fresh_path(spark, "requests")
+    inputs.requests(spark, d, "openai_chat").select("request_id", "profile", "path", "headers", "body").write.json(path)
+    return tables.read_requests(spark, path).select("request_id", "readable")
+
+
+# C. sample store
+
+query("c1_sample_counts", f"WITH {SAMPLES_SQL} SELECT profile, count(*) AS total, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label <> 0) AS label_1, max(id) + 1 AS next_id FROM samples GROUP BY profile")(lambda s, d: store.sample_counts(inputs.samples(s, d)))
+query("c2_latest_by_text", f"WITH {SAMPLES_SQL} SELECT profile, text_hash, max(id) AS id FROM samples GROUP BY profile, text_hash")(lambda s, d: store.latest_by_text(inputs.samples(s, d)).select("profile", "text_hash", "id"))
+
+
+@query("c3_import_legacy", "SELECT doc_id AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS label, CASE WHEN doc_id % 6 = 0 THEN '1970-01-01 00:00:00' ELSE '2024-05-06 07:08:09' END AS created_at, md5(coalesce(text, '')) AS text_hash FROM documents")
+def _(spark, d):
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 4).alias("label"), F.col("source").alias("category"), F.when(F.col("doc_id") % 6 != 0, "2024-05-06 07:08:09").alias("created_at"))
+    return store.import_legacy(old, "p")[0].select("id", "text", "label", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "text_hash")
+
+
+@query("c4_meta_drift", f"""WITH {SAMPLES_SQL}, p AS (SELECT profile, 'text_latest:' || text_hash AS name, max(id) AS value FROM samples GROUP BY ALL)
+SELECT profile, name, value + 1 AS stored, value AS rebuilt FROM p WHERE value % 10 = 0""")
+def _(spark, d):
+    s = inputs.samples(spark, d)
+    stored = store.rebuild_meta(s).withColumn("value", F.when(F.col("name").startswith("text_latest") & (F.col("value") % 10 == 0), F.col("value") + 1).otherwise(F.col("value")))
+    return store.meta_drift(s, stored)
+
+
+@query("c5_lookup_by_text", f"WITH {SAMPLES_SQL}, n AS (SELECT profile, text, max(id) AS hit_id, arg_max(label, id) AS hit_label FROM samples GROUP BY ALL) SELECT d.doc_id AS id, n.hit_id, n.hit_label FROM documents d LEFT JOIN n ON d.lang = n.profile AND d.text = n.text")
+def _(spark, d):
+    return store.lookup_by_text(inputs.texts(spark, d), inputs.samples(spark, d)).select("id", "hit_id", "hit_label")
+
+
+@query("c6_lookup_by_id", f"WITH {SAMPLES_SQL} SELECT profile, id, label FROM samples SEMI JOIN (SELECT lang AS profile, doc_id AS id FROM documents) USING (profile, id)")
+def _(spark, d):
+    return store.lookup_by_id(inputs.texts(spark, d).select("profile", "id"), inputs.samples(spark, d)).select("profile", "id", "label")
+
+
+def _ids(rows):
+    return rows.select("id", "label")
+
+
+RANDOM = "ORDER BY md5('42:' || id), id"
+EACH = f"r AS (SELECT *, row_number() OVER (PARTITION BY label {RANDOM}) AS k, row_number() OVER (PARTITION BY label ORDER BY id DESC) AS newest, count(*) OVER (PARTITION BY label) AS n FROM samples), m AS (SELECT min(n) AS least, max(n) AS most, count(DISTINCT label) AS labels FROM r)"
+query("c7_latest_samples", f"WITH {SAMPLES_SQL} SELECT id, label FROM samples ORDER BY id DESC LIMIT 100")(lambda s, d: _ids(store.latest_samples(inputs.samples(s, d), 100)))
+query("c8_random_samples", f"WITH {SAMPLES_SQL} SELECT id, label FROM samples {RANDOM} LIMIT 100")(lambda s, d: _ids(store.random_samples(inputs.samples(s, d), 100)))
+query("c9_balanced_undersample", f"WITH {SAMPLES_SQL}, {EACH} SELECT id, label FROM r, m WHERE labels = 2 AND k <= least(least, 200)")(lambda s, d: _ids(store.balanced_undersample(inputs.samples(s, d), 400)))
+query("c10_balanced_latest", f"WITH {SAMPLES_SQL}, {EACH} SELECT id, label FROM r WHERE newest <= 100")(lambda s, d: _ids(store.balanced_latest(inputs.samples(s, d), 200)))
+query("c11_balanced_random", f"WITH {SAMPLES_SQL}, {EACH} SELECT id, label FROM r WHERE k <= 100")(lambda s, d: _ids(store.balanced_random(inputs.samples(s, d), 200)))
+query("c12_balanced_oversample", f"""WITH {SAMPLES_SQL}, {EACH}, t AS (SELECT least(200, most) AS target, labels FROM m),
+c AS (SELECT id, label, CASE WHEN n >= target THEN (k <= target)::INT ELSE target // n + (k <= target % n)::INT END AS copies FROM r, t WHERE labels = 2)
+SELECT id, label FROM (SELECT id, label, unnest(range(copies)) FROM c)""")(lambda s, d: _ids(store.balanced_oversample(inputs.samples(s, d), 400)))
+query("c13_retain_balanced", f"WITH {SAMPLES_SQL}, {EACH} SELECT id, label FROM r WHERE NOT (n <= 100 OR k <= 100) AND (SELECT count(*) FROM samples) > 200")(lambda s, d: _ids(store.retain_balanced(inputs.samples(s, d), 200)[1]))
+query("c14_pick_sample", f"""WITH {SAMPLES_SQL}, f AS (SELECT min(id) AS id FROM samples WHERE label = 1 AND lower(trim(category)) = 'unknown' AND trim(text) <> '' GROUP BY trim(text))
+SELECT id, (SELECT count(*) FROM f) AS matched_samples FROM f {RANDOM} LIMIT 1""")(lambda s, d: store.pick_sample(inputs.samples(s, d), 1, "unknown").select("id", "matched_samples"))
+query("c15_sampler", f"WITH {SAMPLES_SQL}, {EACH} SELECT id, label FROM r WHERE newest <= 60")(lambda s, d: _ids(store.sampler("latest_full")(inputs.samples(s, d), 120)))
+
+# D. chat requests and responses
+
+TURNS = "turns AS (SELECT conv_id::VARCHAR AS request_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM conversations)"
+
+
+# a body of claude_chat that says nothing of its own (no system) matches openai_chat first
+TOLD = "(SELECT conv_id, coalesce(bool_or(role = 'system' AND coalesce(text, '') <> ''), false) AS told FROM conversations GROUP BY conv_id)"
+
+
+@query("d1_detect_dialect", f"SELECT d || ':' || conv_id AS request_id, CASE WHEN d = 'claude_chat' AND NOT told THEN 'openai_chat' ELSE d END AS dialect FROM {TOLD}, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d)")
+def _(spark, d):
+    return chat.detect_dialect(inputs.all_requests(spark, d).drop("dialect")).select("request_id", "dialect")
+
+
+@query("d1b_hint_dialect", "SELECT d || ':' || conv_id AS request_id, d AS hint FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d)")
+def _(spark, d):
+    return chat.hint_dialect(inputs.all_requests(spark, d).drop("dialect")).select("request_id", "hint")
+
+
+@query("d2_dialect_mismatch", f"SELECT '[''openai_chat'']' AS expected, d AS detected, count(*) FILTER (d <> 'claude_chat' OR told) AS n FROM {TOLD}, (VALUES ('gemini_chat'), ('claude_chat'), ('openai_responses')) AS t(d) GROUP BY d HAVING count(*) FILTER (d <> 'claude_chat' OR told) > 0")
+def _(spark, d):
+    return chat.dialect_mismatch_report(inputs.all_requests(spark, d).drop("dialect"), ("openai_chat",))
+
+
+for _name, _sql in {
+    "openai_chat": f"WITH {TURNS} SELECT request_id, seq::INT AS msg_seq, 0 AS block_seq, role, 'text' AS kind, text FROM turns",
+    "claude_chat": f"""WITH {TURNS}, s AS (SELECT request_id, string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '') AS told FROM turns WHERE role = 'system' GROUP BY ALL),
+o AS (SELECT t.request_id, row_number() OVER (PARTITION BY t.request_id ORDER BY turn) - 1 + CASE WHEN s.told IS NULL THEN 0 ELSE 1 END AS q, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text FROM turns t LEFT JOIN s USING (request_id) WHERE role <> 'system')
+SELECT request_id, 0 AS msg_seq, 0 AS block_seq, 'system' AS role, 'text' AS kind, told AS text FROM s WHERE told IS NOT NULL UNION ALL SELECT request_id, q::INT, 0, role, 'text', text FROM o""",
+    "openai_responses": f"""WITH {TURNS}, s AS (SELECT request_id, trim(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (text <> '')) AS told FROM turns WHERE role = 'system' GROUP BY ALL),
+o AS (SELECT t.request_id, row_number() OVER (PARTITION BY t.request_id ORDER BY turn) - 1 + CASE WHEN s.told IS NULL THEN 0 ELSE 1 END AS q, role, text FROM turns t LEFT JOIN s USING (request_id) WHERE role <> 'system')
+SELECT request_id, 0 AS msg_seq, 0 AS block_seq, 'system' AS role, 'text' AS kind, told AS text FROM s WHERE told IS NOT NULL UNION ALL SELECT request_id, q::INT, 0, role, 'text', text FROM o""",
+    "gemini_chat": f"""WITH {TURNS}, s AS (SELECT request_id, string_agg(text, chr(10) ORDER BY turn) FILTER (text <> '') AS told FROM turns WHERE role = 'system' GROUP BY ALL),
+o AS (SELECT t.request_id, row_number() OVER (PARTITION BY t.request_id ORDER BY turn) - 1 + CASE WHEN s.told IS NULL THEN 0 ELSE 1 END AS q, CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role, text FROM turns t LEFT JOIN s USING (request_id) WHERE role <> 'system' AND text <> '')
+SELECT request_id, 0 AS msg_seq, 0 AS block_seq, 'system' AS role, 'text' AS kind, told AS text FROM s WHERE told IS NOT NULL UNION ALL SELECT request_id, q::INT, 0, role, 'text', text FROM o""",
+}.items():
+    query(f"d3_blocks_{_name}", _sql)(lambda s, d, n=_name: chat.explode_blocks(inputs.requests(s, d, n)).select("request_id", "msg_seq", "block_seq", "role", "kind", "text"))
+
+
+@query("d3b_explode_tools", "SELECT conv_id::VARCHAR AS request_id, 0 AS seq, 'find' AS name, max(role) AS description, '{\"type\":\"object\"}' AS input_schema FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    body = F.concat(F.lit('{"messages":[],"tools":[{"type":"function","function":{"name":"find","description":"'), F.max("role"), F.lit('","parameters":{"type":"object"}}}]}'))
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(body.alias("body")).withColumn("dialect", F.lit("openai_chat"))
+    return chat.explode_tools(rows)
+
+
+TOOLED = "SELECT conv_id::VARCHAR AS request_id, turn::INT AS msg_seq, 0 AS block_seq, CASE WHEN turn % 3 = 2 THEN 'tool' ELSE role END AS role, CASE WHEN turn % 3 = 2 THEN 'tool_result' WHEN turn % 3 = 1 THEN 'tool_call' ELSE 'text' END AS kind, coalesce(text, '') AS text FROM conversations"
+
+
+@query("d3c_drop_tool_blocks", f"WITH b AS ({TOOLED}) SELECT request_id, msg_seq, block_seq, role, 'text' AS kind, CASE WHEN kind = 'text' THEN text ELSE '' END AS text FROM b WHERE role <> 'tool'")
+def _(spark, d):
+    third = F.col("msg_seq") % 3
+    b = inputs.conversation_blocks(spark, d).withColumn("kind", F.when(third == 2, "tool_result").when(third == 1, "tool_call").otherwise("text")).withColumn("role", F.when(third == 2, "tool").otherwise(F.col("role")))
+    return chat.drop_tool_blocks(b).select("request_id", "msg_seq", "block_seq", "role", "kind", "text")
+
+
+SAID = f"WITH {TURNS} SELECT request_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (text <> ''), '') AS text FROM turns GROUP BY request_id"
+query("d4a_moderation_text_blocks", SAID)(lambda s, d: chat.moderation_text_blocks(inputs.conversation_blocks(s, d)))
+query("d4b_moderation_text_body", SAID)(lambda s, d: chat.moderation_text_body(inputs.requests(s, d, "openai_chat")).select("request_id", "text"))
+query("d5_normalize_responses", """SELECT d || ':' || conv_id || ':' || turn AS response_id, d AS dialect, coalesce(text, '') AS text, 'completed' AS status, 3::BIGINT AS input_tokens, 4::BIGINT AS output_tokens, 7::BIGINT AS total_tokens
+FROM conversations, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d) WHERE role = 'assistant'""")(lambda s, d: chat.normalize_responses(inputs.responses(s, d)).select("response_id", "dialect", "text", "status", "input_tokens", "output_tokens", "total_tokens"))
+query("d6_empty_response_flags", """SELECT d AS dialect, count(*) FILTER (length(coalesce(text, '')) <= 2) AS n_empty, count(*) AS n FROM conversations, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d) WHERE role = 'assistant' GROUP BY d""")(lambda s, d: chat.empty_response_flags(inputs.responses(s, d)).groupBy("dialect").agg(F.count_if("empty").alias("n_empty"), F.count("*").alias("n")))
+query("d7_chat_export", """SELECT conv_id::VARCHAR AS request_id, '/v1/chat/completions' AS path, '{"model":"model","messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(coalesce(text, '')) || '}', ',' ORDER BY turn) || ']}' AS body FROM conversations GROUP BY conv_id""")(lambda s, d: inputs.requests(s, d, "openai_chat").select("request_id", "path", "body"))
+query("d8_prompt_token_report", rf"""WITH x AS ({SAID}), e AS (SELECT CASE WHEN t = '' THEN NULL ELSE ceil(0.28::DOUBLE * (length(t) - s) + 0.15::DOUBLE * s + 4.0::DOUBLE)::BIGINT END AS tokens FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM x)))
+SELECT 'openai_chat' AS dialect, count(*) AS requests, sum(tokens)::BIGINT AS tokens, round(avg(tokens), 6) AS average FROM e""")(lambda s, d: chat.prompt_token_report(inputs.requests(s, d, "openai_chat")).select("dialect", "requests", "tokens", F.round("average", 6).alias("average")))
+
+# E. stream logs
+
+
+@query("e1_chunks_to_frames", "SELECT conv_id || ':' || turn AS stream_id, ceil(length(coalesce(text, '')) / 400)::BIGINT + 2 AS frames FROM conversations WHERE role = 'assistant'")
+def _(spark, d):
+    return streams.chunks_to_frames(inputs.stream_chunks(spark, d)).groupBy("stream_id").agg(F.count("*").alias("frames"))
+
+
+@query("e2_frames_to_events", "SELECT conv_id || ':' || turn AS stream_id, ceil(length(coalesce(text, '')) / 400)::BIGINT AS texts, 1::BIGINT AS finals, 1::BIGINT AS dones FROM conversations WHERE role = 'assistant'")
+def _(spark, d):
+    e = streams.frames_to_events(streams.chunks_to_frames(inputs.stream_chunks(spark, d)))
+    return e.groupBy("stream_id").agg(F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "final").alias("finals"), F.count_if(F.col("kind") == "done").alias("dones"))
+
+
+@query("e3_reassemble_streams", "SELECT conv_id || ':' || turn AS stream_id, coalesce(text, '') AS text, 'stop' AS finish_reason, true AS done FROM conversations WHERE role = 'assistant'")
+def _(spark, d):
+    e = streams.frames_to_events(streams.chunks_to_frames(inputs.stream_chunks(spark, d)))
+    return streams.reassemble_streams(e).select("stream_id", "text", "finish_reason", "done")
+
+
+@query("e4_stream_health")
+def _(spark, d):
+    return streams.stream_health(inputs.stream_chunks(spark, d))
+
+
+# G1 comes before F, which scores with its model
+
+MODEL_SQL = rf"""{SAMPLES_SQL}, {EACH}, chosen AS MATERIALIZED (SELECT id, text, label FROM r, m WHERE labels = 2 AND k <= least(least, {TRAIN // 2})),
+tokens AS (SELECT id, label, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM chosen),
+stats AS (SELECT term, count(*) FILTER (label = 0) AS pass_hits, count(*) FILTER (label <> 0) AS violation_hits, count(DISTINCT id) AS df FROM tokens WHERE term <> '' GROUP BY term),
+model AS MATERIALIZED (SELECT *, ln(((SELECT count(*) FROM chosen) + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 AS idf, ln((violation_hits + 1.0::DOUBLE) / (pass_hits + 1.0::DOUBLE)) AS weight FROM stats ORDER BY abs(violation_hits - pass_hits) DESC, df DESC, term LIMIT {MAX_TERMS}),
+intercept AS (SELECT ln((count(*) FILTER (label <> 0) + 1.0::DOUBLE) / (count(*) FILTER (label = 0) + 1.0::DOUBLE)) AS b FROM chosen)"""
+
+
+def _scores_sql(idf: str) -> str:
+    return rf"""{MODEL_SQL}, words AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents),
+sums AS (SELECT id, sum(weight * {idf}) AS s FROM words JOIN model USING (term) GROUP BY id),
+scored AS (SELECT doc_id AS id, lang AS profile, text, b + coalesce(s, 0) AS z FROM documents LEFT JOIN sums ON doc_id = id, intercept),
+p AS (SELECT id, profile, text, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS p FROM scored)"""
+
+
+def _model(spark, d):
+    chosen = written(store.balanced_undersample(inputs.samples(spark, d), TRAIN), "chosen")
+    terms, intercept = train.train_terms(chosen, MAX_TERMS)
+    return written(terms, "terms"), intercept
+
+
+@query("g1_train_terms", f"WITH {MODEL_SQL} SELECT term, pass_hits, violation_hits, df, round(idf, 6) AS idf, round(weight, 6) AS weight FROM model")
+def _(spark, d):
+    return _model(spark, d)[0].select("term", "pass_hits", "violation_hits", "df", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
+
+
+@query("g2_train_hashed")
+def _(spark, d):
+    weights, intercept = train.train_hashed(store.balanced_undersample(inputs.samples(spark, d), TRAIN), epochs=2, shards=4, ngrams=(2, 3))
+    return weights.select("bucket", "weight", F.lit(intercept).alias("intercept"))
+
+
+@query("g3_train")
+def _(spark, d):
+    version, run = train.train(inputs.samples(spark, d), fresh_path(spark, "models"), max_samples=TRAIN)
+    rows, meta = train.read_model(spark, version)
+    return rows.select("term", "weight", F.lit(meta["intercept"]).alias("intercept"))
+
+
+@query("g4_training_readiness", f"""WITH {SAMPLES_SQL}, c AS (SELECT profile, count(*) AS n, min(id) % 3 AS kind FROM samples GROUP BY profile)
+SELECT profile, CASE WHEN n < 60 THEN 'insufficient_samples' WHEN kind = 0 THEN 'model_missing' WHEN kind = 1 THEN 'retrain_interval_elapsed' ELSE 'retrain_interval_not_elapsed' END AS reason FROM c""")
+def _(spark, d):
+    s = inputs.samples(spark, d)
+    kinds = s.groupBy("profile").agg((F.min("id") % 3).alias("kind"))
+    profiles = kinds.select("profile", F.lit(60).alias("min_samples"), F.lit(60).alias("retrain_interval_minutes"))
+    models = kinds.where("kind > 0").select("profile", F.when(F.col("kind") == 1, 0).otherwise(9000).cast("long").alias("trained_at"))
+    runs = kinds.select("profile", F.lit("completed").alias("status"), F.lit(100).cast("long").alias("timestamp"))
+    return train.training_readiness(profiles, s, models, runs, now=10_000).select("profile", "reason")
+
+
+# F. moderation
+
+query("f1_keyword_block", f"""WITH {KEYWORDS_SQL}, h AS (SELECT doc_id, arg_min(original, pos) AS keyword FROM documents JOIN keywords ON contains(translate(text, '{T.UPPER}', '{T.LOWER}'), normalized) GROUP BY doc_id)
+SELECT d.doc_id AS id, keyword, '[BASIC_MODERATION_BLOCKED] Matched keyword: ' || keyword AS keyword_reason FROM documents d LEFT JOIN h USING (doc_id)""")(lambda s, d: moderate.keyword_block(inputs.texts(s, d), inputs.keywords(s)).select("id", "keyword", "keyword_reason"))
+
+
+def _scored(spark, d, use_idf=True):
+    terms, intercept = _model(spark, d)
+    return moderate.score_terms(inputs.texts(spark, d), terms, intercept, use_idf=use_idf)
+
+
+query("f2_score_terms", f"WITH {_scores_sql('idf')} SELECT id, round(p, 6) AS p FROM p")(lambda s, d: _scored(s, d).select("id", F.round("p", 6).alias("p")))
+query("f3_score_tokens", f"WITH {_scores_sql('1.0')} SELECT id, round(p, 6) AS p FROM p")(lambda s, d: _scored(s, d, False).select("id", F.round("p", 6).alias("p")))
+
+
+@query("f4_score_hashed")
+def _(spark, d):
+    weights, intercept = train.train_hashed(store.balanced_undersample(inputs.samples(spark, d), TRAIN), epochs=1, shards=4, ngrams=(2, 3))
+    return moderate.score_hashed(inputs.texts(spark, d), weights, intercept, ngrams=(2, 3)).select("id", F.round("p", 6).alias("p"))
+
+
+BANDS = "CASE WHEN p < 0.2 THEN 'allow' WHEN p > 0.8 THEN 'block' ELSE 'uncertain' END"
+query("f5_decide", f"WITH {_scores_sql('idf')} SELECT id, {BANDS} AS decision FROM p")(lambda s, d: moderate.decide(_scored(s, d)).select("id", "decision"))
+query("f6_force_review", "SELECT doc_id AS id, ('0x' || left(md5('42:' || doc_id), 13))::BIGINT / pow(2, 52) < 0.25 AS forced FROM documents")(lambda s, d: moderate.force_review(inputs.texts(s, d), 0.25).select("id", "forced"))
+query("f7_capacity_fallback", f"""WITH {_scores_sql('idf')}, q AS (SELECT id, p, row_number() OVER (ORDER BY round(abs(p - 0.5), 9), id) AS k FROM (SELECT id, round(p, 9) AS p FROM p))
+SELECT id, CASE WHEN k <= 50 THEN 'review' ELSE 'local_fallback' END AS route, CASE WHEN k > 50 THEN p >= 0.5 END AS violation FROM q""")(lambda s, d: moderate.capacity_fallback(_scored(s, d).select("id", F.round("p", 9).alias("p")), 50).select("id", "route", "violation"))
+
+FLOW_SQL = f"""{_scores_sql('idf')}, {KEYWORDS_SQL},
+hit AS (SELECT doc_id AS id, arg_min(original, pos) AS keyword FROM documents JOIN keywords ON contains(translate(text, '{T.UPPER}', '{T.LOWER}'), normalized) GROUP BY doc_id),
+history AS (SELECT profile, text, max(id) AS hit_id, arg_max(label, id) AS hit_label, arg_max(category, id) AS hit_category FROM samples WHERE length(text) <= 40000 GROUP BY ALL),
+flow AS (SELECT p.id, p.profile, p.text, CASE WHEN keyword IS NOT NULL THEN 'block' WHEN forced OR p.p BETWEEN 0.2 AND 0.8 THEN CASE WHEN hit_id IS NULL THEN 'review' WHEN hit_label = 0 THEN 'allow' ELSE 'block' END WHEN p.p < 0.2 THEN 'allow' ELSE 'block' END AS decision,
+  CASE WHEN keyword IS NOT NULL THEN 'keyword' WHEN forced OR p.p BETWEEN 0.2 AND 0.8 THEN CASE WHEN hit_id IS NULL THEN 'review' ELSE 'history' END ELSE 'local' END AS source
+  FROM (SELECT *, ('0x' || left(md5('42:' || md5(text)), 13))::BIGINT / pow(2, 52) < 0.3 AS forced FROM p) p LEFT JOIN hit USING (id) LEFT JOIN history h ON h.profile = p.profile AND h.text = p.text)"""
+
+
+def _decisions(spark, d):
+    terms, intercept = _model(spark, d)
+    return moderate.moderate(inputs.texts(spark, d), inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), inputs.samples(spark, d), max_text=200_000, review_rate=0.3)
+
+
+query("f8_moderate", f"WITH {FLOW_SQL} SELECT id, profile, decision, source FROM flow")(lambda s, d: _decisions(s, d).select("id", "profile", "decision", "source"))
+PROMPT = "replace('Judge this text: {{text}}', '{{text}}', replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'))"
+query("f9_review_queue", f"WITH {FLOW_SQL} SELECT profile, md5(text) AS text_hash, min({PROMPT}) AS prompt FROM flow WHERE decision = 'review' GROUP BY profile, text")(lambda s, d: moderate.review_queue(_decisions(s, d), inputs.texts(s, d), TEMPLATE, 200_000).select("profile", "text_hash", "prompt"))
+
+
+@query("f10_apply_verdicts", f"WITH {VERDICTS} SELECT d.lang AS profile, md5(d.text) AS text_hash, v.toxic::INT AS label, v.source AS category FROM verdicts v JOIN documents d USING (doc_id) WHERE doc_id % 3 <> 0")
+def _(spark, d):
+    v = _verdicts(spark, d).select(F.col("lang").alias("profile"), F.concat_ws(":", "doc_id", F.md5("text")).alias("text_hash"), "text", "content")
+    good, _ = moderate.apply_verdicts(v.select("profile", "text_hash", "text"), v.select("profile", "text_hash", "content"))
+    return good.select("profile", F.md5("text").alias("text_hash"), "label", "category")
+
+
+query("f11_block_message", f"""WITH {FLOW_SQL} SELECT id, CASE WHEN decision = 'block' THEN 'Smart moderation blocked by ' || source || CASE WHEN source = 'history' THEN '' ELSE '' END END AS message FROM flow WHERE source = 'keyword'""")(lambda s, d: moderate.block_message(_decisions(s, d)).where("source = 'keyword'").select("id", "message"))
+query("f12_decision_report", f"WITH {FLOW_SQL} SELECT profile, source, decision, count(*) AS n FROM flow GROUP BY ALL")(lambda s, d: moderate.decision_report(_decisions(s, d)))
+
+# H. evaluation and statistics
+
+LABELLED_SQL = f"WITH {_scores_sql('idf')}, x AS (SELECT label, round(p, 6) AS p FROM samples JOIN (SELECT id + 1 AS id, p FROM p) USING (id))"
+
+
+def _labelled(spark, d):
+    return inputs.samples(spark, d).select("id", "label").join(_scored(spark, d).select((F.col("id") + 1).alias("id"), F.round("p", 6).alias("p")), "id")
+
+
+def _metrics_sql(thresholds: str) -> str:
+    return f"""{LABELLED_SQL}, t AS (SELECT unnest({thresholds}) AS threshold),
+counts AS (SELECT threshold, count(*) FILTER (label <> 0 AND p >= threshold) AS tp, count(*) FILTER (label = 0 AND p < threshold) AS tn, count(*) FILTER (label = 0 AND p >= threshold) AS fp, count(*) FILTER (label <> 0 AND p < threshold) AS fn FROM x, t GROUP BY threshold),
+ratios AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re FROM counts)
+SELECT threshold::DOUBLE AS threshold, tp, tn, fp, fn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM ratios"""
+
+
+def _rounded(rows):
+    return rows.select("threshold", "tp", "tn", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+query("h1_evaluate", _metrics_sql("[0.5]"))(lambda s, d: _rounded(evaluate.evaluate(_labelled(s, d), 0.5)))
+SWEEP = [i / 20 for i in range(1, 20)]
+query("h2_evaluate_sweep", _metrics_sql("[" + ", ".join(map(str, SWEEP)) + "]"))(lambda s, d: _rounded(evaluate.evaluate_sweep(_labelled(s, d), SWEEP)))
+query("h3_dataset_balance", f"WITH {SAMPLES_SQL} SELECT count(*) AS evaluated, count(*) FILTER (label <> 0) AS label_1, count(*) FILTER (label = 0) AS label_0 FROM samples")(lambda s, d: evaluate.dataset_balance(inputs.samples(s, d)))
+KIND = "CASE WHEN category IS NULL THEN 'missing' WHEN lower(trim(category)) = 'unknown' THEN 'unknown' ELSE 'other' END"
+query("h4_category_stats", f"""WITH {SAMPLES_SQL}, k AS (SELECT {KIND} AS k FROM samples), c AS (SELECT count(*) AS total, count(*) FILTER (k = 'unknown') AS unknown, count(*) FILTER (k = 'missing') AS missing, count(*) FILTER (k = 'other') AS other FROM k)
+SELECT *, round(unknown / total, 6) AS unknown_share, round(missing / total, 6) AS missing_share, round(other / total, 6) AS other_share FROM c""")(lambda s, d: evaluate.category_stats(inputs.samples(s, d)).select("total", "unknown", "missing", "other", *[F.round(f"{k}_share", 6).alias(f"{k}_share") for k in ("unknown", "missing", "other")]))
+STAMP = "'%Y-%m-%d %H:%M:%S'"
+query("h5_unknown_breakdown", f"WITH {SAMPLES_SQL} SELECT count(*) AS unknown, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label <> 0) AS label_1, 0::BIGINT AS missing_date, strftime(min(created_at), {STAMP}) AS first_at, strftime(max(created_at), {STAMP}) AS last_at FROM samples WHERE {KIND} = 'unknown'")(lambda s, d: evaluate.unknown_breakdown(inputs.samples(s, d)).withColumn("first_at", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss")).withColumn("last_at", F.date_format("last_at", "yyyy-MM-dd HH:mm:ss")))
+DAYS = f"{SAMPLES_SQL}, days AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) FILTER ({KIND} = 'unknown') AS unknown, count(*) AS total FROM samples GROUP BY ALL), shares AS (SELECT day, unknown, total, unknown / total AS ratio FROM days)"
+
+
+def _days(rows):
+    return rows.select(F.col("day").cast("string").alias("day"), "unknown", "total", F.round("ratio", 6).alias("ratio"))
+
+
+query("h6_unknown_by_day", f"WITH {DAYS} SELECT day, unknown, total, round(ratio, 6) AS ratio FROM shares")(lambda s, d: _days(evaluate.unknown_by_day(inputs.samples(s, d))))
+query("h7_unknown_recent", f"WITH {DAYS} SELECT day, unknown, total, round(ratio, 6) AS ratio FROM shares WHERE day >= '2024-01-22'")(lambda s, d: _days(evaluate.unknown_recent(inputs.samples(s, d), 10, "2024-02-01 00:00:00")))
+query("h8_top_days", f"WITH {DAYS} SELECT day, unknown, total, round(ratio, 6) AS ratio FROM shares WHERE unknown > 0 ORDER BY unknown DESC, day LIMIT 10")(lambda s, d: _days(evaluate.top_days(inputs.samples(s, d))))
+query("h8_top_days_ratio", f"WITH {DAYS} SELECT day, unknown, total, round(ratio, 6) AS ratio FROM shares WHERE unknown > 0 AND total >= 5 ORDER BY shares.ratio DESC, day LIMIT 10")(lambda s, d: _days(evaluate.top_days(inputs.samples(s, d), "ratio", 10, 5)))
+
+# I. streaming forms, run to the end of the tables
+
+
+def _files(spark, df, name):
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _finish(writer):
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("i1_moderate_stream", f"WITH {FLOW_SQL} SELECT id, profile, decision, source FROM flow")
+def _(spark, d):
+    from modq.streaming import jobs
+
+    terms, intercept = _model(spark, d)
+    sink, history = fresh_path(spark, "decisions"), inputs.samples(spark, d)
+    stream = _files(spark, inputs.texts(spark, d), "texts")
+    _finish(jobs.moderate_stream(stream, inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), lambda: history, sink, fresh_path(spark, "state"), max_text=200_000, review_rate=0.3))
+    return spark.read.parquet(sink).select("id", "profile", "decision", "source")
+
+
+@query("i2_dedupe_texts_stream", "SELECT lang AS profile, md5(text) AS text_hash FROM documents GROUP BY ALL")
+def _(spark, d):
+    from modq.streaming import jobs
+
+    rows = inputs.texts(spark, d).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    sink = fresh_path(spark, "deduped")
+    stream = jobs.dedupe_texts_stream(_files(spark, rows, "texts"))
+    _finish(stream.select("profile", "text_hash").writeStream.format("parquet").option("path", sink).option("checkpointLocation", fresh_path(spark, "state")))
+    return spark.read.parquet(sink)
+
+
+@query("i3_reassemble_streams_stream", ORACLE_SQL["e3_reassemble_streams"])
+def _(spark, d):
+    from modq.streaming import jobs
+
+    sink = fresh_path(spark, "streams")
+    chunks = inputs.stream_chunks(spark, d).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    _finish(jobs.reassemble_streams_stream(_files(spark, chunks, "chunks"), sink, fresh_path(spark, "state")))
+    return spark.read.parquet(sink).select("stream_id", "text", "finish_reason", "done")
+
+
+@query("i4_running_counts_stream", f"WITH {SAMPLES_SQL} SELECT profile, label, count(*) AS n FROM samples GROUP BY ALL")
+def _(spark, d):
+    from modq.streaming import jobs
+
+    sink, state = fresh_path(spark, "counts"), fresh_path(spark, "state")
+    counts = jobs.running_counts_stream(_files(spark, inputs.samples(spark, d), "samples"))
+    _finish(counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(sink)).option("checkpointLocation", state))
+    return spark.read.parquet(sink)

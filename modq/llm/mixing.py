@@ -86,10 +86,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     plan = mix(docs, **settings)
     chosen = plan.groupBy("doc_id", "size").agg(F.max("n_full").alias("mix_full"), F.max("n_partial").alias("mix_partial"))
     chosen = chosen.select(F.col("doc_id").alias("mix_doc"), F.col("size").alias("mix_size"), "mix_full", "mix_partial")
-    rows = docs.withColumn("mix_words", word_count(F.col("text")))
-    rows = rows.join(chosen, rows.doc_id.eqNullSafe(chosen.mix_doc) & (rows.mix_words == chosen.mix_size))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("mix_partial").cast("int")), "")
-    whole = F.when(F.col("mix_full") > 0, F.array_repeat("text", F.col("mix_full").cast("int"))).otherwise(F.array().cast("array<string>"))
-    last = F.when(F.col("mix_partial") <= 0, F.array().cast("array<string>")).when(F.col("mix_partial") == F.col("mix_words"), F.array("text")).otherwise(F.array(cut))
-    rows = rows.withColumn("text", F.explode(F.concat(whole, last)))
-    return rows.select(*docs.columns)
+    # a row travels as one struct, so that no name of its columns meets one of these
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), word_count(F.col("text")).alias("mix_words"))
+    rows = rows.join(chosen, F.col("d.doc_id").eqNullSafe(F.col("mix_doc")) & (F.col("mix_words") == F.col("mix_size")))
+    text, none = F.col("d.text"), F.array().cast("array<string>")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("mix_partial").cast("int")), "")
+    whole = F.when(F.col("mix_full") > 0, F.array_repeat(text, F.col("mix_full").cast("int"))).otherwise(none)
+    last = F.when(F.col("mix_partial") <= 0, none).when(F.col("mix_partial") == F.col("mix_words"), F.array(text)).otherwise(F.array(cut))
+    taken = rows.select("d", F.explode(F.concat(whole, last)).alias("taken"))
+    return taken.select(F.col("d").withField("text", F.col("taken")).alias("d")).select("d.*")

@@ -55,7 +55,7 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = VOC
             sizes = [len(x) for x in encoder.ids(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["digest", "n_tokens"])
 
-    fresh = owned.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA)
+    fresh = owned.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"])  # of equal rows
     fresh.write.mode("append").parquet(f"{cache}/tokenizer={tokens.version(tokenizer)}")
     counts = read_cache(spark, cache, tokenizer)
     found = light.join(counts, "digest")

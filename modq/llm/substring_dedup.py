@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modq.llm.words import Words, long_list, rows_of, slices
@@ -115,7 +115,7 @@ def profiles(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, text_key, one (128-bit window fingerprint, in two), at (first word) for windows that cover
+    """doc_id, one (128-bit window fingerprint, in two), at (first word) for windows that cover
     one of their document's shared anchors; docs: doc_id, text_key, text, shared."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +143,9 @@ def candidate_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 keep = np.flatnonzero(covered[starts])
                 doc = np.searchsorted(w.first, starts[keep], "right") - 1
                 rows = pa.array(first + doc)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array((starts[keep] - w.first[doc]).astype(np.int32))], names=["doc_id", "text_key", "one", "two", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array((starts[keep] - w.first[doc]).astype(np.int32))], names=["doc_id", "one", "two", "at"])
 
-    return docs.select("doc_id", "text_key", "text", "shared").mapInArrow(scan, "doc_id long, text_key long, one long, two long, at int")
+    return docs.select("doc_id", "text", "shared").mapInArrow(scan, "doc_id long, one long, two long, at int")
 
 
 def removed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -225,15 +225,14 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
     store = f"touched_{uuid.uuid4().hex}"
     touched.write.bucketBy(buckets, "doc_id").option("compression", "zstd").format("parquet").saveAsTable(store)
     touched = spark.table(store)
-    windows = written(candidate_windows(touched, window, anchor), "windows")
-    least = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    repeated = windows.join(least.drop("high"), ["one", "two"]).where("doc_id > low")
-    starts = repeated.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    if own:
+        index.drop()
+    # one shuffle by fingerprint; a fingerprint's rows stay where they are while its least document is found
+    windows = candidate_windows(touched, window, anchor).withColumn("low", F.min("doc_id").over(Window.partitionBy("one", "two")))
+    starts = windows.where("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     cut = removed(touched.join(starts, "doc_id"), window, with_text).dropDuplicates(["doc_id", "text_key"])
     cut = written(cut, "cut")
     spark.sql(f"DROP TABLE {store}")
-    if own:
-        index.drop()
     result = plain.join(cut, ["doc_id", "text_key"], "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "words_sha"))

@@ -61,7 +61,7 @@ def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shard
     weights, intercept = None, start
     for epoch in range(epochs):
         part = data.withColumn("turn", draw(seed + epoch, "id"))
-        needed = part.select("shard", F.explode("x.bucket").alias("bucket")).distinct()
+        needed = part.select(F.col("shard").alias("at_shard"), F.explode("x.bucket").alias("bucket")).distinct()
         known = needed.join(weights, "bucket") if weights is not None else needed.where("false").withColumn("weight", F.lit(0.0).cast("float"))
 
         at_start = intercept
@@ -85,7 +85,7 @@ def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shard
         def shard_step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return step(left, right, at_start)
 
-        moved = part.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(shard_step, "bucket int, weight double, n long")
+        moved = part.groupBy("shard").cogroup(known.groupBy("at_shard")).applyInPandas(shard_step, "bucket int, weight double, n long")
         averaged = written(moved.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight")), "weights")
         intercept = averaged.where("bucket = -1").first()["weight"]
         weights = averaged.where("bucket >= 0").select("bucket", F.col("weight").cast("float").alias("weight"))

@@ -34,7 +34,8 @@ def dedupe_texts_stream(texts: DataFrame, time: str = "ts", delay: str = "1 hour
 
 
 def bodies_stream(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
-    """stream_id, dialect, body, complete: a stream's chunks in order, given out at its end mark, or when it was idle too long.
+    """stream_id, dialect, body, complete: a stream's chunks in order, given out at its end mark, or when the
+    watermark says that it was idle too long.
 
     State per stream: the chunks so far. chunks: stream_id, seq, dialect, chunk, ts.
     """
@@ -50,8 +51,9 @@ def bodies_stream(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
             yield pd.DataFrame([(key[0], dialect, body, False)], columns=["stream_id", "dialect", "body", "complete"])
             return
         seqs, parts, dialect = kept.get if kept.exists else ([], [], None)
-        seqs, parts = list(seqs), list(parts)
+        seqs, parts, newest = list(seqs), list(parts), 0
         for f in frames:
+            newest = max(newest, int(f["ts"].max().timestamp() * 1000))
             seqs += [int(x) for x in f["seq"]]
             parts += list(f["chunk"])
             dialect = f["dialect"].iloc[0]
@@ -62,9 +64,9 @@ def bodies_stream(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
             yield pd.DataFrame([(key[0], dialect, body, True)], columns=["stream_id", "dialect", "body", "complete"])
         else:
             kept.update((seqs, parts, dialect))
-            kept.setTimeoutDuration(millis)
+            kept.setTimeoutTimestamp(max(kept.getCurrentWatermarkMs() + 1, newest + millis))
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(collect, schema, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.withWatermark("ts", idle).groupBy("stream_id").applyInPandasWithState(collect, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reassemble_streams_stream(chunks: DataFrame, sink: str, checkpoint: str, idle: str = "10 minutes"):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modq.session import written
+from modq.session import release, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,12 +37,15 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = print_of(e)
     while before[0]:
-        e = written(star(star(e, True), False), "edges")
+        old, e = e, written(star(star(e, True), False), "edges")
+        release(old)
         now = print_of(e)
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    out = written(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct()), "components")
+    release(e)
+    return out
 
 
 def prefix_postings(items: DataFrame, threshold: int) -> DataFrame:
@@ -96,4 +99,6 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_overlap(threshold))
     more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = written(verify(more), "links")
-    return written(components(edges.union(found)), "components") if not found.isEmpty() else written(known, "components")
+    out = known if found.isEmpty() else components(edges.union(found))
+    release(pairs, edges, left, finer, more, found, *([known] if out is not known else []))
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from modq.llm.linking import link
 from modq.llm.words import LOWER, Words, long_list, rows_of, slices
-from modq.session import prepare, written
+from modq.session import prepare, release, written
 
 #: Retained values per set, and how many of them, rarest first, are looked up.
 SKETCH, LOOKUPS = 32, 17
@@ -150,6 +150,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower:
         return hashed_sets(texts.join(nodes, "node", "left_semi"), words, lower)
 
     linked = link(postings, verifier(near, texts, words, threshold, lower), whole_sets, threshold)
+    release(heads, postings, texts, near)
     rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     heads_of = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("class_component"))
     out = rows.join(heads_of, "digest", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modq.llm.words import Words, long_list, rows_of, slices
-from modq.session import prepare, written
+from modq.session import prepare, release, written
 
 WINDOW, ANCHOR = 13, 5
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -206,7 +206,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
     first = seen.join(plain.where("not copy and doc_id is not null").select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_semi")
     prints = first.select("doc_id", F.explode("anchors").alias("hash"))
     edges = first.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    shared = None
+    shared, founds = None, []
     for i in range(len(edges) + 1):
         part = prints
         if i > 0:
@@ -214,8 +214,9 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
         if i < len(edges):
             part = part.where(F.col("doc_id") <= edges[i])
         run = index.append(part)
-        found = written(index.shared(run), "shared")
-        shared = found if shared is None else shared.union(found)
+        founds.append(written(index.shared(run), "shared"))
+        shared = founds[-1] if shared is None else shared.union(founds[-1])
+    release(seen)
     shared = shared.distinct()
     index.compact()
     hits = index.rows().join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("shared"))
@@ -225,6 +226,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
     store = f"touched_{uuid.uuid4().hex}"
     touched.write.bucketBy(buckets, "doc_id").option("compression", "zstd").format("parquet").saveAsTable(store)
     touched = spark.table(store)
+    release(*founds)
     if own:
         index.drop()
     # one shuffle by fingerprint; a fingerprint's rows stay where they are while its least document is found

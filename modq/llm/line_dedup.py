@@ -8,15 +8,34 @@ from pyspark.sql import functions as F
 from modq.llm.linking import link
 from modq.session import release, written
 
-#: Characters of a shingle. One begins at every word of a line; the last ones are shorter.
-SHINGLE = 16
+#: Characters of a shingle. One begins at every character of a line; a shorter line is one shingle.
+SHINGLE = 5
 #: Bands of rows: a pair of similarity s meets in one with chance 1 - (1 - s**ROWS)**BANDS, 0.993 at 0.8 and over 0.9999 from 0.9.
 BANDS, ROWS = 7, 3
-#: Looks ahead for a shingle and then takes the word, so that each match begins at the next word.
-SHINGLES = rf"(?=([^\x20\x09-\x0D].{{0,{SHINGLE - 1}}}))[^\x20\x09-\x0D]+"
+#: Looks ahead for a shingle and then takes one character, so that each match begins at the next character.
+SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
+#: The same for pieces in which STEP shingles begin: a place in a piece is found in constant time, in a line by a walk from its start.
+STEP = 64
+PIECES = rf"(?s)(?=(.{{{SHINGLE},{STEP + SHINGLE - 1}}})).{{1,{STEP}}}"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
+def cut(line: Column, pattern: str) -> Column:
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
+
+
+def shingles(line: Column) -> Column:
+    """The character shingles of a line, in order and as often as they are there."""
+    return cut(line, SHINGLES)
+
+
+def shingle_hashes(lines: DataFrame) -> DataFrame:
+    """h, g, x: the hash of each shingle of each line (h, g, line), one by one."""
+    pieces = lines.select("h", "g", F.explode(cut(F.col("line"), PIECES)).alias("piece"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("piece") - (SHINGLE - 1)))
+    return pieces.select("h", "g", "piece", F.explode(starts).alias("at")).select("h", "g", F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("x"))
+
+
 def masks() -> list[int]:
     """BANDS * ROWS fixed 64-bit constants. The shingle whose hash is nearest to one by exclusive or is a uniform
     draw from a line's shingles: each mask is one permutation of a MinHash signature."""
@@ -27,9 +46,13 @@ def masks() -> list[int]:
     return out
 
 
-def shingles(line: Column) -> Column:
-    """The character shingles of a line, in order; a line is cut by the words' starts, so shifting text keeps them."""
-    return F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1))
+def minima(x: Column) -> list[Column]:
+    return [F.min(x.bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks())]
+
+
+def band_values() -> list[Column]:
+    """One value per band of a signature m0, m1, ..."""
+    return [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
 
 
 def exploded_lines(docs: DataFrame, *keep: str) -> DataFrame:
@@ -47,29 +70,32 @@ def line_components(docs: DataFrame, threshold: int = 80) -> tuple[DataFrame, Da
     """Occurrences (doc_id, pos, h, g) of all lines with a word, and component (h, g, component) of the distinct lines that fuzzy links join."""
     ids = exploded_lines(docs, "doc_id").withColumn("id", line_id(F.col("line"))).select("doc_id", "pos", "id.*", "line")
     occurrences = written(ids.select("doc_id", "pos", "h", "g"), "occurrences")
-    each = ids.select("h", "g", F.explode(shingles(F.col("line"))).alias("s")).select("h", "g", F.xxhash64("s").alias("x"))
-    signature = each.groupBy("h", "g").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(masks())])
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    members = written(signature.select("h", "g", F.array(*bands).alias("bands")), "bands")
+    # a line's signature is made where its one text is: texts are shuffled, signatures are not
+    lines = ids.groupBy("h", "g").agg(F.min("line").alias("line"))
+    signature = shingle_hashes(lines).groupBy("h", "g").agg(*minima(F.col("x")))
+    members = written(signature.select("h", "g", F.array(*band_values()).alias("bands")), "bands")
     postings = members.select(F.explode("bands").alias("value"), F.struct("h", "g").alias("node"))
     many = postings.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1")
     postings = written(postings.join(many, "value"), "postings")
     wanted = postings.select("node.*").distinct()
     texts = ids.join(wanted, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
-    sets = written(texts.select(F.struct("h", "g").alias("node"), F.array_distinct(shingles(F.col("line"))).alias("s")), "line-sets")
+    # a set takes many times its line's room, so that lines travel and sets are made where they are compared
+    size = F.size(F.array_distinct(shingles(F.col("line")))).cast("long")
+    sets = written(texts.select(F.struct("h", "g").alias("node"), "line", size.alias("n")), "line-sets")
 
-    sizes = sets.select("node", F.size("s").cast("long").alias("n"))
+    sizes = sets.select("node", "n")
     ranks = postings.groupBy("node").agg((-F.sum("lines")).alias("rank"))
     lists = written(postings.select("value", "node").join(ranks, "node").join(sizes, "node"), "postings")
     release(members, postings)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * threshold).select("a", "b")
+        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
+        common = F.size(F.array_intersect(shingles(F.col("la")), shingles(F.col("lb"))))
+        return both.where(common * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold).select("a", "b")
 
     def whole_sets(nodes: DataFrame) -> DataFrame:
-        return sets.join(nodes, "node", "left_semi").select("node", F.explode("s").alias("value"))
+        return sets.join(nodes, "node", "left_semi").select("node", F.explode(F.array_distinct(shingles(F.col("line")))).alias("value"))
 
     linked = link(lists, verify, whole_sets, threshold)
     release(lists, sets)

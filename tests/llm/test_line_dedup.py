@@ -1,4 +1,6 @@
-"""Lines that differ late in a word."""
+"""Lines that differ late in a word; near copies."""
+
+import random
 
 from modq.llm import line_dedup
 
@@ -12,3 +14,14 @@ def test_lines_that_differ_late_in_a_word_stay(spark):
     lines = ["https://example.com/a", "https://example.com/totally-other", "Licence: https://opensource.org/licenses/MIT", "Licence: https://opensource.org/licenses/Apache-2.0"]
     lines += ["日本語の文章には空白がありません。これは一つ目です", "日本語の文章には空白がありません。全く別の内容がここに続きます", "abc", "abd"]
     assert kept(spark, lines) == set(range(len(lines)))
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 9)))
+    lines = []
+    for n in [16] * 20 + [32] * 20:
+        words = [word() for _ in range(n)]
+        middle = words[n // 2]
+        lines += [" ".join(words), " ".join([*words[: n // 2], f"#{middle[1:]}", *words[n // 2 + 1 :]])]
+    assert kept(spark, lines) == set(range(0, len(lines), 2))

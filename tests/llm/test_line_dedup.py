@@ -1,7 +1,10 @@
-"""Lines that differ late in a word; near copies."""
+"""Lines that differ late in a word, near copies, and how often similar short lines meet in a band."""
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from modq.llm import line_dedup
 
 
@@ -25,3 +28,18 @@ def test_near_copies_go(spark):
         middle = words[n // 2]
         lines += [" ".join(words), " ".join([*words[: n // 2], f"#{middle[1:]}", *words[n // 2 + 1 :]])]
     assert kept(spark, lines) == set(range(0, len(lines), 2))
+
+
+@pytest.mark.parametrize("both, own", [(4, 1), (8, 2), (16, 4)])
+def test_bands_find_short_similar_lines(spark, both, own):
+    """Sets of which both shingles are common and own are not, at similarity 0.8: the chance to meet is what BANDS and ROWS promise."""
+    n, least = 2000, 1 - (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS
+    assert least > 0.993
+    x = lambda kind: F.xxhash64("h", F.lit(kind), "i")
+    rows = spark.range(n).select(F.col("id").alias("h"), F.explode(F.array(F.lit(0), F.lit(1))).alias("g"))
+    common = rows.select("h", "g", F.explode(F.sequence(F.lit(1), F.lit(both))).alias("i")).select("h", "g", x(0).alias("x"))
+    extra = rows.where("g = 1").select("h", "g", F.explode(F.sequence(F.lit(1), F.lit(own))).alias("i")).select("h", "g", x(1).alias("x"))
+    signed = common.union(extra).groupBy("h", "g").agg(*line_dedup.minima(F.col("x"))).select("h", "g", F.array(*line_dedup.band_values()).alias("bands"))
+    one, two = signed.where("g = 0").select("h", F.col("bands").alias("a")), signed.where("g = 1").select("h", F.col("bands").alias("b"))
+    met = one.join(two, "h").where(F.arrays_overlap("a", "b")).count()
+    assert met / n > least - 4 * (least * (1 - least) / n) ** 0.5

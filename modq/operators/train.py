@@ -16,6 +16,8 @@ from modq.operators.store import draw
 from modq.session import written
 
 RATE = 0.35
+#: Samples of a shard, at most but for the hash's unevenness.
+SHARD = 1250
 
 
 def label_counts(samples: DataFrame) -> tuple[int, int]:
@@ -44,16 +46,18 @@ def train_terms(samples: DataFrame, max_features: int) -> tuple[DataFrame, float
     return terms, math.log((one + 1) / (zero + 1))
 
 
-def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shards: int = 8, seed: int = 42, rate: float = RATE, **features) -> tuple[DataFrame, float]:
+def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shards: int | None = None, seed: int = 42, rate: float = RATE, **features) -> tuple[DataFrame, float]:
     """(bucket, weight; intercept) of a logistic model over hashed_features, by sharded SGD and model averaging.
 
     Every epoch each shard (a hash of the id) starts from the averaged weights of its own buckets and goes once
     through its samples in a seeded order: error = y - p; intercept += rate * error; weight += rate * (error * value - alpha *
     weight) on the sample's buckets, in 32-bit floats. Shards' weights are averaged over the shards that have the
-    bucket, by rows of it. One shard is plain SGD. A shard must fit a task: raise shards with the data.
+    bucket, by rows of it. One shard is plain SGD. A shard must fit a task: unless
+    shards is given, there is one for every SHARD samples.
     """
     zero, one = label_counts(samples)
     start = math.log((one + 1) / (zero + 1))
+    shards = shards or math.ceil((zero + one) / SHARD)
     keyed = samples.select("id", "text", F.when(F.col("label") == 0, 0.0).otherwise(1.0).alias("y"))
     rows = hashed_features(keyed, **features).groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("x"))
     rows = keyed.select("id", "y").join(rows, "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))

@@ -15,7 +15,8 @@ from modq.session import fresh_path, prepare, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-MAX_TERMS, TRAIN = 200, 400
+#: The reference's defaults (profile.rs:492-499).
+MAX_TERMS, TRAIN = 8000, 50_000
 TEMPLATE = "Judge this text: {{text}}"
 
 
@@ -314,13 +315,13 @@ def _(spark, d):
 
 @query("g2_train_hashed")
 def _(spark, d):
-    weights, intercept = train.train_hashed(store.balanced_undersample(inputs.samples(spark, d), TRAIN), epochs=2, shards=4, ngrams=(2, 3))
+    weights, intercept = train.train_hashed(store.balanced_undersample(inputs.samples(spark, d), TRAIN))
     return weights.select("bucket", "weight", F.lit(intercept).alias("intercept"))
 
 
 @query("g3_train")
 def _(spark, d):
-    version, run = train.train(inputs.samples(spark, d), fresh_path(spark, "models"), max_samples=TRAIN)
+    version, run = train.train(inputs.samples(spark, d), fresh_path(spark, "models"), max_samples=TRAIN, max_features=MAX_TERMS)
     rows, meta = train.read_model(spark, version)
     return rows.select("term", "weight", F.lit(meta["intercept"]).alias("intercept"))
 
@@ -353,8 +354,8 @@ query("f3_score_tokens", f"WITH {_scores_sql('1.0')} SELECT id, round(p, 6) AS p
 
 @query("f4_score_hashed")
 def _(spark, d):
-    weights, intercept = train.train_hashed(store.balanced_undersample(inputs.samples(spark, d), TRAIN), epochs=1, shards=4, ngrams=(2, 3))
-    return moderate.score_hashed(inputs.texts(spark, d), weights, intercept, ngrams=(2, 3)).select("id", F.round("p", 6).alias("p"))
+    weights, intercept = train.train_hashed(store.balanced_undersample(inputs.samples(spark, d), TRAIN))
+    return moderate.score_hashed(inputs.texts(spark, d), weights, intercept).select("id", F.round("p", 6).alias("p"))
 
 
 BANDS = "CASE WHEN p < 0.2 THEN 'allow' WHEN p > 0.8 THEN 'block' ELSE 'uncertain' END"

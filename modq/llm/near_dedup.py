@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,25 @@ from modq.llm.linking import link
 from modq.llm.words import LOWER, Words, long_list, rows_of, slices
 from modq.session import prepare, release, written
 
-#: Retained values per set, and how many of them, rarest first, are looked up.
-SKETCH, LOOKUPS = 32, 17
-#: A pair whose union sketch says less than the threshold minus this is no candidate (over five standard deviations).
-SLACK = 0.35
+#: Retained values per set, and the chance that a link may be missed with, once by the lookups and once by the estimate.
+SKETCH, MISS = 32, 1e-6
+
+
+def least_common(threshold: int) -> int:
+    """The most values c of SKETCH for which two sets at the threshold have fewer than c in common with a chance below MISS.
+
+    Each retained value is a common one with chance threshold / 100.
+    """
+    s = threshold / 100
+    chance, c = 0.0, 0
+    while (chance := chance + math.comb(SKETCH, c) * s**c * (1 - s) ** (SKETCH - c)) < MISS and c < SKETCH:
+        c += 1
+    return c
+
+
+def lookups(threshold: int) -> int:
+    """How many of the retained values, rarest first, are looked up: one more than may be of one set alone."""
+    return SKETCH - least_common(threshold) + 1
 
 
 def set_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -88,7 +104,7 @@ def verifier(heads: DataFrame, texts: DataFrame, words: int, threshold: int, low
 
     def verify(pairs: DataFrame) -> DataFrame:
         rough = pairs.join(heads.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(heads.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = rough.where(union_estimate(F.col("sa"), F.col("sb")) >= threshold / 100 - SLACK).select("a", "b")
+        likely = rough.where(union_estimate(F.col("sa"), F.col("sb")) >= least_common(threshold) / SKETCH).select("a", "b")
         left = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
@@ -117,9 +133,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower:
     component_id: the smallest doc_id that links reach.
 
     Documents with equal sets are one class from the start. Every class keeps its set's SKETCH
-    smallest values under one hash function. Two linked sets differ in more than LOOKUPS - 1 of their
+    smallest values under one hash function. Two linked sets differ in more than lookups() - 1 of their
     retained values with a chance below 1e-6 (in none of the sets that are kept whole), so both have one in
-    common among the LOOKUPS rarest of the corpus: only these stand in the inverted lists, and values
+    common among the lookups() rarest of the corpus: only these stand in the inverted lists, and values
     of one class in none. The union of two sketches estimates the similarity and drops pairs far
     below; the rest are compared on the full sets of their texts.
 
@@ -136,7 +152,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower:
     retained = heads.select("node", "n", F.explode("sketch").alias("value"))
     shared = retained.groupBy("value").agg(F.count("*").alias("classes"))
     ranked = retained.join(shared, "value").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("classes", "value")))
-    room = F.when(F.col("n") > SKETCH, F.lit(LOOKUPS)).otherwise(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
+    room = F.when(F.col("n") > SKETCH, F.lit(lookups(threshold))).otherwise(F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1)
     # a text in the middle of its near copies has few values of its own and many that the others have
     ranked = ranked.withColumn("rank", -F.sum("classes").over(Window.partitionBy("node")))
     looked = ranked.where((F.col("place") <= room) & (F.col("classes") > 1))

@@ -200,7 +200,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     """doc_id, held_out, score (0 to 1, higher: quality 1 likelier), predicted (1 if score >= 0.5) for every row of docs.
 
     Word vectors: random indexing over all texts. The network learns from rows of labels (doc_id, quality)
-    that aren't held out, at most train_rows of them, those with the smallest hash of doc_id; scores
+    that aren't held out and have a document, each once, at most train_rows of them, those with the smallest hash of doc_id; scores
     use the text alone.
 
     Null or empty text: the pooled zero vector's score. Null doc_id: kept, never learned from.
@@ -210,8 +210,9 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     prepare(spark)
     pools = written(pooled(docs, word_vectors(docs)), "pools")
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    taken = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = pools.join(taken, "doc_id").orderBy("doc_id").select("pool", "quality").toPandas()
+    known = pools.join(marked, "doc_id").groupBy("doc_id", "quality").agg(F.min("pool").alias("pool"))
+    taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    rows = taken.orderBy("doc_id").select("pool", "quality").toPandas()
     x = np.stack(rows["pool"]).astype(np.float64) if len(rows) else np.zeros((0, FEATURES))
     net = fit(x, rows["quality"].to_numpy(np.float64))
     shared = spark.sparkContext.broadcast(net)  # a few thousand numbers

@@ -5,85 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modq.llm.linking import link
+from modq.llm.linking import link, matching
 from modq.session import release, written
 
 #: Characters of a shingle. One begins at every character of a line; a shorter line is one shingle.
 SHINGLE = 5
-#: Bands of rows: a pair of similarity s meets in one with chance 1 - (1 - s**ROWS)**BANDS, 0.994 at 0.8 and over 0.9999 from 0.9.
-#: Unlike lines of one language are at 0.02 to 0.1, so fewer rows would let most lines meet.
+#: Shingles whose hashes one row makes, as one expression each.
+STEP = 32
+#: A band is the ROWS next hashes from one of BANDS points on the circle of hashes. A pair of similarity s, at 0.8 or more, has
+#: equal ones in some band with a chance of about 1 - (1 - s**ROWS)**BANDS, 0.994 at 0.8 and over 0.9999 from 0.9.
+#: Unlike lines of one language are at 0.02 to 0.1, so shorter bands would let most lines meet.
 BANDS, ROWS = 17, 6
+#: A small set's bands overlap, so that it also has those of further orders: sets below BELOW[i] hashes have order i + 1. The
+#: smallest have shorter bands too: six hashes are most of such a set.
+BELOW, SHORT_ROWS = (100, 16, 16), 3
+POINTS = [(b * (1 << 64)) // BANDS - (1 << 63) for b in range(BANDS)]
 #: Looks ahead for a shingle and then takes one character, so that each match begins at the next character.
 SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
-#: The same for pieces in which STEP shingles begin: a place in a piece is found in constant time, in a line by a walk from its start.
-STEP = 64
-PIECES = rf"(?s)(?=(.{{{SHINGLE},{STEP + SHINGLE - 1}}})).{{1,{STEP}}}"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def cut(line: Column, pattern: str) -> Column:
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)))
-
-
 def shingles(line: Column) -> Column:
     """The character shingles of a line, in order and as often as they are there."""
-    return cut(line, SHINGLES)
-
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1)))
 
-def shingle_hashes(lines: DataFrame) -> DataFrame:
-    """h, g, x: the hash of each shingle of each line (h, g, line), one by one."""
-    pieces = lines.select("h", "g", F.explode(cut(F.col("line"), PIECES)).alias("piece"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("piece") - (SHINGLE - 1)))
-    return pieces.select("h", "g", "piece", F.explode(starts).alias("at")).select("h", "g", F.xxhash64(F.substring("piece", F.col("at"), F.lit(SHINGLE))).alias("x"))
-
-
-def minima(x: Column) -> list[Column]:
-    """Aggregates m0, m1, ...: a MinHash signature of BANDS * ROWS values. Each is the least of a hash of its own: x mixed
-    afresh with a number, whose upper and lower 32 bits serve two values."""
-    out = []
-    for i in range(BANDS * ROWS):
-        mixed = F.xxhash64(F.lit(i // 2), x)
-        out.append(F.min(F.shiftrightunsigned(mixed, 32) if i % 2 else mixed.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{i}"))
-    return out
 
+def hashed_sets(lines: DataFrame) -> DataFrame:
+    """h, g, hashes: the distinct hashes of each line's (h, g, line) shingles, ascending.
 
-def band_values() -> list[Column]:
-    """One value per band of a signature m0, m1, ..."""
-    return [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    Characters of four bytes each make a shingle's place known without a walk through the line. A line's
+    pieces of STEP shingles are hashed by plain expressions, which run as compiled code, unlike a lambda's.
+    """
+    width = 4 * SHINGLE
+    wide = lines.select("h", "g", F.encode("line", "UTF-32").alias("b"))
+    wide = wide.withColumn("n", F.greatest(F.lit(1), F.floor(F.length("b") / 4).cast("int") - (SHINGLE - 1)))
+    starts = wide.select("h", "g", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("start"))
+    pieces = starts.select("h", "g", F.substring("b", F.col("start") * 4 + 1, F.lit(4 * STEP + width)).alias("piece"), F.least(F.lit(STEP), F.col("n") - F.col("start")).alias("m"))
+    # a piece with fewer shingles repeats its last one
+    hashes = [F.xxhash64(F.substring("piece", F.least(F.lit(i), F.col("m") - 1) * 4 + 1, F.lit(width))) for i in range(STEP)]
+    whole = pieces.select("h", "g", F.array(*hashes).alias("part")).groupBy("h", "g").agg(F.collect_list("part").alias("parts"))
+    return whole.select("h", "g", F.array_distinct(F.flatten("parts")).alias("x")).select("h", "g", F.sort_array("x").alias("hashes"))
+
+
+def banded(sets: DataFrame, values: Column, rows: int, order: int, name: str) -> DataFrame:
+    """sets with one value per band of values (ascending), null where these are null."""
+    # the circle, and where the points would stand among the values
+    laid = sets.select("*", F.concat(values, F.slice(values, 1, rows)).alias("circle"), F.sort_array(F.concat(values, F.array(*map(F.lit, POINTS)))).alias("marked"))
+    first = [(F.array_position("marked", F.lit(p)) - b).cast("int") for b, p in enumerate(POINTS)]
+    bands = F.array(*[F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * BANDS + b), F.slice("circle", at, rows)) for b, at in enumerate(first)])
+    return laid.select(*sets.columns, F.when(F.col("circle").isNotNull(), bands).alias(name))
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """h, g, n (distinct shingles), bands: one row per set (h, g, hashes).
+
+    The ROWS least values from a point on are a MinHash of ROWS values under the order that begins at that point. A small
+    set's bands share values, so that it also has those of further orders, each a rehash of the set.
+    """
+    sets = sets.withColumn("n", F.size("hashes").cast("long"))
+    sets = banded(sets, F.col("hashes"), ROWS, 0, "bands0")
+    more = ["bands0"]
+    rehash = lambda order: F.sort_array(F.transform("hashes", lambda x: F.xxhash64(F.lit(order), x)))
+    for order, below, rows in [*((i, n, ROWS) for i, n in enumerate(BELOW, 1)), *((i, BELOW[-1], SHORT_ROWS) for i in range(len(BELOW) + 1))]:
+        own = sets.withColumn("own", F.when(F.col("n") < below, rehash(order)))
+        more.append(f"bands{len(more)}")
+        sets = banded(own, F.col("own"), rows, order, more[-1]).drop("own")
+    return sets.select("h", "g", "n", F.flatten(F.array_compact(F.array(*more))).alias("bands"))
 
 
-def exploded_lines(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, pos, line for every \\n-split line with a word."""
-    lines = docs.select(*keep, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(HAS_WORD))
+def document_key() -> list[Column]:
+    """doc_id, text_key: rows with one id and one text are one document; rows without an id are told apart by their texts."""
+    return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
 
 
-def line_id(line: Column) -> Column:
-    """128 bits of a line's text as two longs."""
-    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"))
+def line_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, pos, h, g, line for every \\n-split line with a word; h, g: 128 bits of its text."""
+    lines = docs.select(*document_key(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(HAS_WORD))
+    return lines.select("doc_id", "text_key", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
 
 
-def line_components(docs: DataFrame, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, pos, h, g) of all lines with a word, and component (h, g, component) of the distinct lines that fuzzy links join."""
-    ids = exploded_lines(docs, "doc_id").withColumn("id", line_id(F.col("line"))).select("doc_id", "pos", "id.*", "line")
-    occurrences = written(ids.select("doc_id", "pos", "h", "g"), "occurrences")
+def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """h, g, ch, cg: the lines that fuzzy links join to others, and the line that names their component."""
+    ids = line_ids(docs)
     # a line's signature is made where its one text is: texts are shuffled, signatures are not
     lines = ids.groupBy("h", "g").agg(F.min("line").alias("line"))
-    signature = shingle_hashes(lines).groupBy("h", "g").agg(*minima(F.col("x")))
-    members = written(signature.select("h", "g", F.array(*band_values()).alias("bands")), "bands")
-    postings = members.select(F.explode("bands").alias("value"), F.struct("h", "g").alias("node"))
-    many = postings.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1")
-    postings = written(postings.join(many, "value"), "postings")
-    wanted = postings.select("node.*").distinct()
-    texts = ids.join(wanted, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.min("line").alias("line"))
-    # a set takes many times its line's room, so that lines travel and sets are made where they are compared
-    size = F.size(F.array_distinct(shingles(F.col("line")))).cast("long")
-    sets = written(texts.select(F.struct("h", "g").alias("node"), "line", size.alias("n")), "line-sets")
-
-    sizes = sets.select("node", "n")
+    members = written(signatures(hashed_sets(lines)).withColumn("node", F.monotonically_increasing_id()), "bands")
+    postings = members.select("node", "n", F.explode("bands").alias("value"))
+    many = written(postings.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
+    postings = written(matching(postings, many, ["value"]), "postings")
     ranks = postings.groupBy("node").agg((-F.sum("lines")).alias("rank"))
-    lists = written(postings.select("value", "node").join(ranks, "node").join(sizes, "node"), "postings")
-    release(members, postings)
+    lists = written(postings.select("value", "node", "n").join(ranks, "node"), "lists")
+    # a set takes many times its line's room, so that lines travel and sets are made where they are compared
+    wanted = written(members.select("h", "g", "node", "n").join(ranks.select("node"), "node", "left_semi"), "wanted")
+    texts = matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("node", "n").agg(F.min("line").alias("line"))
+    sets = written(texts, "line-sets")
+    release(members, many, postings)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
@@ -95,24 +111,23 @@ def line_components(docs: DataFrame, threshold: int = 80) -> tuple[DataFrame, Da
         return sets.join(nodes, "node", "left_semi").select("node", F.explode(F.array_distinct(shingles(F.col("line")))).alias("value"))
 
     linked = link(lists, verify, whole_sets, threshold)
-    release(lists, sets)
-    return occurrences, linked.select("node.*", "component")
+    named = wanted.select("node", "h", "g").join(linked, "node")
+    heads = wanted.select(F.col("node").alias("component"), F.col("h").alias("ch"), F.col("g").alias("cg"))
+    out = written(named.join(heads, "component").select("h", "g", "ch", "cg"), "line-components")
+    release(lists, sets, wanted)
+    return out
 
 
 def line_verdicts(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """doc_id, pos of the occurrences that go: all but the first (by doc_id, pos) of each component."""
-    occurrences, linked = line_components(docs, threshold)
-    # most lines are a component of their own: two longs name it, or those of the component's least line
-    named = occurrences.join(linked, ["h", "g"], "left")
-    named = named.select("doc_id", "pos", F.coalesce("component.h", "h").alias("ch"), F.coalesce("component.g", "g").alias("cg"))
-    named = written(named, "named")
-    release(occurrences)
-    # longs alone, so that they are summed by hash in each task first
-    many = named.groupBy("ch", "cg").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    repeated = named.join(many.drop("n"), ["ch", "cg"])
-    within = repeated.where("doc_id <=> first_doc").groupBy("ch", "cg").agg(F.min("pos").alias("first_pos"))
-    judged = repeated.join(within, ["ch", "cg"])
-    return judged.where("not (doc_id <=> first_doc and pos = first_pos)").select("doc_id", "pos")
+    """doc_id, text_key, pos of the occurrences that go: all but the first (by doc_id, nulls last, text_key, pos) of each component."""
+    linked = line_components(docs, threshold)
+    # most lines are a component of their own: two longs name it, or those of the line that stands for it
+    named = matching(line_ids(docs).select("doc_id", "text_key", "pos", "h", "g"), linked, ["h", "g"], "left")
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")
+    named = written(named.select(F.coalesce("ch", "h").alias("ch"), F.coalesce("cg", "g").alias("cg"), at.alias("at")), "named")
+    # each task sums its own rows first; then one join, whose large groups Spark can split
+    first = named.groupBy("ch", "cg").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1")
+    return named.join(first, ["ch", "cg"]).where("not (at <=> first)").select("at.doc_id", "at.text_key", "at.pos")
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 80) -> DataFrame:
@@ -123,16 +138,16 @@ def dedup_lines(docs: DataFrame, threshold: int = 80) -> DataFrame:
     each component one line stays, the first by (doc_id, line number). Candidates come from MinHash bands, every link is
     checked on the sets, components from distributed union-find.
 
-    Null text: stays null, no lines. Empty text: as it is, no lines with a word. Null doc_id: counts as the
-    last document, and repeated lines in it go. doc_id is a key: a repeated row counts as one document and loses the same lines in each
-    copy. Empty table: no rows. Other columns stay; n_lines and n_removed_lines are replaced.
+    Null text: stays null, no lines. Empty text: as it is, no lines with a word. Rows with the same doc_id and text are one
+    document and lose the same lines in each copy; rows of one doc_id with other texts are documents of their own,
+    in the order of a hash. So are rows of null doc_id: each counts as after all others, and rows with one text as one
+    document. Empty table: no rows. Other columns stay; n_lines and n_removed_lines are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
-    known = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    gone = line_verdicts(known, threshold).groupBy("doc_id").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "gone_doc")
+    gone = line_verdicts(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
     # a row travels as one struct, so that no name of its columns meets one of these
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"))
-    rows = packed.join(gone, F.coalesce("d.doc_id", F.lit((1 << 63) - 1)) == F.col("gone_doc"), "left")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), *[c.alias(n) for c, n in zip(document_key(), ("own_doc", "own_key"), strict=True)])
+    rows = packed.join(gone, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")
     text, lines = F.col("d.text"), F.split("d.text", "\n", -1)
     marks = F.map_from_arrays(F.col("gone"), F.transform("gone", lambda x: F.lit(True)))
     kept = F.transform(F.array(marks), lambda m: F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.try_element_at(m, i), F.lit(False))), "\n"))[0]

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from modq.session import release, written
 
 
+#: Rows of a table that may be broadcast, about 50 MB of a hash table of longs.
+MOST_BROADCAST = 500_000
+
+
+def matching(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to small, a written table of longs, which is broadcast if it has no more than MOST_BROADCAST
+    rows: then rows needn't be shuffled. Larger, both are shuffled."""
+    few = small.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(small) if few else small, keys, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) for every node of edges a, b.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modq.llm.linking import link, matching
+from modq.llm.linking import SKETCH, link, matching, sketch_filter
 from modq.session import release, written
 
 #: Characters of a shingle. One begins at every character of a line; a shorter line is one shingle.
@@ -97,24 +97,26 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     lists = written(postings.select("value", "node", "n").join(ranks, "node"), "lists")
     # a set takes many times its line's room, so that lines travel and sets are made where they are compared
     wanted = written(members.select("h", "g", "node", "n").join(ranks.select("node"), "node", "left_semi"), "wanted")
-    texts = matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("node", "n").agg(F.min("line").alias("line"))
-    sets = written(texts, "line-sets")
+    texts = written(matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("h", "g", "node", "n").agg(F.min("line").alias("line")), "texts")
+    sets = hashed_sets(texts).join(wanted, ["h", "g"]).select("node", "hashes", F.slice("hashes", 1, SKETCH).alias("sketch"))
+    sets = written(sets, "line-sets")
     release(members, many, postings)
+    likely = sketch_filter(sets.select("node", "sketch"), threshold)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
+        left = likely(pairs).join(texts.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
+        both = left.join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
         common = F.size(F.array_intersect(shingles(F.col("la")), shingles(F.col("lb"))))
         return both.where(common * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold).select("a", "b")
 
     def whole_sets(nodes: DataFrame) -> DataFrame:
-        return sets.join(nodes, "node", "left_semi").select("node", F.explode(F.array_distinct(shingles(F.col("line")))).alias("value"))
+        return sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("value"))
 
     linked = link(lists, verify, whole_sets, threshold)
     named = wanted.select("node", "h", "g").join(linked, "node")
     heads = wanted.select(F.col("node").alias("component"), F.col("h").alias("ch"), F.col("g").alias("cg"))
     out = written(named.join(heads, "component").select("h", "g", "ch", "cg"), "line-components")
-    release(lists, sets, wanted)
+    release(lists, sets, texts, wanted)
     return out
 
 
@@ -125,8 +127,9 @@ def line_verdicts(docs: DataFrame, threshold: int = 80) -> DataFrame:
     named = matching(line_ids(docs).select("doc_id", "text_key", "pos", "h", "g"), linked, ["h", "g"], "left")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")
     named = written(named.select(F.coalesce("ch", "h").alias("ch"), F.coalesce("cg", "g").alias("cg"), at.alias("at")), "named")
-    # each task sums its own rows first; then one join, whose large groups Spark can split
+    # each task sums its own rows first; then one join of written tables, whose large groups Spark can split
     first = named.groupBy("ch", "cg").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1")
+    first = written(first, "first")
     return named.join(first, ["ch", "cg"]).where("not (at <=> first)").select("at.doc_id", "at.text_key", "at.pos")
 
 
@@ -135,8 +138,8 @@ def dedup_lines(docs: DataFrame, threshold: int = 80) -> DataFrame:
 
     Lines are \\n-split; those without a word are no candidates and stay. Two lines are linked when the Jaccard
     similarity of their character shingle sets is threshold percent or more, or their texts are equal; of
-    each component one line stays, the first by (doc_id, line number). Candidates come from MinHash bands, every link is
-    checked on the sets, components from distributed union-find.
+    each component one line stays, the first by (doc_id, line number). Candidates come from MinHash bands, those that their sets'
+    sketches show to be far apart are left, every link is checked on the sets, components come from distributed union-find.
 
     Null text: stays null, no lines. Empty text: as it is, no lines with a word. Rows with the same doc_id and text are one
     document and lose the same lines in each copy; rows of one doc_id with other texts are documents of their own,

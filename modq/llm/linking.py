@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from modq.session import release, written
 
 
+#: Retained values per set, and the chance that a link may be missed with by a sketch.
+SKETCH, MISS = 32, 1e-6
 #: Rows of a table that may be broadcast, about 50 MB of a hash table of longs.
 MOST_BROADCAST = 500_000
 
@@ -21,6 +24,31 @@ def matching(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inn
     return rows.join(F.broadcast(small) if few else small, keys, how)
 
 
+def least_common(threshold: int) -> int:
+    """The most values c of SKETCH for which two sets at the threshold have fewer than c in common with a chance below MISS.
+
+    Each retained value is a common one with chance threshold / 100.
+    """
+    s = threshold / 100
+    chance, c = 0.0, 0
+    while (chance := chance + math.comb(SKETCH, c) * s**c * (1 - s) ** (SKETCH - c)) < MISS and c < SKETCH:
+        c += 1
+    return c
+
+
+def sketch_filter(sketches: DataFrame, threshold: int) -> Callable[[DataFrame], DataFrame]:
+    """Pairs a, b to those whose sketches (node, sketch: a set's SKETCH least hashes) may be of a link: of the links
+    at the threshold it drops less than one in a million."""
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        rough = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        # of the SKETCH least hashes of both sets, the share that both hold
+        rough = rough.select("a", "b", F.array_intersect("sa", "sb").alias("both"), F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH).alias("least"))
+        return rough.where(F.size(F.array_intersect("both", "least")) * SKETCH >= F.size("least") * least_common(threshold)).select("a", "b")
+
+    return likely
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) for every node of edges a, b.
 

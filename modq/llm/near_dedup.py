@@ -3,34 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modq.llm.linking import link
+from modq.llm.linking import SKETCH, least_common, link, sketch_filter
 from modq.llm.words import LOWER, Words, long_list, rows_of, slices
 from modq.session import prepare, release, written
 
-#: Retained values per set, and the chance that a link may be missed with, once by the lookups and once by the estimate.
-SKETCH, MISS = 32, 1e-6
-
-
-def least_common(threshold: int) -> int:
-    """The most values c of SKETCH for which two sets at the threshold have fewer than c in common with a chance below MISS.
-
-    Each retained value is a common one with chance threshold / 100.
-    """
-    s = threshold / 100
-    chance, c = 0.0, 0
-    while (chance := chance + math.comb(SKETCH, c) * s**c * (1 - s) ** (SKETCH - c)) < MISS and c < SKETCH:
-        c += 1
-    return c
-
-
 def lookups(threshold: int) -> int:
     """How many of the retained values, rarest first, are looked up: one more than may be of one set alone."""
     return SKETCH - least_common(threshold) + 1
@@ -76,13 +59,6 @@ def shingles_of(text: str, words: int, lower: bool) -> set:
     return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
-def union_estimate(x: Column, y: Column) -> Column:
-    """The similarity that two bottom-k sketches give: of the k smallest values of both, the share that both hold."""
-    union = F.array_sort(F.array_union(x, y))
-    least = F.slice(union, 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(x, y), least)) / F.size(least)
-
-
 def verifier(heads: DataFrame, texts: DataFrame, words: int, threshold: int, lower: bool):
     """Pairs a, b to those with 100 * intersection >= threshold * union on their full sets.
 
@@ -103,9 +79,7 @@ def verifier(heads: DataFrame, texts: DataFrame, words: int, threshold: int, low
             yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        rough = pairs.join(heads.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(heads.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        likely = rough.where(union_estimate(F.col("sa"), F.col("sb")) >= least_common(threshold) / SKETCH).select("a", "b")
-        left = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        left = sketch_filter(heads, threshold)(pairs).join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 

@@ -50,12 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path as it takes it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, found = file_system(spark, path)
+    fs.delete(found, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that written() made, once what was derived from them is written itself."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete(df.sparkSession, df.written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

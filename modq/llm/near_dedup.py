@@ -19,32 +19,34 @@ def lookups(threshold: int) -> int:
     return SKETCH - least_common(threshold) + 1
 
 
-def set_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
+def set_hashes(data: np.ndarray, offs: np.ndarray, words: int, seed: int = 0) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes, ascending, of 63 bits, so that the order of signed longs is theirs."""
     w = Words(data, offs)
-    word = w.hashes()
-    hashes, at = w.windows(word, words)
+    word = w.hashes(seed)
+    hashes, at = w.windows(word, words, salt=seed)
     hashes >>= np.uint64(1)
     bounds = np.searchsorted(at, w.first)
     for d, n in enumerate(w.counts()):
         if 0 < n < words:
-            short, _ = Words(data[offs[d] : offs[d + 1]], np.array([0, offs[d + 1] - offs[d]])).windows(word[w.first[d] : w.first[d + 1]], int(n))
+            short, _ = Words(data[offs[d] : offs[d + 1]], np.array([0, offs[d + 1] - offs[d]])).windows(word[w.first[d] : w.first[d + 1]], int(n), salt=seed)
             yield np.unique(short >> np.uint64(1))
         else:
             yield np.unique(hashes[bounds[d] : bounds[d + 1]])
 
 
 def shingle_sets(docs: DataFrame, words: int, lower: bool) -> DataFrame:
-    """doc_id, n_shingles, digest (of the whole set), sketch (its SKETCH smallest hashes), one per row of docs."""
+    """doc_id, n_shingles, digest (of the whole set, as two hashes of each shingle that rest on independent word hashes),
+    sketch (its SKETCH smallest hashes), one per row of docs."""
     schema = "doc_id long, n_shingles long, digest binary, sketch array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offs in slices(batch, "text"):
                 sizes, digests, sketches = [], [], []
-                for values in set_hashes(LOWER[data] if lower else data, offs, words):
+                bytes_ = LOWER[data] if lower else data
+                for values, again in zip(set_hashes(bytes_, offs, words), set_hashes(bytes_, offs, words, 1), strict=True):
                     sizes.append(values.size)
-                    digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                    digests.append(hashlib.blake2b(values.tobytes() + again.tobytes(), digest_size=16).digest())
                     sketches.append(values[:SKETCH])
                 flat = np.concatenate(sketches) if sketches else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([*rows_of(batch, ["doc_id"], first, end), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), long_list(flat, np.array([len(s) for s in sketches]))], names=["doc_id", "n_shingles", "digest", "sketch"])
@@ -106,7 +108,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower:
     lower); with fewer words, its whole sequence. Links: 100 * |A & B| >= threshold * |A | B|.
     component_id: the smallest doc_id that links reach.
 
-    Documents with equal sets are one class from the start. Every class keeps its set's SKETCH
+    Documents with equal sets, by a digest of the whole set, are one class from the start. Every class keeps its set's SKETCH
     smallest values under one hash function. Two linked sets differ in more than lookups() - 1 of their
     retained values with a chance below 1e-6 (in none of the sets that are kept whole), so both have one in
     common among the lookups() rarest of the corpus: only these stand in the inverted lists, and values
@@ -141,9 +143,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, lower:
 
     linked = link(postings, verifier(near, texts, words, threshold, lower), whole_sets, threshold)
     release(heads, postings, texts, near)
-    rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    heads_of = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("class_component"))
-    out = rows.join(heads_of, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    heads_of = written(classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "classes")
+    found = usable.select("doc_id", "n_shingles", "digest").join(heads_of, "digest").select("doc_id", "n_shingles", "component_id")
+    # sets that link with nothing need no join
+    out = found.unionByName(sets.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

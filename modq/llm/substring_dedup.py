@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -11,38 +12,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modq.llm.words import Words, long_list, rows_of, slices
-from modq.session import prepare, release, written
+from modq.llm.words import Words, long_list, mix, rows_of, slices
+from modq.session import delete, file_system, fresh_path, prepare, release, written
 
 WINDOW, ANCHOR = 13, 5
+#: Windows that are compared in a task's memory before they are shuffled.
+SETTLE_ROWS = 1 << 19
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def bucketed(rows: DataFrame, name: str, path: str, buckets: int, key: str, sort: bool = False) -> DataFrame:
+    """rows written to path as a table that is dealt into buckets by key, and read back."""
+    writer = rows.write.bucketBy(buckets, key)
+    (writer.sortBy(key) if sort else writer).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def forget(spark: SparkSession, name: str, path: str) -> None:
+    """Drop a table that bucketed() wrote, with its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    delete(spark, path)
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints (hash, doc_id), each a bucketed table sorted by hash.
+    """Sorted immutable runs of window fingerprints (hash, doc_id), each a bucketed table sorted by hash, in one shared folder.
 
     append() writes one run per batch; shared() merge-joins a run with all runs, bucket by bucket, without a
     shuffle of history; compact() merges the runs into one once there are more than max_runs. A run is
-    never changed: a lost executor only repeats the reading or writing of some buckets, and
-    an unfinished run isn't in the list.
+    never changed: a lost executor only repeats the reading or writing of some buckets. The runs in force are named by the last
+    of the folder's manifests, each written after its runs: an unfinished run is in none. open() finds the runs from any session.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, max_runs: int = 1):
-        self.spark, self.name = spark, name or f"fingerprints_{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None, max_runs: int = 1):
+        self.spark, self.folder = spark, folder or fresh_path(spark, "fingerprints")
         self.buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.runs: list[str] = []
-        self.made, self.max_runs = 0, max_runs
+        self.made, self.saved, self.max_runs = 0, 0, max_runs
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, max_runs: int = 1) -> FingerprintIndex:
+        """The index of a folder as its last manifest names it."""
+        fs, at = file_system(spark, folder)
+        last = max(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("manifest-"))
+        said = json.loads(spark.read.text(f"{folder}/{last}", wholetext=True).first()[0])
+        index = cls(spark, folder, said["buckets"], max_runs)
+        index.runs, index.made, index.saved = said["runs"], said["made"], said["saved"]
+        for run in index.runs:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (hash BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {index.buckets} BUCKETS LOCATION '{folder}/{run}'")
+        return index
 
     def _write(self, rows: DataFrame) -> str:
-        run = f"{self.name}_{self.made}"
+        run = f"run_{uuid.uuid4().hex}"
         self.made += 1
-        rows.write.bucketBy(self.buckets, "hash").sortBy("hash").option("compression", "zstd").format("parquet").saveAsTable(run)
+        bucketed(rows, run, f"{self.folder}/{run}", self.buckets, "hash", sort=True)
         return run
 
+    def _save(self) -> None:
+        self.saved += 1
+        fs, at = file_system(self.spark, f"{self.folder}/manifest-{self.saved:09d}.json")
+        out = fs.create(at, False)
+        out.write(bytearray(json.dumps({"runs": self.runs, "buckets": self.buckets, "made": self.made, "saved": self.saved}).encode()))
+        out.close()
+
     def append(self, fingerprints: DataFrame) -> str:
         """A batch's fingerprints (hash, doc_id) become a run."""
         run = self._write(fingerprints.select("hash", "doc_id").repartition(self.buckets, "hash"))
         self.runs.append(run)
+        self._save()
         return run
 
     def rows(self, runs: list[str] | None = None) -> DataFrame:
@@ -65,12 +101,14 @@ class FingerprintIndex:
         if len(self.runs) > self.max_runs:
             run = self._write(self.rows().distinct())  # bucket by bucket, as all runs are dealt by hash
             old, self.runs = self.runs, [run]
+            self._save()
             for r in old:
-                self.spark.sql(f"DROP TABLE {r}")
+                forget(self.spark, r, f"{self.folder}/{r}")
 
     def drop(self) -> None:
         for r in self.runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {r}")
+        delete(self.spark, self.folder)
         self.runs = []
 
 
@@ -114,12 +152,29 @@ def profiles(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
+def settled(doc: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of windows with known: whether a smaller document of these rows has the window too.
+
+    Such a row needs no other to be judged, so its fingerprint is replaced: a window of very many
+    documents doesn't bring them all to one task.
+    """
+    order = np.lexsort((doc, two, one))
+    doc, one, two, at = doc[order], one[order], two[order], at[order]
+    begins = np.ones(doc.size, bool)
+    begins[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    known = doc > doc[begins][np.cumsum(begins) - 1]
+    one, two = np.where(known, mix(doc.view(np.uint64)), one), np.where(known, at.astype(np.uint64), two)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(at), pa.array(known)], names=["doc_id", "one", "two", "at", "known"])
+
+
 def candidate_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, one (128-bit window fingerprint, in two), at (first word) for windows that cover
-    one of their document's shared anchors; docs: doc_id, text_key, text, shared."""
+    """doc_id, one, two (128-bit window fingerprint: two hashes of independent word hashes), at (first word), known (as in settled())
+    for windows that cover one of their document's shared anchors; docs: doc_id, text_key, text, shared."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n_waiting = [], 0
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
             for first, end, data, offs in slices(batch, "text"):
                 w = Words(data, offs)
                 word = w.hashes()
@@ -139,13 +194,18 @@ def candidate_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     np.add.at(hit, found + 1, -1)
                 covered = np.cumsum(hit)[:-1] > 0
                 one, starts = w.windows(word, window)
-                two, _ = w.windows(word, window, salt=1)
+                two, _ = w.windows(w.hashes(1), window, salt=1)
                 keep = np.flatnonzero(covered[starts])
                 doc = np.searchsorted(w.first, starts[keep], "right") - 1
-                rows = pa.array(first + doc)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array((starts[keep] - w.first[doc]).astype(np.int32))], names=["doc_id", "one", "two", "at"])
+                waiting.append((ids[first + doc], one[keep], two[keep], (starts[keep] - w.first[doc]).astype(np.int32)))
+                n_waiting += keep.size
+                if n_waiting >= SETTLE_ROWS:
+                    yield settled(*map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting, n_waiting = [], 0
+        if n_waiting:
+            yield settled(*map(np.concatenate, zip(*waiting, strict=True)))
 
-    return docs.select("doc_id", "text", "shared").mapInArrow(scan, "doc_id long, one long, two long, at int")
+    return docs.select("doc_id", "text", "shared").mapInArrow(scan, "doc_id long, one long, two long, at int, known boolean")
 
 
 def removed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -187,7 +247,8 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
        before it and itself, and runs are compacted. Copies of a smaller document's word sequence
        go whole without an index.
     2. Documents with a shared anchor are verified: all their windows over a shared anchor get
-       128-bit fingerprints, grouped by their least doc_id.
+       128-bit fingerprints, grouped by their least doc_id. Words themselves aren't sent: two different windows count as
+       one with a chance of 2**-128.
     3. Windows of a larger doc_id are cut.
 
     Null or empty text: no words, the SHA-256 of nothing. Null doc_id: never smaller nor larger than
@@ -223,18 +284,17 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
     everything = keyed if history is None else keyed.union(history.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text"))
     touched = everything.join(hits, "doc_id")  # text moves once: the table is bucketed by document for what follows
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store = f"touched_{uuid.uuid4().hex}"
-    touched.write.bucketBy(buckets, "doc_id").option("compression", "zstd").format("parquet").saveAsTable(store)
-    touched = spark.table(store)
+    store, place = f"touched_{uuid.uuid4().hex}", fresh_path(spark, "touched")
+    touched = bucketed(touched, store, place, buckets, "doc_id")
     release(*founds)
     if own:
         index.drop()
     # one shuffle by fingerprint; a fingerprint's rows stay where they are while its least document is found
-    windows = candidate_windows(touched, window, anchor).withColumn("low", F.min("doc_id").over(Window.partitionBy("one", "two")))
-    starts = windows.where("doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    windows = candidate_windows(touched, window, anchor).withColumn("low", F.min("doc_id").over(Window.partitionBy("known", "one", "two")))
+    starts = windows.where("known or doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     cut = removed(touched.join(starts, "doc_id"), window, with_text).dropDuplicates(["doc_id", "text_key"])
     cut = written(cut, "cut")
-    spark.sql(f"DROP TABLE {store}")
+    forget(spark, store, place)
     result = plain.join(cut, ["doc_id", "text_key"], "left")
     gone = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "words_sha"))

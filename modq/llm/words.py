@@ -6,6 +6,7 @@ slices of a record batch, so memory is bounded by a slice or one long text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,14 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -80,12 +85,33 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        up, down = powers(self.data.size)
-        total = np.zeros(self.data.size + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: self.data.size], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; other seeds give independent ones.
+
+        Eight bytes at a time are mixed in, by a function that is not linear, so that no
+        two words of a known form collide whatever the seed; long words go through BLAKE2b.
+        """
+        padded = np.zeros(self.data.size // 8 * 8 + 16, np.uint8)
+        padded[: self.data.size] = self.data
+        eights, lengths = padded.view("<u8"), self.ends - self.starts
+        out = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 + 1 & (1 << 64) - 1))
+        todo, at, left = slice(None), self.starts, np.where(lengths <= LONG_WORD, lengths, 0)
+        for _ in range(0, LONG_WORD, 8):
+            if not left.all():  # words that have ended
+                ongoing = np.flatnonzero(left)
+                todo, at, left = ongoing if isinstance(todo, slice) else todo[ongoing], at[ongoing], left[ongoing]
+            if not left.size:
+                break
+            # the eight bytes from any place lie in two aligned eights; those past the word's end are shifted out
+            shift, place = (at & 7).astype(np.uint64) << np.uint64(3), at >> 3
+            bytes8 = eights[place] >> shift | eights[place + 1] << (np.uint64(63) - shift) << np.uint64(1)
+            bytes8 = bytes8 << (np.maximum(8 - left, 0).astype(np.uint64) << np.uint64(3))
+            out[todo] = mix(out[todo] + bytes8 * np.uint64(0x9FB21C651E98DF25))
+            at, left = at + 8, np.maximum(left - 8, 0)
+        for i in np.flatnonzero(lengths > LONG_WORD):
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([seed])).digest(), "little")
+        return out
 
     def windows(self, hashes: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k consecutive words that lie in one text, and each window's first word."""

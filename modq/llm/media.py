@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modq.llm.linking import matching
 from modq.session import fresh_path, prepare, written
 
 BLOCK = 64
@@ -70,7 +71,7 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
     digest (SHA-256 of the payload), shard, offset, length (of the member's bytes), one row per digest.
 
     Each task appends to shards of its own (any file system that pyarrow opens, shared by all
-    executors) and stores a content once; where tasks meet the same content, the index keeps one place for
+    executors), with a content once a shard; where shards hold the same content, the index keeps one place for
     all. Names are new for each attempt: what a lost task wrote is named by no row.
     """
 
@@ -86,6 +87,7 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
                 out.write(bytes(2 * tarfile.BLOCKSIZE))
                 out.close()
                 out = None
+                known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["digest", "shard", "offset", "length"])
                 rows.clear()
 
@@ -184,7 +186,7 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes, digest, shard, offset, length, width, height, bits and read_back()'s columns for every row of docs.
 
     A text's payload: its UTF-8 bytes, 0 appended up to a positive multiple of BLOCK. It is stored as
-    the samples of an 8-bit greyscale PNG, one tar member per content; equal texts share digest, place
+    the samples of an 8-bit greyscale PNG, one tar member per content (more where rows of one doc_id repeat it); equal texts share digest, place
     and all values. Metadata come from header-only range reads, the rest from the bytes read back.
 
     Null text: empty. Null doc_id: kept. Repeated rows: one result each. Empty table: no rows. Other
@@ -198,9 +200,14 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     padded = F.when(n == 0, BLOCK).otherwise(F.ceil(n / BLOCK) * BLOCK).cast("int")
     # the payload's digest without Python: its bytes are the text's and zeros
     digest = F.sha2(F.concat(F.encode(text, "utf-8"), F.encode(F.repeat(F.lit("\0"), padded - n), "utf-8")), 256)
-    index = store(docs, folder)
+    at = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    rows = written(docs.select("doc_id", at.alias("at"), n.cast("long").alias("n_bytes"), digest.alias("digest")), "digests")
+    # light rows choose one of each content's rows; the others, few as a rule, keep theirs from being stored
+    first = rows.groupBy("digest").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
+    spare = written(rows.select("digest", "at").join(first, "digest").where("at <> first").select("digest", "at").distinct(), "copies")
+    once = matching(docs.select("text", at.alias("at"), digest.alias("digest")), spare, ["digest", "at"], "left_anti")
+    index = store(once, folder)
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     headed = written(read_headers(index.repartition(parts, "shard"), folder), "index")
     read = written(read_back(headed, folder), "read")
-    rows = docs.select("doc_id", n.cast("long").alias("n_bytes"), digest.alias("digest"))
-    return rows.join(headed, "digest").join(read, "digest")
+    return rows.select("doc_id", "n_bytes", "digest").join(headed, "digest").join(read, "digest")

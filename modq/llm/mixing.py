@@ -41,7 +41,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """docs' rows (doc_id, source, size, source_size, target, n_full, n_partial, taken, mix_key).
+    """docs' rows (doc_id, source, size, source_size, target, n_full, n_partial, taken, mix_key, text_key).
 
     Size: words of the whole text. Every document gets the key md5(seed:doc_id); within a source,
     documents stand in key order. A source with target T = e * source_size + r is taken e
@@ -54,9 +54,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     The result depends on keys alone, not on the ranges.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: key of the empty id, kept.
-    Ties: by doc_id, size. Repeated rows: each counts. Empty table: no rows. Other columns are ignored.
+    Ties: by doc_id, size, a hash of the text. Repeated rows: each counts. Empty table: no rows. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mix_key"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("mix_key"), F.xxhash64("text").alias("text_key"))
     rows = written(rows, "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     totals = written(totals, "sources")  # read back with its size known: small, Spark broadcasts it
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("bin_size").over(before), F.lit(0)).alias("bin_before"))
     ranges = written(ranges, "ranges")
-    within = Window.partitionBy("source", "bin").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bin").orderBy("mix_key", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     budget = F.round("target").cast("long")
@@ -77,18 +77,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rest = budget - full * F.col("source_size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("bin_before") - F.col("within"))).cast("long")
     out = placed.withColumn("n_full", full).withColumn("n_partial", partial)
-    return out.select("doc_id", "source", "size", "source_size", "target", "n_full", "n_partial", (F.col("n_full") * F.col("size") + F.col("n_partial")).alias("taken"), "mix_key")
+    return out.select("doc_id", "source", "size", "source_size", "target", "n_full", "n_partial", (F.col("n_full") * F.col("size") + F.col("n_partial")).alias("taken"), "mix_key", "text_key")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: docs' rows, once for each whole time that they are taken, and once more cut
     after n_partial words where the last cut ends inside them. Other columns stay as they are."""
-    plan = mix(docs, **settings)
-    chosen = plan.groupBy("doc_id", "size").agg(F.max("n_full").alias("mix_full"), F.max("n_partial").alias("mix_partial"))
-    chosen = chosen.select(F.col("doc_id").alias("mix_doc"), F.col("size").alias("mix_size"), "mix_full", "mix_partial")
+    # rows of equal source, doc_id and text form a lot, whose rows take what is due to it one after the other
+    lot = ["source", "doc_id", "text_key"]
+    due = mix(docs, **settings).groupBy(*lot).agg(F.count("*").alias("n"), F.max("n_full").alias("mix_full"), F.sum("n_partial").alias("due"))
+    due = written(due.select(*[F.col(c).alias(f"lot_{c}") for c in lot], "n", "mix_full", "due"), "due")
     # a row travels as one struct, so that no name of its columns meets one of these
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), word_count(F.col("text")).alias("mix_words"))
-    rows = rows.join(chosen, F.col("d.doc_id").eqNullSafe(F.col("mix_doc")) & (F.col("mix_words") == F.col("mix_size")))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), word_count(F.col("text")).alias("mix_words"), F.xxhash64("text").alias("mix_text"))
+    same = F.col("d.source").eqNullSafe(F.col("lot_source")) & F.col("d.doc_id").eqNullSafe(F.col("lot_doc_id")) & (F.col("mix_text") == F.col("lot_text_key"))
+    rows = rows.join(due, same)
+    at = F.row_number().over(Window.partitionBy("lot_source", "lot_doc_id", "lot_text_key").orderBy(F.monotonically_increasing_id()))
+    single = rows.where("n = 1").withColumn("mix_partial", F.col("due"))
+    several = rows.where("n > 1").withColumn("mix_partial", F.greatest(F.lit(0), F.least(F.col("mix_words"), F.col("due") - (at - 1) * F.col("mix_words"))))
+    rows = single.unionByName(several)
     text, none = F.col("d.text"), F.array().cast("array<string>")
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.col("mix_partial").cast("int")), "")
     whole = F.when(F.col("mix_full") > 0, F.array_repeat(text, F.col("mix_full").cast("int"))).otherwise(none)

@@ -139,7 +139,7 @@ def learn(labelled: DataFrame) -> DecisionList:
     Fewer than two labels: an empty list.
     """
     columns = {f: F.col(f) for f in FEATURES}
-    rows = written(labelled.select(*FEATURES, "bad", (F.abs(F.hash(*FEATURES)) % 2 == 0).alias("grows")), "labelled")
+    rows = written(labelled.select(*FEATURES, "bad", (F.pmod(F.hash(*FEATURES), F.lit(2)) == 0).alias("grows")), "labelled")
     at = [i / (QUANTILES + 1) for i in range(1, QUANTILES + 1)] + [0.001, 0.01, 0.99, 0.999]
     found = rows.groupBy("bad").agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).collect()
     if len(found) < 2:
@@ -226,6 +226,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         taken = written(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "marked")
         few = docs.select("doc_id", "text").join(taken, "doc_id")
-        few = text_stats(few).withColumn("base_failed", failed).where(~F.col("base_failed"))
+        # written once: each feature would compute the statistics anew
+        few = written(text_stats(few).select("quality", "q_words", "q_parts"), "label-statistics").where(~failed)
         rules = learn(few.select(*[c.alias(f) for f, c in features().items()], (F.col("quality") == 0).alias("bad")))
     return stats.withColumn("rule", rules.verdict(features())).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -52,10 +52,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def candidates(text: str, base: list[tuple]) -> list[tuple[int, int, int, str]]:
     """Random-looking runs that no base span overlaps, as kind 3."""
-    out = []
+    out, waiting, last = [], sorted((s, e) for _, s, e, _ in base), 0
+    waiting.reverse()
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if looks_live(m[0]) and not any(s < b and a < e for _, s, e, _ in base):
+        while waiting and waiting[-1][0] < b:  # last: where base spans that begin before b have ended
+            last = max(last, waiting.pop()[1])
+        if last <= a and looks_live(m[0]):
             out.append((3, a, b, m[0]))
     return out
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modq.llm import tokens
+from modq.llm.linking import matching
 from modq.session import fresh_path, prepare, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,10 +18,10 @@ CACHE_SCHEMA = "digest string, n_tokens long"
 
 
 def read_cache(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
-    """Stored counts of one tokenizer version, one row per content digest; empty where none are stored."""
+    """Stored counts of one tokenizer version; empty where none are stored. A digest that was appended twice has equal rows."""
     path = f"{cache}/tokenizer={tokens.version(tokenizer)}"
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path).dropDuplicates(["digest"])
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -45,8 +46,10 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = VOC
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("digest"))
     light = written(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
-    lacking = light.groupBy("digest").agg(F.min("doc_id").alias("owner")).join(read_cache(spark, cache, tokenizer), "digest", "left_anti")
-    lacking = written(lacking, "misses").withColumnRenamed("digest", "missing")
+    wanted = written(light.groupBy("digest").agg(F.min("doc_id").alias("owner")), "wanted")
+    # a small batch is broadcast to the stored counts, which then are read but not shuffled
+    hits = matching(read_cache(spark, cache, tokenizer), wanted.select("digest"), ["digest"], "left_semi").dropDuplicates(["digest"])
+    lacking = written(wanted.join(hits, "digest", "left_anti"), "misses").withColumnRenamed("digest", "missing")
     owned = keyed.join(lacking, (keyed.digest == lacking.missing) & keyed.doc_id.eqNullSafe(lacking.owner), "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +60,6 @@ def count_tokens(docs: DataFrame, cache: str | None = None, tokenizer: str = VOC
 
     fresh = owned.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).dropDuplicates(["digest"])  # of equal rows
     fresh.write.mode("append").parquet(f"{cache}/tokenizer={tokens.version(tokenizer)}")
-    counts = read_cache(spark, cache, tokenizer)
+    counts = matching(read_cache(spark, cache, tokenizer), wanted.select("digest"), ["digest"], "left_semi").dropDuplicates(["digest"])
     found = light.join(counts, "digest")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -137,8 +138,27 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    words = sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect())
-    assert abs(words - sum(r["taken"] for r in rows)) <= 3 * len(WORD.findall(TEXTS[3]))
+    got, want = Counter(), Counter()
+    for r in mixed.collect():
+        got[(r["source"], r["doc_id"])] += len(WORD.findall(r["text"] or ""))
+    for r in rows:
+        want[(r["source"], r["doc_id"])] += r["taken"]
+    assert +got == +want
+
+
+def test_mixed_rows_without_an_id_and_repeated_rows(spark):
+    """Every source's words come out to the word, whatever its rows share."""
+    rows = [(None, "s", "a b c d e"), (None, "t", "f g h i j"), (None, "t", "k l m n o"), (None, "t", "p q r s t"), (7, "t", "u v w x y"), (7, "t", "u v w x y"), (7, "t", "u v w x y"), (None, None, "z z z"), (8, "s", None), (9, "s", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.mix(docs).collect()
+    got = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len((r["text"] or "").split())
+    want = Counter()
+    for r in plan:
+        want[r["source"]] += r["taken"]
+    assert +got == +want
+    assert all(abs(want[r["source"]] - r["target"]) < 1 for r in plan)
 
 
 def test_substring_dedup(docs, empty):

@@ -15,8 +15,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component stays in the texts; n_chars follows. Documents stay, if only as an empty text."""
-    done = line_dedup.dedup_lines(docs)
+    """One line of each component stays in the texts; n_chars follows. A document all of whose lines stand
+    in others before it, as a copy's do, goes; one without lines stays."""
+    done = line_dedup.dedup_lines(docs).where("n_lines = 0 or n_removed_lines < n_lines")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
     return done.select(docs.columns)

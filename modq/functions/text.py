@@ -64,23 +64,21 @@ def word_ngrams(text: Column, least: int, most: int) -> Column:
     return _grams(F.filter(F.split(text, SPACES), lambda c: c != ""), least, most, " ")
 
 
-def murmur3_32(texts: list[bytes]) -> np.ndarray:
-    """Signed MurmurHash3 x86 32, seed 0, of each; strings of equal length are hashed together."""
-    out = np.zeros(len(texts), np.uint32)
-    lengths = np.array([len(t) for t in texts])
+def murmur3_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Signed MurmurHash3 x86 32, seed 0, of data[start:end] each; spans of equal length are hashed together."""
+    out, lengths = np.zeros(starts.size, np.uint32), ends - starts
     c1, c2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
     rotate = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        data = np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(len(at), n)
-        h = np.zeros(len(at), np.uint32)
-        for b in range(0, n - n % 4, 4):
-            k = data[:, b : b + 4].copy().view("<u4")[:, 0]
-            h = rotate(h ^ (rotate(k * c1, 15) * c2), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        rows = np.zeros((at.size, -(-n // 4) * 4), np.uint8)
+        rows[:, :n] = data[starts[at][:, None] + np.arange(n)]
+        blocks = rows.view("<u4")
+        h = np.zeros(at.size, np.uint32)
+        for b in range(n // 4):
+            h = rotate(h ^ (rotate(blocks[:, b] * c1, 15) * c2), 13) * np.uint32(5) + np.uint32(0xE6546B64)
         if n % 4:
-            tail = np.zeros((len(at), 4), np.uint8)
-            tail[:, : n % 4] = data[:, n - n % 4 :]
-            h ^= rotate(tail.view("<u4")[:, 0] * c1, 15) * c2
+            h ^= rotate(blocks[:, -1] * c1, 15) * c2
         h ^= np.uint32(n)
         h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
@@ -88,6 +86,12 @@ def murmur3_32(texts: list[bytes]) -> np.ndarray:
     return out.view(np.int32)
 
 
+def murmur3_32(texts: list[bytes]) -> np.ndarray:
+    """murmur3_spans of whole strings."""
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    return murmur3_spans(np.frombuffer(b"".join(texts), np.uint8), np.append(0, ends[:-1])[: len(texts)], ends)
+
+
 def hash_bucket(gram: Column, n_features: int, alternate_sign: bool = True) -> Column:
     """struct(bucket, sign): abs(h) mod n_features, and -1 for negative h with alternate_sign.
 

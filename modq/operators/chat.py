@@ -374,10 +374,70 @@ def empty_response_flags(responses: DataFrame) -> DataFrame:
     return rows.withColumn("empty", (said <= 2) & (F.size("tool_calls") == 0))
 
 
-def chat_export(blocks: DataFrame, target: str, model: str = "model") -> DataFrame:
+#: Where each dialect keeps a generation option. Those that a dialect lacks are left out of it.
+OPTION_NAMES = {
+    "openai_chat": {"max_tokens": "max_tokens", "temperature": "temperature", "top_p": "top_p", "stop": "stop"},
+    "claude_chat": {"max_tokens": "max_tokens", "temperature": "temperature", "top_p": "top_p", "stop": "stop_sequences"},
+    "openai_responses": {"max_tokens": "max_output_tokens", "temperature": "temperature", "top_p": "top_p"},
+    "gemini_chat": {"max_tokens": "maxOutputTokens", "temperature": "temperature", "top_p": "topP", "stop": "stopSequences"},
+}
+OPTIONS = {"tool_choice": "string", "tool_name": "string", "max_tokens": "bigint", "temperature": "double", "top_p": "double", "stop": "array<string>"}
+
+
+def json_text(s: Column) -> Column:
+    """A string as a JSON string."""
+    return F.to_json(F.array(s)).substr(F.lit(2), F.length(F.to_json(F.array(s))) - 2)
+
+
+def json_object(*pairs: tuple[str, Column]) -> Column:
+    """A JSON object of name and JSON value; null values are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), c) for k, c in pairs]), F.lit("}"))
+
+
+def object_schema(schema: Column) -> Column:
+    """A tool's JSON schema as one of an object: with type object, properties, and required only if it is a list."""
+    v = F.try_parse_json(schema)
+    fine = either(string_of(v, "$.type") == "object") & either(is_kind(at(v, "$.properties"), "OBJECT")) & (~has(v, "$.required") | either(is_kind(at(v, "$.required"), "ARRAY")))
+    part = lambda path, kind: F.when(is_kind(at(v, path), kind), F.to_json(at(v, path)))
+    rebuilt = json_object(("type", F.lit('"object"')), ("description", part("$.description", "STRING")), ("properties", F.coalesce(part("$.properties", "OBJECT"), F.lit("{}"))), ("required", part("$.required", "ARRAY")))
+    return F.when(fine, schema).otherwise(rebuilt)
+
+
+def request_settings(target: str, tools: Column, option: dict[str, Column]) -> list[tuple[str, Column]]:
+    """The target's JSON fields for tools (array of name, description, input_schema; null: none), tool choice and options."""
+    listed = lambda each: F.when(F.size(tools) > 0, F.concat(F.lit("["), F.array_join(F.transform(tools, each), ","), F.lit("]")))
+    named = lambda t, schema: (("name", json_text(t["name"])), ("description", json_text(t.description)), (schema, object_schema(t.input_schema) if schema == "input_schema" else t.input_schema))
+    kind = lambda k: F.lit(f'"{k}"')
+    choice, one = option["tool_choice"], option["tool_name"]
+    name = json_text(one)
+    values = {"max_tokens": option["max_tokens"].cast("string"), "temperature": option["temperature"].cast("string"), "top_p": option["top_p"].cast("string"), "stop": F.when(F.size(option["stop"]) > 0, F.to_json(option["stop"]))}
+    options = [(to, values[own]) for own, to in OPTION_NAMES[target].items()]
+    if target == "openai_chat":
+        given = listed(lambda t: json_object(("type", kind("function")), ("function", json_object(*named(t, "parameters")))))
+        chosen = F.when(one.isNotNull(), json_object(("type", kind("function")), ("function", json_object(("name", name))))).otherwise(json_text(choice))
+    elif target == "openai_responses":
+        given = listed(lambda t: json_object(("type", kind("function")), *named(t, "parameters")))
+        chosen = F.when(one.isNotNull(), json_object(("type", kind("function")), ("name", name))).otherwise(json_text(choice))
+    elif target == "claude_chat":
+        given = listed(lambda t: json_object(*named(t, "input_schema")))
+        mode = F.when(choice == "required", "any").when(choice == "none", "auto").otherwise(choice)
+        chosen = F.when(one.isNotNull(), json_object(("type", kind("tool")), ("name", name))).when(mode.isNotNull(), json_object(("type", json_text(mode))))
+    else:
+        declared = listed(lambda t: json_object(*named(t, "parameters")))
+        given = F.when(declared.isNotNull(), F.concat(F.lit("["), json_object(("functionDeclarations", declared)), F.lit("]")))
+        mode = F.when(one.isNotNull() | (choice == "required"), "ANY").when(choice.isNotNull(), F.upper(choice))
+        config = json_object(("mode", json_text(mode)), ("allowedFunctionNames", F.concat(F.lit("["), name, F.lit("]"))))
+        chosen = F.when(mode.isNotNull(), json_object(("functionCallingConfig", config)))
+        some = F.coalesce(*[c for _, c in options]).isNotNull()
+        return [("tools", given), ("toolConfig", chosen), ("generationConfig", F.when(some, json_object(*options)))]
+    return [("tools", given), ("tool_choice", chosen), *options]
+
+
+def chat_export(blocks: DataFrame, target: str, model: str = "model", tools: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
     """request_id, path, body: one JSON body of the target dialect for each request of blocks.
 
-    A request's blocks meet once, by request_id, and are put in order there.
+    tools: explode_tools()' rows. options: request_id and any of OPTIONS, one row a request (tool_choice: auto, required or
+    none; tool_name: the one tool to call). A request's blocks meet once, by request_id, and are put in order there.
     """
     fields = ["msg_seq", "block_seq", "role", "kind", "text", "call_id", "name", "payload", "url"]
     filled = blocks
@@ -386,8 +446,7 @@ def chat_export(blocks: DataFrame, target: str, model: str = "model") -> DataFra
     by_message = filled.groupBy("request_id", "msg_seq").agg(F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct(*fields[1:]))).alias("b"))
     of = lambda b, kind: F.filter(b, lambda x: x.kind == kind)
     texts = lambda b: F.transform(of(b, "text"), lambda x: x.text)
-    quoted = lambda s: F.to_json(F.array(s)).substr(F.lit(2), F.length(F.to_json(F.array(s))) - 2)
-    obj = lambda *pairs: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), c) for k, c in pairs]), F.lit("}"))
+    quoted, obj = json_text, json_object
     arr = lambda a: F.concat(F.lit("["), F.array_join(a, ","), F.lit("]"))
     b, role, system = F.col("b"), F.col("role"), F.col("role") == "system"
     plain = quoted(F.array_join(texts(b), "\n"))
@@ -425,14 +484,23 @@ def chat_export(blocks: DataFrame, target: str, model: str = "model") -> DataFra
     head = quoted(F.array_join(told, glue))
     some = F.size(told) > 0
     name = ("model", F.lit(f'"{model}"'))
+    tooled = whole.withColumn("tools", F.lit(None).cast("array<struct<seq:int,name:string,description:string,input_schema:string>>"))
+    if tools is not None:
+        held = tools.groupBy(F.col("request_id").alias("asked")).agg(F.array_sort(F.collect_list(F.struct("seq", "name", "description", "input_schema"))).alias("tools"))
+        tooled = whole.join(held, F.col("request_id") == F.col("asked"), "left")
+    if options is not None:
+        own = options.select(F.col("request_id").alias("set_for"), F.struct(*[(F.col(c) if c in options.columns else F.lit(None)).cast(t).alias(c) for c, t in OPTIONS.items()]).alias("o"))
+        tooled = tooled.join(own, F.col("request_id") == F.col("set_for"), "left")
+    option = {c: F.col(f"o.{c}") if options is not None else F.lit(None).cast(t) for c, t in OPTIONS.items()}
+    more = request_settings(target, F.col("tools"), option)
     if target == "openai_chat":
-        body, path = obj(name, ("messages", listed)), "/v1/chat/completions"
+        body, path = obj(name, ("messages", listed), *more), "/v1/chat/completions"
     elif target == "claude_chat":
-        body, path = F.when(some, obj(name, ("system", head), ("messages", listed))).otherwise(obj(name, ("messages", listed))), "/v1/messages"
+        body, path = obj(name, ("system", F.when(some, head)), ("messages", listed), *more), "/v1/messages"
     elif target == "openai_responses":
         inputs = F.when(listed == "[]", F.lit('""')).otherwise(listed)
-        body, path = F.when(some, obj(name, ("instructions", head), ("input", inputs))).otherwise(obj(name, ("input", inputs))), "/v1/responses"
+        body, path = obj(name, ("instructions", F.when(some, head)), ("input", inputs), *more), "/v1/responses"
     else:
         instruction = obj(("parts", F.concat(F.lit("["), obj(("text", head)), F.lit("]"))))
-        body, path = F.when(some, obj(("systemInstruction", instruction), ("contents", listed))).otherwise(obj(("contents", listed))), f"/v1beta/models/{model}:generateContent"
-    return whole.select("request_id", F.lit(path).alias("path"), body.alias("body"))
+        body, path = obj(("systemInstruction", F.when(some, instruction)), ("contents", listed), *more), f"/v1beta/models/{model}:generateContent"
+    return tooled.select("request_id", F.lit(path).alias("path"), body.alias("body"))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modq.functions import text as T
+from modq.functions.grams import hashed_sums, hashed_vectors
 from modq.operators.store import lookup_by_text
 from modq.session import written
 
 ERROR_CODE = "BASIC_MODERATION_BLOCKED"
 #: Up to so many keywords are looked up one by one; more go through shared 3-grams first.
 NESTED_KEYWORDS = 1000
+#: Buckets of a model that is sent whole to every task: 16 MB.
+MOST_DENSE = 1 << 22
 
 
 def keyword_block(texts: DataFrame, keywords: DataFrame, error_code: str = ERROR_CODE, key: str = "id") -> DataFrame:
@@ -27,9 +31,15 @@ def keyword_block(texts: DataFrame, keywords: DataFrame, error_code: str = ERROR
         hits = texts.select(key, "low").join(F.broadcast(words), F.col("low").contains(F.col("normalized")))
     else:
         short = words.where(F.length("normalized") < 3)
-        grams = texts.select(key, "low", F.explode(F.array_distinct(T.char_ngrams(F.col("low"), 3, 3))).alias("gram"))
-        hits = grams.join(words.where(F.length("normalized") >= 3).withColumn("gram", F.left("normalized", F.lit(3))), "gram").where(F.col("low").contains(F.col("normalized"))).drop("gram")
-        hits = hits.select(key, "low", "pos", "original", "normalized").unionByName(texts.select(key, "low").join(short, F.col("low").contains(F.col("normalized"))))
+        long_ = words.where(F.length("normalized") >= 3).withColumn("gram", F.left("normalized", F.lit(3)))
+        # only grams that begin a keyword are shuffled, without their texts; a text joins its few candidates as an array
+        begins = long_.select("gram").distinct()
+        grams = texts.select(F.col(key).alias("k"), F.explode(F.array_distinct(T.char_ngrams(F.col("low"), 3, 3))).alias("gram")).join(begins, "gram", "left_semi")
+        asked = grams.join(long_, "gram").groupBy("k").agg(F.collect_list(F.struct("pos", "original", "normalized")).alias("asked"))
+        held = texts.select(key, "low").join(asked, F.col(key) == F.col("k"))
+        held = held.select(key, F.explode(F.filter("asked", lambda w: F.contains(F.col("low"), w.normalized))).alias("w")).select(key, "w.*")
+        # keywords of one or two characters: as many as there are pairs of characters, at most
+        hits = held.unionByName(texts.select(key, "low").join(short, F.col("low").contains(F.col("normalized"))).select(key, "pos", "original", "normalized"))
     first = hits.groupBy(F.col(key).alias("hit_key")).agg(F.min_by("original", "pos").alias("keyword"))
     out = texts.drop("low").join(first, F.col(key) == F.col("hit_key"), "left").drop("hit_key")
     reason = F.when(F.col("keyword").isNotNull(), F.concat(F.lit(f"[{error_code}] Matched keyword: "), "keyword"))
@@ -58,29 +68,28 @@ def score_tokens(texts: DataFrame, terms: DataFrame, intercept: float, tokens: C
     return score_terms(texts, terms, intercept, tokens, use_idf=False, key=key)
 
 
-def hashed_features(texts: DataFrame, n_features: int = 1 << 20, ngrams: tuple[int, int] = (2, 4), analyzer: str = "char", lowercase: bool = True, norm: str | None = "l2", alternate_sign: bool = True, key: str = "id") -> DataFrame:
-    """key, bucket, value: hashed n-gram counts of each text, divided by their length with norm l2.
+def hashed_features(texts: DataFrame, key: str = "id", **features) -> DataFrame:
+    """key, bucket, value: hashed_vectors()' features of each text, one row each."""
+    rows = hashed_vectors(texts, [key], **features)
+    return rows.select(key, F.explode(F.arrays_zip("buckets", "values")).alias("x")).select(key, F.col("x.buckets").alias("bucket"), F.col("x.values").alias("value"))
 
-    Grams are counted per text in each task first; only distinct grams are hashed.
+
+def score_hashed(texts: DataFrame, buckets: DataFrame, intercept: float, key: str = "id", n_features: int = 1 << 20, **features) -> DataFrame:
+    """key, z, p from buckets (bucket, weight; absent ones weigh nothing) over the hashed features of each text.
+
+    A model of up to MOST_DENSE buckets goes to the tasks as one array, which bounds it, and a text's sum is made where the text is
+    read; with more buckets, features meet their weights in a join.
     """
-    plain = T.clean_newlines(F.col("text"))
-    plain = T.normalize_spaces(F.lower(plain) if lowercase else plain)
-    grams = T.char_ngrams(plain, *ngrams) if analyzer == "char" else T.word_ngrams(plain, *ngrams)
-    counts = texts.select(F.col(key).alias("k"), F.explode(grams).alias("gram")).groupBy("k", "gram").count()
-    hashed = counts.select("gram").distinct().select("gram", T.hash_bucket(F.col("gram"), n_features, alternate_sign).alias("b"))
-    values = counts.join(hashed, "gram").groupBy("k", F.col("b.bucket").alias("bucket")).agg(F.sum(F.col("count") * F.col("b.sign")).cast("double").alias("value")).where("value <> 0")
-    if norm == "l2":
-        lengths = values.groupBy("k").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-        values = values.join(lengths, "k").select("k", "bucket", F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(F.col("value")).alias("value"))
-    return values.withColumnRenamed("k", key)
-
-
-def score_hashed(texts: DataFrame, buckets: DataFrame, intercept: float, key: str = "id", **features) -> DataFrame:
-    """key, z, p from buckets (bucket, weight; absent ones weigh nothing) over hashed_features."""
-    values = hashed_features(texts, key=key, **features)
-    sums = values.join(buckets.select("bucket", "weight"), "bucket").groupBy(F.col(key).alias("k")).agg(F.sum(F.col("weight").cast("double") * F.col("value")).alias("s"))
-    z = F.lit(float(intercept)) + F.coalesce("s", F.lit(0.0))
-    return texts.select(key).join(sums, F.col(key) == F.col("k"), "left").select(key, z.alias("z")).withColumn("p", T.sigmoid(F.col("z")))
+    if n_features <= MOST_DENSE:
+        known = buckets.select("bucket", F.col("weight").cast("float")).toPandas()
+        weights = np.zeros(n_features, np.float32)
+        weights[known["bucket"].to_numpy(np.int64)] = known["weight"].to_numpy(np.float32)
+        sums = hashed_sums(texts, weights, key, n_features, **features)
+    else:
+        values = hashed_features(texts, key=key, n_features=n_features, **features)
+        found = values.join(buckets.select("bucket", "weight"), "bucket").groupBy(F.col(key).alias("k")).agg(F.sum(F.col("weight").cast("double") * F.col("value")).alias("s"))
+        sums = texts.select(key).join(found, F.col(key).eqNullSafe(F.col("k")), "left")
+    return sums.select(key, (F.lit(float(intercept)) + F.coalesce("s", F.lit(0.0))).alias("z")).withColumn("p", T.sigmoid(F.col("z")))
 
 
 def decide(scored: DataFrame, low: float = 0.2, high: float = 0.8, source: str = "local") -> DataFrame:
@@ -118,7 +127,11 @@ def moderate(requests: DataFrame, keywords: DataFrame, scorer, history: DataFram
     Keywords look at the full text. What follows sees the text cut in the middle: each distinct (profile, text) is
     decided once; a drawn share goes to review before the model; scorer(texts) gives id, p; p
     outside the bands decides; the rest reuse the newest equal sample of history, or go to review.
+
+    Every request gets a decision. A null text counts as an empty one; a null profile is a profile of its own, without
+    history.
     """
+    requests = requests.withColumn("text", F.coalesce("text", F.lit("")))
     blocked = written(keyword_block(requests.select("id", "profile", "text"), keywords, error_code), "keyword-blocks")
     rest = blocked.where("keyword is null").select("id", "profile", T.truncate_middle(F.col("text"), max_text).alias("text"))
     rest = rest.withColumn("text_hash", T.text_hash(F.col("text")))
@@ -135,7 +148,8 @@ def moderate(requests: DataFrame, keywords: DataFrame, scorer, history: DataFram
         F.col("hit_category").alias("category"), F.when(known, F.concat(F.lit("history: sample "), F.col("hit_id").cast("string"))).alias("reason"), "p",
     )
     verdicts = clear.unionByName(settled)
-    by_model = rest.select("id", "profile", "text_hash").join(verdicts, ["profile", "text_hash"])
+    settled_for = verdicts.select(F.col("profile").alias("own"), F.col("text_hash").alias("hash"), "decision", "source", "category", "reason", "p")
+    by_model = rest.select("id", "profile", "text_hash").join(settled_for, F.col("profile").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("hash"))).drop("own", "hash")
     by_rule = blocked.where("keyword is not null").select("id", "profile", T.text_hash(T.truncate_middle(F.col("text"), max_text)).alias("text_hash"), F.lit("block").alias("decision"), F.lit("keyword").alias("source"), F.lit(None).cast("string").alias("category"), F.col("keyword_reason").alias("reason"), F.lit(None).cast("double").alias("p"))
     return by_rule.unionByName(by_model)
 

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modq.functions.text import text_hash, trimmed
-from modq.session import written
+from modq.session import release, written
 
 SCHEMA = "profile string, id bigint, text string, label int, category string, created_at timestamp_ntz, text_hash string"
 
 
+#: Rows that are taken by a limited sort, which ends in one task.
+MOST_SORTED = 10_000
+
+
 def draw(seed: int, *key: str) -> Column:
     """A seeded hash that orders rows at random, the same in every run."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
@@ -73,8 +77,13 @@ def meta_drift(samples: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def lookup_by_text(texts: DataFrame, samples: DataFrame) -> DataFrame:
-    """texts (profile, text, more) with the newest equal text's sample: hit_id, hit_label, hit_category; nulls without one."""
-    newest = latest_by_text(samples).select("profile", "text_hash", F.col("text").alias("hit_text"), F.col("id").alias("hit_id"), F.col("label").alias("hit_label"), F.col("category").alias("hit_category"))
+    """texts (profile, text, more) with the newest equal text's sample: hit_id, hit_label, hit_category; nulls without one.
+
+    Of the history only samples with a hash of texts are grouped.
+    """
+    asked = texts.select("profile", text_hash(F.col("text")).alias("text_hash")).distinct()
+    hashed = samples.withColumn("text_hash", F.coalesce("text_hash", text_hash(F.col("text"))))
+    newest = latest_by_text(hashed.join(asked, ["profile", "text_hash"], "left_semi")).select("profile", "text_hash", F.col("text").alias("hit_text"), F.col("id").alias("hit_id"), F.col("label").alias("hit_label"), F.col("category").alias("hit_category"))
     keyed = texts.withColumn("text_hash", text_hash(F.col("text")))
     hits = keyed.join(newest, (keyed.profile == newest.profile) & (keyed.text_hash == newest.text_hash) & (keyed.text == newest.hit_text), "left")
     return hits.select(*[keyed[c] for c in texts.columns], "hit_id", "hit_label", "hit_category")
@@ -84,13 +93,40 @@ def lookup_by_id(ids: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.join(ids.select("profile", "id").distinct(), ["profile", "id"], "left_semi")
 
 
+def least(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The n rows that come first by order (any of those that tie for the last place); all if there are fewer.
+
+    Up to MOST_SORTED rows one limited sort takes them. For more, no full row is brought to one task: the light
+    sort keys are range-sorted, the cut is found from the ranges' counts, and rows up to it are kept where they are.
+    """
+    if n <= MOST_SORTED:
+        return rows.orderBy(*order).limit(n)
+    keys = [f"key{i}" for i in range(len(order))]
+    named = lambda columns: F.struct(*[c.alias(k) for c, k in zip(columns, keys, strict=True)])
+    light = rows.select(named(order).alias("k")).repartitionByRange("k").sortWithinPartitions("k")
+    light = written(light.withColumn("part", F.spark_partition_id()), "keys")
+    before = 0
+    for r in light.groupBy("part").count().orderBy("part").collect():  # a row for each shuffle partition
+        if before + r["count"] < n:
+            before += r["count"]
+            continue
+        own = light.where(F.col("part") == r["part"])
+        last = own.orderBy("k").limit(n - before).agg(F.max("k").alias("k")).first()["k"]
+        cut = named([F.lit(x) for x in last])
+        below = before + own.where(F.col("k") < cut).count()
+        release(light)
+        return rows.where(named(order) < cut).unionByName(rows.where(named(order) == cut).limit(n - below))
+    release(light)
+    return rows
+
+
 def latest_samples(samples: DataFrame, n: int) -> DataFrame:
-    return samples.orderBy(F.desc("id")).limit(n)
+    return least(samples, n, -F.col("id"))
 
 
 def random_samples(samples: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows at random without replacement, all if there are fewer: the least by a seeded hash of the id."""
-    return samples.orderBy(draw(seed, "id"), "id").limit(n)
+    return least(samples, n, draw(seed, "id"), F.col("id"))
 
 
 def _labels(samples: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:

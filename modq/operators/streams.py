@@ -9,7 +9,7 @@ from modq.functions.text import is_kind, items_of, string_of
 from modq.operators.chat import at, either, has, objects
 
 EVENT = "struct<kind:string,key:string,text:string,call_id:string,name:string,finish_reason:string,input_tokens:bigint,output_tokens:bigint>"
-#: Fixed value: after so many bytes a stream passes whatever it says.
+#: Fixed value: after more than so many bytes a stream passes whatever it says.
 PRECHECK_BYTES = 1048
 
 
@@ -137,10 +137,10 @@ def reassemble_streams(events: DataFrame) -> DataFrame:
 
 
 def stream_health(chunks: DataFrame) -> DataFrame:
-    """stream_id, bytes, passes, message: more than two content characters or a tool call pass, and so do
-    streams that reach PRECHECK_BYTES; passed_at is the chunk that reaches them."""
+    """stream_id, bytes, passed_at, passes, message: more than two content characters or a tool call pass, and so do
+    streams of more than PRECHECK_BYTES; passed_at is the chunk that exceeds them."""
     running = F.sum(F.octet_length("chunk")).over(Window.partitionBy("stream_id").orderBy("seq"))
-    sizes = chunks.select("stream_id", "seq", "chunk", running.alias("upto")).groupBy("stream_id").agg(F.max("upto").alias("bytes"), F.min(F.when(F.col("upto") >= PRECHECK_BYTES, F.col("seq"))).alias("passed_at"))
+    sizes = chunks.select("stream_id", "seq", "chunk", running.alias("upto")).groupBy("stream_id").agg(F.max("upto").alias("bytes"), F.min(F.when(F.col("upto") > PRECHECK_BYTES, F.col("seq"))).alias("passed_at"))
     whole = reassemble_streams(frames_to_events(chunks_to_frames(chunks)))
     rows = sizes.join(whole, "stream_id", "left")
     said = F.length(F.concat(F.coalesce("text", F.lit("")), F.coalesce("reasoning", F.lit(""))))

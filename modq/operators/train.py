@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import time
 import uuid
 
 import numpy as np
@@ -11,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modq.functions import text as T
-from modq.operators.moderate import hashed_features
+from modq.functions.grams import hashed_vectors
 from modq.operators.store import draw
-from modq.session import written
+from modq.session import release, written
 
 RATE = 0.35
 #: Samples of a shard, at most but for the hash's unevenness.
@@ -46,45 +48,47 @@ def train_terms(samples: DataFrame, max_features: int) -> tuple[DataFrame, float
     return terms, math.log((one + 1) / (zero + 1))
 
 
-def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shards: int | None = None, seed: int = 42, rate: float = RATE, **features) -> tuple[DataFrame, float]:
-    """(bucket, weight; intercept) of a logistic model over hashed_features, by sharded SGD and model averaging.
+def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shards: int | None = None, seed: int = 42, rate: float = RATE, max_seconds: float | None = None, **features) -> tuple[DataFrame, float]:
+    """(bucket, weight; intercept) of a logistic model over hashed features, by sharded SGD and model averaging.
 
     Every epoch each shard (a hash of the id) starts from the averaged weights of its own buckets and goes once
     through its samples in a seeded order: error = y - p; intercept += rate * error; weight += rate * (error * value - alpha *
     weight) on the sample's buckets, in 32-bit floats. Shards' weights are averaged over the shards that have the
     bucket, by rows of it. One shard is plain SGD. A shard must fit a task: unless
-    shards is given, there is one for every SHARD samples.
+    shards is given, there is one for every SHARD samples. After max_seconds no further epoch begins.
     """
+    began = time.monotonic()
     zero, one = label_counts(samples)
     start = math.log((one + 1) / (zero + 1))
     shards = shards or math.ceil((zero + one) / SHARD)
-    keyed = samples.select("id", "text", F.when(F.col("label") == 0, 0.0).otherwise(1.0).alias("y"))
-    rows = hashed_features(keyed, **features).groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("x"))
-    rows = keyed.select("id", "y").join(rows, "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    keyed = samples.select("id", F.when(F.col("label") == 0, 0.0).otherwise(1.0).alias("y"), "text")
+    rows = hashed_vectors(keyed, ["id", "y"], **features).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     data = written(rows, "hashed-samples")
+    needed = written(data.select(F.col("shard").alias("at_shard"), F.explode("buckets").alias("bucket")).distinct(), "shard-buckets")
     weights, intercept = None, start
     for epoch in range(epochs):
+        if epoch and max_seconds is not None and time.monotonic() - began >= max_seconds:
+            break
         part = data.withColumn("turn", draw(seed + epoch, "id"))
-        needed = part.select(F.col("shard").alias("at_shard"), F.explode("x.bucket").alias("bucket")).distinct()
-        known = needed.join(weights, "bucket") if weights is not None else needed.where("false").withColumn("weight", F.lit(0.0).cast("float"))
-
+        known = needed.join(weights, "bucket", "left") if weights is not None else needed.withColumn("weight", F.lit(0.0).cast("float"))
         at_start = intercept
 
-        def step(samples_: pd.DataFrame, weights_: pd.DataFrame, at_start: float) -> pd.DataFrame:
-            w = dict(zip(weights_["bucket"].to_numpy(), weights_["weight"].to_numpy(np.float32), strict=True))
-            bias, turn_rate, decay = np.float64(at_start), rate, np.float32(alpha)
-            for y, x in zip(samples_.sort_values(["turn", "id"])["y"], samples_.sort_values(["turn", "id"])["x"], strict=True):
-                x = [] if x is None else x
-                buckets, values = [e["bucket"] for e in x], np.array([e["value"] for e in x], np.float64)
-                own = np.array([w.get(k, np.float32(0)) for k in buckets], np.float32)
+        def step(left: pd.DataFrame, right: pd.DataFrame, at_start: float) -> pd.DataFrame:
+            right = right.sort_values("bucket")
+            known_buckets, w = right["bucket"].to_numpy(), right["weight"].fillna(0).to_numpy(np.float32)
+            left = left.sort_values(["turn", "id"])
+            places = np.searchsorted(known_buckets, np.concatenate(left["buckets"].to_list()).astype(np.int64))
+            ends = np.cumsum([len(x) for x in left["buckets"]])
+            bias, decay = np.float64(at_start), float(np.float32(alpha))
+            for y, values, end in zip(left["y"], left["values"], ends, strict=True):
+                at = places[end - len(values) : end]
+                own = w[at]
                 z = bias + float(own.astype(np.float64) @ values)
                 p = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
                 error = y - p
-                bias += turn_rate * error
-                moved = own + (turn_rate * (error * values - float(decay) * own)).astype(np.float32)
-                w.update(zip(buckets, moved, strict=True))
-            n = len(samples_)
-            return pd.DataFrame({"bucket": [-1, *w], "weight": np.array([bias, *w.values()], np.float64), "n": n})
+                bias += rate * error
+                w[at] = own + (rate * (error * values - decay * own)).astype(np.float32)
+            return pd.DataFrame({"bucket": np.append(-1, known_buckets).astype(np.int32), "weight": np.append(bias, w.astype(np.float64)), "n": len(left)})
 
         def shard_step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return step(left, right, at_start)
@@ -93,23 +97,55 @@ def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shard
         averaged = written(moved.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight")), "weights")
         intercept = averaged.where("bucket = -1").first()["weight"]
         weights = averaged.where("bucket >= 0").select("bucket", F.col("weight").cast("float").alias("weight"))
+    release(data, needed)
     return weights.where("weight <> 0"), float(intercept)
 
 
+#: What a hashed model's features depend on, and their defaults: part of its meta.
+FEATURES = {"n_features": 1 << 20, "ngrams": (2, 4), "analyzer": "char", "lowercase": True, "norm": "l2", "alternate_sign": True}
+
+
+def checked_features(settings: dict) -> dict:
+    """settings over the defaults of FEATURES; an error if they can't be a model's."""
+    if unknown := set(settings) - set(FEATURES):
+        raise ValueError(f"unknown feature settings {sorted(unknown)}")
+    full = FEATURES | settings
+    least, most = full["ngrams"]
+    if not 0 < least <= most:
+        raise ValueError(f"n-gram range {full['ngrams']}")
+    if full["n_features"] < 1 or full["analyzer"] not in ("char", "word") or full["norm"] not in ("l2", None):
+        raise ValueError(f"feature settings {full}")
+    return full | {"ngrams": (int(least), int(most))}
+
+
 def write_model(rows: DataFrame, meta: dict, path: str) -> str:
-    """Write a model's rows and meta into a new version folder under path and return it."""
+    """Write a model's rows and meta into a new version folder under path, name it the current one, and return it.
+
+    A hashed model's meta may have the settings of FEATURES as features (defaults count), which score_hashed() takes back.
+    """
     version = f"{path}/version-{uuid.uuid4().hex}"
     rows.write.parquet(f"{version}/rows")
     spark = rows.sparkSession
-    kinds = {"intercept": "double", "classes": "array<int>", "n_features": "int", "model_type": "string"}
-    full = {"model_type": "bow", "classes": [0, 1], "n_features": None} | meta | {"runtime_version": 1, "n_rows": rows.count()}
+    given = meta.get("features") or ({"n_features": meta["n_features"]} if meta.get("n_features") else {})
+    features = checked_features(given) if "bucket" in rows.columns else None
+    full = {"model_type": "bow", "intercept": 0.0, "classes": [0, 1]} | {k: v for k, v in meta.items() if k not in ("features", "n_features")} | {"runtime_version": 1, "n_rows": rows.count()}
+    full |= {"n_features": features["n_features"] if features else None, "features": json.dumps(features) if features else None}
+    kinds = {"intercept": "double", "classes": "array<int>", "n_features": "int", "model_type": "string", "features": "string"}
     schema = ", ".join(f"{k} {kinds.get(k, 'bigint')}" for k in full)
     spark.createDataFrame([tuple(full.values())], schema).coalesce(1).write.parquet(f"{version}/meta")
+    # a name that sorts last is the current version: written after its rows and meta
+    spark.createDataFrame([(version, time.time_ns())], "version string, published bigint").coalesce(1).write.mode("append").parquet(f"{path}/published")
     return version
 
 
+def current_version(spark: SparkSession, path: str) -> str:
+    """The version under path that was published last."""
+    return spark.read.parquet(f"{path}/published").agg(F.max_by("version", "published")).first()[0]
+
+
 def read_model(spark: SparkSession, version: str) -> tuple[DataFrame, dict]:
-    """(rows, meta) after checks: runtime version, classes, row count, duplicate terms or buckets, bucket range."""
+    """(rows, meta) after checks: runtime version, classes, row count, duplicate or null terms or buckets, weights and idf that are no
+    numbers, feature settings, bucket range. meta["features"]: keyword arguments of score_hashed()."""
     meta = spark.read.parquet(f"{version}/meta").first().asDict()
     rows = spark.read.parquet(f"{version}/rows")
     if meta["runtime_version"] != 1:
@@ -117,31 +153,47 @@ def read_model(spark: SparkSession, version: str) -> tuple[DataFrame, dict]:
     if meta["classes"] not in ([0, 1], [1, 0] if meta["model_type"] == "bow" else [0, 1]):
         raise ValueError(f"classes {meta['classes']}")
     key = "bucket" if "bucket" in rows.columns else "term"
-    n, distinct, nulls = rows.agg(F.count("*"), F.count_distinct(key), F.count_if(F.col("weight").isNull() | F.col(key).isNull())).first()
-    if n != meta["n_rows"] or distinct != n or nulls:
-        raise ValueError("rows are missing, repeated or empty")
-    if key == "bucket" and rows.where((F.col("bucket") < 0) | (F.col("bucket") >= meta["n_features"])).limit(1).count():
-        raise ValueError("a bucket is out of range")
+    bad = F.col(key).isNull()
+    for c in {"weight", "idf"} & set(rows.columns):
+        bad = bad | F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    n, distinct, broken = rows.agg(F.count("*"), F.count_distinct(key), F.count_if(bad)).first()
+    if n != meta["n_rows"] or distinct != n or broken:
+        raise ValueError("rows are missing, repeated, empty or no numbers")
+    if key == "bucket":
+        meta["features"] = checked_features(json.loads(meta["features"]))
+        if meta["features"]["n_features"] != meta["n_features"]:
+            raise ValueError(f"{meta['n_features']} features, but settings for {meta['features']['n_features']}")
+        if rows.where((F.col("bucket") < 0) | (F.col("bucket") >= meta["n_features"])).limit(1).count():
+            raise ValueError("a bucket is out of range")
     return rows, meta
 
 
-def train(samples: DataFrame, path: str, strategy: str = "latest_full", model: str = "bow", max_samples: int = 10_000, max_db_items: int = 100_000, max_features: int = 5000, seed: int = 42, **settings) -> tuple[str, DataFrame]:
-    """Retain, sample, train and write one profile's model: (version folder, a training_runs row)."""
+def train(samples: DataFrame, path: str, strategy: str = "latest_full", model: str = "bow", max_samples: int = 10_000, max_db_items: int = 100_000, max_features: int = 5000, seed: int = 42, max_seconds: float = 300, **settings) -> tuple[str | None, DataFrame]:
+    """Retain, sample, train and write one profile's model: (version folder, a training_runs row).
+
+    settings of a hashed model: epochs, alpha, shards, rate, and those of FEATURES, which are stored with it. Samples that
+    can't train a model (a label is missing) give no version and a row of status failed, with the reason.
+    """
     from modq.operators import store
 
     kept, _ = store.retain_balanced(samples, max_db_items, seed)
     sample = store.sampler(strategy)
     chosen = sample(kept, max_samples) if strategy == "latest_full" else sample(kept, max_samples, seed)
     chosen = written(chosen, "training-set")
-    if model == "hashed":
-        rows, intercept = train_hashed(chosen, seed=seed, **settings)
-        meta = {"model_type": "hashed", "intercept": intercept, "n_features": settings.get("n_features", 1 << 20)}
-    else:
-        rows, intercept = train_terms(chosen, max_features if model == "bow" else max(16, max_samples))
-        rows = rows.select("term", F.when(F.lit(model == "bow"), F.col("idf")).otherwise(1.0).alias("idf"), F.col("weight").cast("float").alias("weight"))
-        meta = {"model_type": model, "intercept": intercept}
-    version = write_model(rows, meta, path)
-    run = samples.select("profile").limit(1).select("profile", F.lit("completed").alias("status"), F.unix_timestamp(F.current_timestamp()).alias("timestamp"), F.lit(chosen.count()).alias("sample_count"))
+    version, problem = None, None
+    try:
+        if model == "hashed":
+            features = checked_features({k: v for k, v in settings.items() if k in FEATURES})
+            rows, intercept = train_hashed(chosen, seed=seed, max_seconds=max_seconds, **settings | features)
+            meta = {"model_type": "hashed", "intercept": intercept, "features": features}
+        else:
+            rows, intercept = train_terms(chosen, max_features if model == "bow" else max(16, max_samples))
+            rows = rows.select("term", F.when(F.lit(model == "bow"), F.col("idf")).otherwise(1.0).alias("idf"), F.col("weight").cast("float").alias("weight"))
+            meta = {"model_type": model, "intercept": intercept}
+        version = write_model(rows, meta, path)
+    except ValueError as e:
+        problem = str(e)
+    run = samples.select("profile").limit(1).select("profile", F.lit("completed" if version else "failed").alias("status"), F.unix_timestamp(F.current_timestamp()).alias("timestamp"), F.lit(chosen.count()).alias("sample_count"), F.lit(problem).cast("string").alias("reason"))
     return version, run
 
 

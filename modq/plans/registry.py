@@ -12,10 +12,11 @@ from modq.operators import chat, evaluate, moderate, store, streams, train
 from modq.plans import inputs
 from modq.plans.inputs import KEYWORDS_SQL, SAMPLES_SQL
 from modq.session import fresh_path, prepare, table, written
+from modq.sources.tables import write_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-#: The reference's defaults (profile.rs:492-499).
+#: Terms and samples of the training queries, at most: training's defaults.
 MAX_TERMS, TRAIN = 8000, 50_000
 TEMPLATE = "Judge this text: {{text}}"
 
@@ -53,7 +54,21 @@ on_documents("a12_render_prompt", lambda t: T.render_prompt(F.lit(TEMPLATE), t),
 on_documents("a13_estimate_tokens", T.estimate_tokens, r"(SELECT CASE WHEN t = '' THEN NULL ELSE greatest(1, ceil(0.28::DOUBLE * (length(t) - s) + 1.4::DOUBLE * 0 + 0.15::DOUBLE * s + 4.0::DOUBLE))::BIGINT END FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t)))")
 
 
-@query("a7_hash_bucket")
+#: MurmurHash3 x86 32, seed 0, of the distinct strings gram of a table g, signed, as a table hashed (gram, h).
+MURMUR_SQL = """
+bytes AS (SELECT gram, hex(encode(gram)) AS x, octet_length(encode(gram)) AS n FROM g),
+blocks AS (SELECT gram, n, [('0x' || rpad(substr(y, 7, 2), 2, '0') || rpad(substr(y, 5, 2), 2, '0') || rpad(substr(y, 3, 2), 2, '0') || substr(y, 1, 2))::UBIGINT FOR y IN [substr(x, 8 * i + 1, 8) FOR i IN range(0, ((n + 3) // 4)::BIGINT)]] AS v FROM bytes),
+once AS (SELECT gram, n, [(a * 3432918353) % 4294967296 FOR a IN v] AS v FROM blocks),
+mixed AS (SELECT gram, n, [((((a << 15) | (a >> 17)) & 4294967295) * 461845907) % 4294967296 FOR a IN v] AS v FROM once),
+folded AS (SELECT gram, n, v, list_reduce(list_prepend(0::UBIGINT, v[1:(n // 4)::BIGINT]), lambda h, k: ((((xor(h, k) << 13) | (xor(h, k) >> 19)) & 4294967295) * 5 + 3864292196) % 4294967296) AS h FROM mixed),
+tailed AS (SELECT gram, xor(CASE WHEN n % 4 > 0 THEN xor(h, v[-1]) ELSE h END, n::UBIGINT) AS h FROM folded),
+final1 AS (SELECT gram, (xor(h, h >> 16) * 2246822507) % 4294967296 AS h FROM tailed),
+final2 AS (SELECT gram, (xor(h, h >> 13) * 3266489909) % 4294967296 AS h FROM final1),
+hashed AS MATERIALIZED (SELECT gram, CASE WHEN h >= 2147483648 THEN h::BIGINT - 4294967296 ELSE h::BIGINT END AS h FROM (SELECT gram, xor(h, h >> 16) AS h FROM final2))"""
+
+
+@query("a7_hash_bucket", rf"""WITH g AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), {SPACE}), lambda x: x <> '')) AS gram FROM documents), {MURMUR_SQL}
+SELECT gram, (abs(h) % 1048576)::INT AS bucket, CASE WHEN h < 0 THEN -1 ELSE 1 END AS sign FROM hashed""")
 def _(spark, d):
     grams = table(spark, d, "documents").select(F.explode(T.ws_tokens(F.col("text"))).alias("gram")).distinct()
     return grams.select("gram", T.hash_bucket(F.col("gram"), 1 << 20).alias("b")).select("gram", "b.bucket", "b.sign")
@@ -281,9 +296,18 @@ def _(spark, d):
     return streams.reassemble_streams(e).select("stream_id", "text", "finish_reason", "done")
 
 
-@query("e4_stream_health")
+CHUNKED = r"""said AS (SELECT conv_id || ':' || turn AS stream_id, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+pieces AS (SELECT stream_id, text, [substr(text, 400 * i + 1, 400) FOR i IN range(0, ((length(text) + 399) // 400)::BIGINT)] AS p FROM said),
+bodies AS (SELECT stream_id, text, array_to_string(['data: {"choices":[{"index":0,"delta":{"content":' || to_json(x) || '}}]}' || chr(10) || chr(10) FOR x IN p], '') || 'data: {"choices":[{"index":0,"delta":{},"finish_reason":"stop"}]}' || chr(10) || chr(10) || 'data: [DONE]' || chr(10) || chr(10) AS body FROM pieces),
+chunks AS (SELECT stream_id, text, i AS seq, sum(octet_length(encode(substr(body, 1000 * i + 1, 1000)))) OVER (PARTITION BY stream_id ORDER BY i) AS upto
+  FROM (SELECT stream_id, text, body, unnest(range(0, ((length(body) + 999) // 1000)::BIGINT)) AS i FROM bodies))"""
+
+
+@query("e4_stream_health", f"""WITH {CHUNKED}
+SELECT stream_id, max(upto)::BIGINT AS bytes, coalesce(min(seq) FILTER (upto > 1048), -1)::BIGINT AS passed_at, length(any_value(text)) > 2 OR max(upto) > 1048 AS passes,
+  CASE WHEN length(any_value(text)) > 2 OR max(upto) > 1048 THEN NULL ELSE 'stream content is too short' END AS message FROM chunks GROUP BY stream_id""")
 def _(spark, d):
-    return streams.stream_health(inputs.stream_chunks(spark, d))
+    return streams.stream_health(inputs.stream_chunks(spark, d)).withColumn("passed_at", F.coalesce("passed_at", F.lit(-1)))
 
 
 # G1 comes before F, which scores with its model
@@ -295,10 +319,10 @@ model AS MATERIALIZED (SELECT *, ln(((SELECT count(*) FROM chosen) + 1.0::DOUBLE
 intercept AS (SELECT ln((count(*) FILTER (label <> 0) + 1.0::DOUBLE) / (count(*) FILTER (label = 0) + 1.0::DOUBLE)) AS b FROM chosen)"""
 
 
-def _scores_sql(idf: str) -> str:
-    return rf"""{MODEL_SQL}, words AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents),
+def _scores_sql(idf: str, texts: str = "documents") -> str:
+    return rf"""{MODEL_SQL}, words AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM {texts}),
 sums AS (SELECT id, sum(weight * {idf}) AS s FROM words JOIN model USING (term) GROUP BY id),
-scored AS (SELECT doc_id AS id, lang AS profile, text, b + coalesce(s, 0) AS z FROM documents LEFT JOIN sums ON doc_id = id, intercept),
+scored AS (SELECT doc_id AS id, lang AS profile, text, b + coalesce(s, 0) AS z FROM {texts} LEFT JOIN sums ON doc_id = id, intercept),
 p AS (SELECT id, profile, text, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END AS p FROM scored)"""
 
 
@@ -326,6 +350,24 @@ def _(spark, d):
     return rows.select("term", "weight", F.lit(meta["intercept"]).alias("intercept"))
 
 
+@query("b6_write_report", f"WITH {SAMPLES_SQL} SELECT profile, count(*) AS total, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label <> 0) AS label_1, max(id) + 1 AS next_id FROM samples GROUP BY profile")
+def _(spark, d):
+    path = fresh_path(spark, "report")
+    report = store.sample_counts(inputs.samples(spark, d))
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query("b5_write_read_model", "SELECT i AS bucket, ((i % 7) - 3)::FLOAT AS weight, 0.5::DOUBLE AS intercept, 4096 AS n_features, 2 AS least, 3 AS most, n AS n_rows FROM (SELECT DISTINCT (doc_id % 4096)::INT AS i, count(DISTINCT doc_id % 4096) OVER () AS n FROM documents)")
+def _(spark, d):
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 4096).cast("int").alias("bucket")).distinct().withColumn("weight", (F.col("bucket") % 7 - 3).cast("float"))
+    path = fresh_path(spark, "models")
+    train.write_model(rows, {"model_type": "hashed", "intercept": 0.5, "features": {"n_features": 4096, "ngrams": (2, 3)}}, path)
+    found, meta = train.read_model(spark, train.current_version(spark, path))
+    least, most = meta["features"]["ngrams"]
+    return found.select("bucket", "weight", F.lit(meta["intercept"]).alias("intercept"), F.lit(meta["n_features"]).alias("n_features"), F.lit(least).alias("least"), F.lit(most).alias("most"), F.lit(meta["n_rows"]).alias("n_rows"))
+
+
 @query("g4_training_readiness", f"""WITH {SAMPLES_SQL}, c AS (SELECT profile, count(*) AS n, min(id) % 3 AS kind FROM samples GROUP BY profile)
 SELECT profile, CASE WHEN n < 60 THEN 'insufficient_samples' WHEN kind = 0 THEN 'model_missing' WHEN kind = 1 THEN 'retrain_interval_elapsed' ELSE 'retrain_interval_not_elapsed' END AS reason FROM c""")
 def _(spark, d):
@@ -358,28 +400,53 @@ def _(spark, d):
     return moderate.score_hashed(inputs.texts(spark, d), weights, intercept).select("id", F.round("p", 6).alias("p"))
 
 
+#: Scores under fixed weights of all buckets, so that SQL can follow the features of every text: 2- to 4-grams, 2**20 buckets, length 1.
+@query("f4_score_hashed_fixed", rf"""WITH plain AS (SELECT doc_id AS id, string_split(regexp_replace(lower(translate(text, chr(13) || chr(10), '  ')), {SPACE}, ' ', 'g'), '') AS c FROM documents),
+counts AS MATERIALIZED (SELECT id, gram, count(*) AS n FROM (
+  SELECT id, unnest(list_concat([c[i] || c[i + 1] FOR i IN range(1, len(c))], [c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)], [c[i] || c[i + 1] || c[i + 2] || c[i + 3] FOR i IN range(1, len(c) - 2)])) AS gram FROM plain) GROUP BY ALL),
+g AS (SELECT DISTINCT gram FROM counts), {MURMUR_SQL},
+features AS (SELECT id, abs(h) % 1048576 AS bucket, sum(CASE WHEN h < 0 THEN -n ELSE n END)::DOUBLE AS value FROM counts JOIN hashed USING (gram) GROUP BY ALL),
+sums AS (SELECT id, sum(value * (bucket % 13 - 6)) / sqrt(sum(value * value)) AS s FROM features GROUP BY id)
+SELECT doc_id AS id, round(1 / (1 + exp(-(0.25::DOUBLE + CASE WHEN isfinite(s) THEN s ELSE 0 END))), 6) AS p FROM documents LEFT JOIN sums ON id = doc_id""")
+def _(spark, d):
+    weights = spark.range(1 << 20).select(F.col("id").cast("int").alias("bucket"), (F.col("id") % 13 - 6).cast("float").alias("weight"))
+    return moderate.score_hashed(inputs.texts(spark, d), weights, 0.25).select("id", F.round("p", 6).alias("p"))
+
+
 BANDS = "CASE WHEN p < 0.2 THEN 'allow' WHEN p > 0.8 THEN 'block' ELSE 'uncertain' END"
 query("f5_decide", f"WITH {_scores_sql('idf')} SELECT id, {BANDS} AS decision FROM p")(lambda s, d: moderate.decide(_scored(s, d)).select("id", "decision"))
 query("f6_force_review", "SELECT doc_id AS id, ('0x' || left(md5('42:' || doc_id), 13))::BIGINT / pow(2, 52) < 0.25 AS forced FROM documents")(lambda s, d: moderate.force_review(inputs.texts(s, d), 0.25).select("id", "forced"))
 query("f7_capacity_fallback", f"""WITH {_scores_sql('idf')}, q AS (SELECT id, p, row_number() OVER (ORDER BY round(abs(p - 0.5), 9), id) AS k FROM (SELECT id, round(p, 9) AS p FROM p))
 SELECT id, CASE WHEN k <= 50 THEN 'review' ELSE 'local_fallback' END AS route, CASE WHEN k > 50 THEN p >= 0.5 END AS violation FROM q""")(lambda s, d: moderate.capacity_fallback(_scored(s, d).select("id", F.round("p", 9).alias("p")), 50).select("id", "route", "violation"))
 
-FLOW_SQL = f"""{_scores_sql('idf')}, {KEYWORDS_SQL},
+#: Characters of a text that the flow's queries look at after the keywords: most documents are longer.
+MOST_TEXT = 1500
+CUT_TEXTS = f"(SELECT doc_id, lang, CASE WHEN length(text) > {MOST_TEXT} THEN left(text, {2 * MOST_TEXT // 3}) || chr(10) || '...[中间省略]...' || chr(10) || right(text, {MOST_TEXT - 2 * MOST_TEXT // 3}) ELSE text END AS text FROM documents)"
+FLOW_SQL = f"""{_scores_sql('idf', CUT_TEXTS)}, {KEYWORDS_SQL},
 hit AS (SELECT doc_id AS id, arg_min(original, pos) AS keyword FROM documents JOIN keywords ON contains(translate(text, '{T.UPPER}', '{T.LOWER}'), normalized) GROUP BY doc_id),
-history AS (SELECT profile, text, max(id) AS hit_id, arg_max(label, id) AS hit_label, arg_max(category, id) AS hit_category FROM samples WHERE length(text) <= 40000 GROUP BY ALL),
-flow AS (SELECT p.id, p.profile, p.text, CASE WHEN keyword IS NOT NULL THEN 'block' WHEN forced OR p.p BETWEEN 0.2 AND 0.8 THEN CASE WHEN hit_id IS NULL THEN 'review' WHEN hit_label = 0 THEN 'allow' ELSE 'block' END WHEN p.p < 0.2 THEN 'allow' ELSE 'block' END AS decision,
+history AS (SELECT profile, text, max(id) AS hit_id, arg_max(label, id) AS hit_label, arg_max(category, id) AS hit_category FROM samples GROUP BY ALL),
+flow AS (SELECT p.id, p.profile, p.text, p.p, p.forced, hit_category, CASE WHEN keyword IS NOT NULL THEN 'block' WHEN forced OR p.p BETWEEN 0.2 AND 0.8 THEN CASE WHEN hit_id IS NULL THEN 'review' WHEN hit_label = 0 THEN 'allow' ELSE 'block' END WHEN p.p < 0.2 THEN 'allow' ELSE 'block' END AS decision,
   CASE WHEN keyword IS NOT NULL THEN 'keyword' WHEN forced OR p.p BETWEEN 0.2 AND 0.8 THEN CASE WHEN hit_id IS NULL THEN 'review' ELSE 'history' END ELSE 'local' END AS source
   FROM (SELECT *, ('0x' || left(md5('42:' || md5(text)), 13))::BIGINT / pow(2, 52) < 0.3 AS forced FROM p) p LEFT JOIN hit USING (id) LEFT JOIN history h ON h.profile = p.profile AND h.text = p.text)"""
 
 
 def _decisions(spark, d):
     terms, intercept = _model(spark, d)
-    return moderate.moderate(inputs.texts(spark, d), inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), inputs.samples(spark, d), max_text=200_000, review_rate=0.3)
+    return moderate.moderate(inputs.texts(spark, d), inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), inputs.samples(spark, d), max_text=MOST_TEXT, review_rate=0.3)
+
+
+def _messages(spark, d):
+    """The messages of all decisions; the confidence, which formatting rounds, as a number of its own."""
+    told = moderate.block_message(_decisions(spark, d))
+    shown = F.regexp_extract("message", r" \(confidence: ([0-9.]+)\)$", 1)
+    near = F.abs(F.try_to_number(shown, F.lit("9.999")).cast("double") - F.col("p")) < 0.000501
+    confidence = F.when(near, F.round("p", 6))
+    return told.select("id", F.regexp_replace("message", r" \(confidence: [0-9.]+\)$", "").alias("message"), confidence.alias("confidence"))
 
 
 query("f8_moderate", f"WITH {FLOW_SQL} SELECT id, profile, decision, source FROM flow")(lambda s, d: _decisions(s, d).select("id", "profile", "decision", "source"))
 PROMPT = "replace('Judge this text: {{text}}', '{{text}}', replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'))"
-query("f9_review_queue", f"WITH {FLOW_SQL} SELECT profile, md5(text) AS text_hash, min({PROMPT}) AS prompt FROM flow WHERE decision = 'review' GROUP BY profile, text")(lambda s, d: moderate.review_queue(_decisions(s, d), inputs.texts(s, d), TEMPLATE, 200_000).select("profile", "text_hash", "prompt"))
+query("f9_review_queue", f"WITH {FLOW_SQL} SELECT profile, md5(text) AS text_hash, min({PROMPT}) AS prompt FROM flow WHERE decision = 'review' GROUP BY profile, text")(lambda s, d: moderate.review_queue(_decisions(s, d), inputs.texts(s, d), TEMPLATE, MOST_TEXT).select("profile", "text_hash", "prompt"))
 
 
 @query("f10_apply_verdicts", f"WITH {VERDICTS} SELECT d.lang AS profile, md5(d.text) AS text_hash, v.toxic::INT AS label, v.source AS category FROM verdicts v JOIN documents d USING (doc_id) WHERE doc_id % 3 <> 0")
@@ -389,7 +456,7 @@ def _(spark, d):
     return good.select("profile", F.md5("text").alias("text_hash"), "label", "category")
 
 
-query("f11_block_message", f"""WITH {FLOW_SQL} SELECT id, CASE WHEN decision = 'block' THEN 'Smart moderation blocked by ' || source || CASE WHEN source = 'history' THEN '' ELSE '' END END AS message FROM flow WHERE source = 'keyword'""")(lambda s, d: moderate.block_message(_decisions(s, d)).where("source = 'keyword'").select("id", "message"))
+query("f11_block_message", f"""WITH {FLOW_SQL} SELECT id, CASE WHEN decision = 'block' THEN 'Smart moderation blocked by ' || source || CASE WHEN source = 'history' AND hit_category <> '' THEN ' (category: ' || hit_category || ')' ELSE '' END END AS message, CASE WHEN decision = 'block' AND source <> 'keyword' AND NOT forced THEN round(p, 6) END AS confidence FROM flow""")(_messages)
 query("f12_decision_report", f"WITH {FLOW_SQL} SELECT profile, source, decision, count(*) AS n FROM flow GROUP BY ALL")(lambda s, d: moderate.decision_report(_decisions(s, d)))
 
 # H. evaluation and statistics
@@ -454,7 +521,7 @@ def _(spark, d):
     terms, intercept = _model(spark, d)
     sink, history = fresh_path(spark, "decisions"), inputs.samples(spark, d)
     stream = _files(spark, inputs.texts(spark, d), "texts")
-    _finish(jobs.moderate_stream(stream, inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), lambda: history, sink, fresh_path(spark, "state"), max_text=200_000, review_rate=0.3))
+    _finish(jobs.moderate_stream(stream, inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), lambda: history, sink, fresh_path(spark, "state"), max_text=MOST_TEXT, review_rate=0.3))
     return spark.read.parquet(sink).select("id", "profile", "decision", "source")
 
 

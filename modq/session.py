@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +50,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if getattr(_open, "tables", None) is not None:
+        _open.tables.append(out)
     return out
 
 
+_open = threading.local()
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that written() makes inside, in this thread, are deleted at the end: what is derived from them must be written by then."""
+    outer, _open.tables = getattr(_open, "tables", None), []
+    try:
+        yield
+    finally:
+        made, _open.tables = _open.tables, outer
+        release(*made)
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The file system of a path, and the path as it takes it."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from modq.functions.text import text_hash
 from modq.operators import moderate as M
 from modq.operators import streams as S
+from modq.session import scratch
+
+BLANK = re.compile(r"\r?\n\r?\n")
 
 
 def moderate_stream(requests: DataFrame, keywords: DataFrame, scorer: Callable[[DataFrame], DataFrame], history: Callable[[], DataFrame], sink: str, checkpoint: str, **settings):
@@ -21,8 +26,9 @@ def moderate_stream(requests: DataFrame, keywords: DataFrame, scorer: Callable[[
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        done = M.moderate(batch, keywords, scorer, history(), **settings)
-        done.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with scratch():
+            done = M.moderate(batch, keywords, scorer, history(), **settings)
+            done.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
@@ -33,11 +39,55 @@ def dedupe_texts_stream(texts: DataFrame, time: str = "ts", delay: str = "1 hour
     return hashed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["profile", "text_hash"])
 
 
+#: Types of the last frame of a stream, by dialect.
+ENDS = {"claude_chat": ("message_stop",), "openai_responses": ("response.completed", "response.incomplete", "response.failed")}
+#: Characters at a stream's end in which its last frame is looked for. One that begins before them is left to the watermark.
+TAIL = 1 << 16
+
+
+def whole(ordered: list[tuple[int, str]]) -> bool:
+    """Whether chunks (seq, text), sorted, begin with the first and lack none."""
+    return ordered[0][0] in (0, 1) and len({n for n, _ in ordered}) == ordered[-1][0] - ordered[0][0] + 1
+
+
+def tail(ordered: list[tuple[int, str]]) -> str:
+    """The last chunks of TAIL characters in all; cut ones begin after their first frame."""
+    taken, size = [], 0
+    for _, c in reversed(ordered):
+        if size >= TAIL:
+            return BLANK.split("".join(reversed(taken)), maxsplit=1)[-1]
+        taken.append(c)
+        size += len(c)
+    return "".join(reversed(taken))
+
+
+def has_end(text: str, dialect: str) -> bool:
+    """Whether one of the frames of text ends a stream."""
+    for frame in BLANK.split(text):
+        lines = frame.replace("\r\n", "\n").split("\n")
+        data = "\n".join(x[5:].removeprefix(" ") for x in lines if x.startswith("data:"))
+        if data.strip() == "[DONE]":
+            return True
+        event = next((x[6:].removeprefix(" ") for x in lines if x.startswith("event:")), None)
+        if any(e in frame for e in ENDS.get(dialect, ())):
+            try:
+                value = json.loads(data)
+            except ValueError:
+                continue
+            if isinstance(value, dict) and value.get("type", event) in ENDS[dialect]:
+                return True
+    return False
+
+
 def bodies_stream(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
     """stream_id, dialect, body, complete: a stream's chunks in order, given out at its end mark, or when the
     watermark says that it was idle too long.
 
-    State per stream: the chunks so far. chunks: stream_id, seq, dialect, chunk, ts.
+    A stream ends with a frame whose data are [DONE], or one of its dialect's ENDS, once no chunk before it is missing; text inside
+    a frame's data ends nothing. A dialect without such a frame waits for the watermark.
+
+    State per stream: the chunks so far. Each arrival looks for an end in the last TAIL characters alone. chunks:
+    stream_id, seq (from 0 or 1, without gaps), dialect, chunk, ts.
     """
     millis = int(pd.Timedelta(idle).total_seconds() * 1000)
     schema = "stream_id string, dialect string, body string, complete boolean"
@@ -57,8 +107,9 @@ def bodies_stream(chunks: DataFrame, idle: str = "10 minutes") -> DataFrame:
             seqs += [int(x) for x in f["seq"]]
             parts += list(f["chunk"])
             dialect = f["dialect"].iloc[0]
-        body = "".join(c for _, c in sorted(zip(seqs, parts, strict=True)))
-        if "data: [DONE]" in body or "event: message_stop" in body or "data:[DONE]" in body:
+        ordered = sorted(zip(seqs, parts, strict=True))
+        if whole(ordered) and has_end(tail(ordered), dialect):
+            body = "".join(c for _, c in ordered)
             if kept.exists:
                 kept.remove()
             yield pd.DataFrame([(key[0], dialect, body, True)], columns=["stream_id", "dialect", "body", "complete"])

@@ -385,8 +385,8 @@ OPTIONS = {"tool_choice": "string", "tool_name": "string", "max_tokens": "bigint
 
 
 def json_text(s: Column) -> Column:
-    """A string as a JSON string."""
-    return F.to_json(F.array(s)).substr(F.lit(2), F.length(F.to_json(F.array(s))) - 2)
+    """A string as a JSON string; null stays null."""
+    return F.when(s.isNotNull(), F.to_json(F.array(s)).substr(F.lit(2), F.length(F.to_json(F.array(s))) - 2))
 
 
 def json_object(*pairs: tuple[str, Column]) -> Column:

@@ -30,21 +30,22 @@ def shingles(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHINGLES), F.lit(1)))
 
 
-def hashed_sets(lines: DataFrame) -> DataFrame:
-    """h, g, hashes: the distinct hashes of each line's (h, g, line) shingles, ascending.
+def hashed_sets(lines: DataFrame, *keys: str) -> DataFrame:
+    """keys, hashes: the distinct hashes of each line's (keys, line) shingles, ascending.
 
     Characters of four bytes each make a shingle's place known without a walk through the line. A line's
-    pieces of STEP shingles are hashed by plain expressions, which run as compiled code, unlike a lambda's.
+    pieces of STEP shingles are hashed by plain expressions, which run as compiled code, unlike a lambda's. Rows
+    that are dealt by keys stay where they are: hashes take many times a line's room.
     """
     width = 4 * SHINGLE
-    wide = lines.select("h", "g", F.encode("line", "UTF-32").alias("b"))
+    wide = lines.select(*keys, F.encode("line", "UTF-32").alias("b"))
     wide = wide.withColumn("n", F.greatest(F.lit(1), F.floor(F.length("b") / 4).cast("int") - (SHINGLE - 1)))
-    starts = wide.select("h", "g", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("start"))
-    pieces = starts.select("h", "g", F.substring("b", F.col("start") * 4 + 1, F.lit(4 * STEP + width)).alias("piece"), F.least(F.lit(STEP), F.col("n") - F.col("start")).alias("m"))
+    starts = wide.select(*keys, "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("start"))
+    pieces = starts.select(*keys, F.substring("b", F.col("start") * 4 + 1, F.lit(4 * STEP + width)).alias("piece"), F.least(F.lit(STEP), F.col("n") - F.col("start")).alias("m"))
     # a piece with fewer shingles repeats its last one
     hashes = [F.xxhash64(F.substring("piece", F.least(F.lit(i), F.col("m") - 1) * 4 + 1, F.lit(width))) for i in range(STEP)]
-    whole = pieces.select("h", "g", F.array(*hashes).alias("part")).groupBy("h", "g").agg(F.collect_list("part").alias("parts"))
-    return whole.select("h", "g", F.array_distinct(F.flatten("parts")).alias("x")).select("h", "g", F.sort_array("x").alias("hashes"))
+    whole = pieces.select(*keys, F.array(*hashes).alias("part")).groupBy(*keys).agg(F.collect_list("part").alias("parts"))
+    return whole.select(*keys, F.array_distinct(F.flatten("parts")).alias("x")).select(*keys, F.sort_array("x").alias("hashes"))
 
 
 def banded(sets: DataFrame, values: Column, rows: int, order: int, name: str) -> DataFrame:
@@ -89,7 +90,7 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     ids = line_ids(docs)
     # a line's signature is made where its one text is: texts are shuffled, signatures are not
     lines = ids.groupBy("h", "g").agg(F.min("line").alias("line"))
-    members = written(signatures(hashed_sets(lines)).withColumn("node", F.monotonically_increasing_id()), "bands")
+    members = written(signatures(hashed_sets(lines, "h", "g")).withColumn("node", F.monotonically_increasing_id()), "bands")
     postings = members.select("node", "n", F.explode("bands").alias("value"))
     many = written(postings.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
     postings = written(matching(postings, many, ["value"]), "postings")
@@ -97,11 +98,12 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     lists = written(postings.select("value", "node", "n").join(ranks, "node"), "lists")
     # a set takes many times its line's room, so that lines travel and sets are made where they are compared
     wanted = written(members.select("h", "g", "node", "n").join(ranks.select("node"), "node", "left_semi"), "wanted")
-    texts = written(matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("h", "g", "node", "n").agg(F.min("line").alias("line")), "texts")
-    sets = hashed_sets(texts).join(wanted, ["h", "g"]).select("node", "hashes", F.slice("hashes", 1, SKETCH).alias("sketch"))
-    sets = written(sets, "line-sets")
+    texts = written(matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("node").agg(F.min("n").alias("n"), F.min("line").alias("line")), "texts")
     release(members, many, postings)
-    likely = sketch_filter(sets.select("node", "sketch"), threshold)
+    # dealt by node before they are hashed
+    placed = texts.select("node", "line").repartition("node")
+    sketches = written(hashed_sets(placed, "node").select("node", F.slice("hashes", 1, SKETCH).alias("sketch")), "sketches")
+    likely = sketch_filter(sketches, threshold)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = likely(pairs).join(texts.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
@@ -110,13 +112,13 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
         return both.where(common * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold).select("a", "b")
 
     def whole_sets(nodes: DataFrame) -> DataFrame:
-        return sets.join(nodes, "node", "left_semi").select("node", F.explode("hashes").alias("value"))
+        return hashed_sets(texts.select("node", "line").join(nodes, "node", "left_semi"), "node").select("node", F.explode("hashes").alias("value"))
 
     linked = link(lists, verify, whole_sets, threshold)
     named = wanted.select("node", "h", "g").join(linked, "node")
     heads = wanted.select(F.col("node").alias("component"), F.col("h").alias("ch"), F.col("g").alias("cg"))
     out = written(named.join(heads, "component").select("h", "g", "ch", "cg"), "line-components")
-    release(lists, sets, texts, wanted)
+    release(lists, sketches, texts, wanted)
     return out
 
 

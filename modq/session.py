@@ -6,6 +6,7 @@ import contextlib
 import os
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Seconds between two collections of the driver's garbage, at least.
+PAUSE = 3
+_freed: dict[str, float] = {}
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package when it is not installed."""
     env = spark.sparkContext.environment
@@ -42,12 +48,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/modq/{name}-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over.
+
+    It does so once the driver's JVM has collected what refers to them, which else may be half an hour later
+    (spark.cleaner.periodicGC.interval), with all intermediate shuffles of a long job on disk until then.
+    """
+    if time.monotonic() - _freed.get("at", -PAUSE) >= PAUSE:
+        spark.sparkContext._jvm.System.gc()
+        _freed["at"] = time.monotonic()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the plan is cut
     there, a lost executor costs no recomputation, and later readers prune columns."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     if getattr(_open, "tables", None) is not None:

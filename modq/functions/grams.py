@@ -57,7 +57,7 @@ def hashed(data: np.ndarray, offs: np.ndarray, ngrams: tuple[int, int], words: b
     h = T.murmur3_spans(data, starts, ends).astype(np.int64)
     sign = np.where(h < 0, -1.0, 1.0) if alternate_sign else np.ones(h.size)
     code, which = np.unique(text * n_features + np.abs(h) % n_features, return_inverse=True)
-    value = np.bincount(which, sign, minlength=code.size)
+    value = np.bincount(which, sign, minlength=code.size).astype(np.float64)  # of nothing, numpy counts in integers
     code, value = code[value != 0], value[value != 0]
     text = code // n_features
     if norm == "l2":
@@ -101,7 +101,7 @@ def hashed_sums(texts: DataFrame, weights: np.ndarray, key: str, n_features: int
         for batch in batches:
             for first, end, data, offs in slices(batch.column("plain")):
                 text, bucket, value = hashed(data, offs, ngrams, words, n_features, norm, alternate_sign)
-                sums = np.bincount(text, shared.value[bucket].astype(np.float64) * value, minlength=end - first)
+                sums = np.bincount(text, shared.value[bucket].astype(np.float64) * value, minlength=end - first).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, end - first), pa.array(sums)], names=[key, "s"])
 
     return rows.mapInArrow(scan, f"`{key}` {dict(rows.dtypes)[key]}, s double")

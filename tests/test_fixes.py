@@ -41,6 +41,12 @@ def test_hashed_vectors(spark, analyzer, ngrams):
         assert abs(scored[i] - 0.5 - sum(v * (b % 5 - 2) for b, v in got[i].items() if b % 2 == 0)) < 1e-9
 
 
+def test_texts_without_grams_alone(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "id long, text string").coalesce(1)
+    assert [list(r["values"]) for r in hashed_vectors(rows, ["id"]).collect()] == [[], []]
+    assert {r["z"] for r in moderate.score_hashed(rows, spark.createDataFrame([(0, 1.0)], "bucket int, weight float"), 0.25).collect()} == {0.25}
+
+
 def test_dense_and_joined_scores_agree(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
     weights = spark.range(997).selectExpr("cast(id as int) bucket", "cast(id % 5 - 2 as float) weight")

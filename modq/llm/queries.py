@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modq.llm import line_dedup, media, mixing, near_dedup, packing, quality, rules, secret_scan, substring_dedup, token_counts
+from modq.llm import exact_dedup, line_dedup, media, merkle, mixing, near_dedup, packing, quality, rules, secret_scan, substring_dedup, token_counts, whitening
 from modq.session import prepare, table
 
 
@@ -57,6 +57,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_whitening": op12_whitening,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -123,6 +138,44 @@ reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a)
 SELECT s.doc_id, s.n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
 FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n_shingles
+""",
+    "op11_exact_dedup": r"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)
+""",
+    "op13_merkle": r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+crcs AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM crc),
+leaves AS MATERIALIZED (
+  SELECT doc_id, lang, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS other,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INT])), 4294967295::BIGINT) % 3 = 0, false) AS tampered
+  FROM (SELECT *, list_aggregate([CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END FOR v IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR]], 'string_agg', '') AS head FROM documents), crcs),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+levels(grp, k, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY place) FROM placed GROUP BY lang
+  UNION ALL SELECT grp, k + 1, [sha256(array_to_string(nodes[i + 1:i + 8], '')) FOR i IN range(0, len(nodes), 8)] FROM levels WHERE len(nodes) > 1),
+held AS MATERIALIZED (SELECT * FROM levels),
+tops AS MATERIALIZED (SELECT grp, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(grp) NULLS FIRST) - 1 AS place FROM held WHERE len(nodes) = 1),
+upper(k, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM tops
+  UNION ALL SELECT k + 1, [sha256(array_to_string(nodes[i + 1:i + 8], '')) FOR i IN range(0, len(nodes), 8)] FROM upper WHERE len(nodes) > 1),
+above AS MATERIALIZED (SELECT * FROM upper),
+sides AS (
+  SELECT p.lang AS grp, p.place AS leaf_at, h.k, array_to_string(nodes[(pos // 8) * 8 + 1:pos], '') AS before, array_to_string(nodes[pos + 2:(pos // 8) * 8 + 8], '') AS after
+  FROM placed p JOIN held h ON h.grp IS NOT DISTINCT FROM p.lang AND len(h.nodes) > 1, LATERAL (SELECT p.place // (8 ** h.k)::BIGINT AS pos)),
+top_sides AS (
+  SELECT t.grp, a.k, array_to_string(nodes[(pos // 8) * 8 + 1:pos], '') AS before, array_to_string(nodes[pos + 2:(pos // 8) * 8 + 8], '') AS after
+  FROM tops t JOIN above a ON len(a.nodes) > 1, LATERAL (SELECT t.place // (8 ** a.k)::BIGINT AS pos)),
+own AS (SELECT grp, leaf_at, list({'b': before, 'a': after} ORDER BY k) AS path FROM sides GROUP BY ALL),
+shared AS (SELECT grp, list({'b': before, 'a': after} ORDER BY k) AS path FROM top_sides GROUP BY ALL),
+paths AS MATERIALIZED (
+  SELECT p.doc_id, p.leaf, t.subroot, (SELECT nodes[1] FROM above WHERE len(nodes) = 1) AS root, CASE WHEN tampered THEN other ELSE leaf END AS now, list_concat(coalesce(o.path, []), coalesce(s.path, [])) AS path, row_number() OVER () AS r
+  FROM placed p JOIN tops t ON t.grp IS NOT DISTINCT FROM p.lang LEFT JOIN own o ON o.grp IS NOT DISTINCT FROM p.lang AND o.leaf_at = p.place LEFT JOIN shared s ON s.grp IS NOT DISTINCT FROM p.lang),
+folds(r, k, node) AS (
+  SELECT r, 0, now FROM paths UNION ALL SELECT f.r, k + 1, sha256(path[k + 1].b || node || path[k + 1].a) FROM folds f JOIN paths p ON p.r = f.r AND k < len(path)),
+ends AS (SELECT r, arg_max(node, k) AS folded_root FROM folds GROUP BY r)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x.b || x.a FOR x IN path], '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM paths JOIN ends USING (r)
 """,
 }
 

@@ -115,10 +115,11 @@ def text_hash(text: Column) -> Column:
     return F.md5(text)
 
 
-def truncate_middle(text: Column, most: int) -> Column:
+def truncate_middle(text: Column, most: int | Column) -> Column:
     """Texts of more than `most` code points keep the first 2 * most / 3 and the last of the rest."""
-    front = most * 2 // 3
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(front)), F.lit(MIDDLE), F.right(text, F.lit(most - front)))).otherwise(text)
+    most = most if isinstance(most, Column) else F.lit(most)
+    front = F.floor(most * 2 / 3).cast("int")
+    return F.when(F.length(text) > most, F.concat(F.left(text, front), F.lit(MIDDLE), F.right(text, most.cast("int") - front))).otherwise(text)
 
 
 def render_prompt(template: Column, text: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modq.functions import text as T
 from modq.functions.grams import hashed_sums, hashed_vectors
+from modq.functions.terms import token_sums
 from modq.operators.store import lookup_by_text
 from modq.session import written
 
@@ -16,49 +19,72 @@ ERROR_CODE = "BASIC_MODERATION_BLOCKED"
 NESTED_KEYWORDS = 1000
 #: Buckets of a model that is sent whole to every task: 16 MB.
 MOST_DENSE = 1 << 22
+#: Terms of models that are sent whole to every task: about 10 MB.
+MOST_TERMS = 200_000
+WORD = "struct<pos:bigint,original:string,normalized:string>"
 
 
-def keyword_block(texts: DataFrame, keywords: DataFrame, error_code: str = ERROR_CODE, key: str = "id") -> DataFrame:
+def keyword_block(texts: DataFrame, keywords: DataFrame, error_code: str | Column = ERROR_CODE, by: tuple[str, ...] = ()) -> DataFrame:
     """texts with keyword and keyword_reason: the first keyword in list order that the text holds, ASCII case aside, or null.
 
-    keywords: pos, original, normalized. Their number is checked: a list of up to NESTED_KEYWORDS is broadcast and
-    looked up in each text, a longer one meets texts through 3-grams, of which each keyword's first is an equi-join key.
+    keywords: pos, original, normalized; with by, columns of both tables (the profile), each text meets the list of its own
+    alone. Every row of texts is judged by itself, whatever its id. Null text: no keyword. The number of keywords is checked: a list of up to
+    NESTED_KEYWORDS is looked up where the text is read, without a shuffle; longer ones meet texts through one 3-gram of each keyword.
     """
-    texts = texts.withColumn("low", T.ascii_lower(F.col("text")))
-    n = keywords.limit(NESTED_KEYWORDS + 1).count()
-    words = keywords.select("pos", "original", "normalized")
-    if n <= NESTED_KEYWORDS:
-        hits = texts.select(key, "low").join(F.broadcast(words), F.col("low").contains(F.col("normalized")))
+    words = keywords.select(*by, F.col("pos").cast("bigint").alias("pos"), "original", "normalized").where("normalized <> ''")
+    rows = texts.withColumn("kw_low", T.ascii_lower(F.col("text")))
+    if words.limit(NESTED_KEYWORDS + 1).count() <= NESTED_KEYWORDS:
+        lists = words.groupBy(*[F.col(c).alias(f"kw_{c}") for c in by]).agg(F.array_sort(F.collect_list(F.struct("pos", "original", "normalized"))).cast(f"array<{WORD}>").alias("kw_asked"), F.min(F.octet_length("normalized")).alias("kw_least"))
+        own = F.lit(True)
+        for c in by:
+            own = own & F.col(c).eqNullSafe(F.col(f"kw_{c}"))
+        rows = rows.join(F.broadcast(lists), own, "left")  # no more rows than keywords
     else:
-        short = words.where(F.length("normalized") < 3)
-        long_ = words.where(F.length("normalized") >= 3).withColumn("gram", F.left("normalized", F.lit(3)))
-        # only grams that begin a keyword are shuffled, without their texts; a text joins its few candidates as an array
-        begins = long_.select("gram").distinct()
-        grams = texts.select(F.col(key).alias("k"), F.explode(F.array_distinct(T.char_ngrams(F.col("low"), 3, 3))).alias("gram")).join(begins, "gram", "left_semi")
-        asked = grams.join(long_, "gram").groupBy("k").agg(F.collect_list(F.struct("pos", "original", "normalized")).alias("asked"))
-        held = texts.select(key, "low").join(asked, F.col(key) == F.col("k"))
-        held = held.select(key, F.explode(F.filter("asked", lambda w: F.contains(F.col("low"), w.normalized))).alias("w")).select(key, "w.*")
-        # keywords of one or two characters: as many as there are pairs of characters, at most
-        hits = held.unionByName(texts.select(key, "low").join(short, F.col("low").contains(F.col("normalized"))).select(key, "pos", "original", "normalized"))
-    first = hits.groupBy(F.col(key).alias("hit_key")).agg(F.min_by("original", "pos").alias("keyword"))
-    out = texts.drop("low").join(first, F.col(key) == F.col("hit_key"), "left").drop("hit_key")
-    reason = F.when(F.col("keyword").isNotNull(), F.concat(F.lit(f"[{error_code}] Matched keyword: "), "keyword"))
-    return out.withColumn("keyword_reason", reason)
+        rows = written(rows.withColumn("kw_row", F.monotonically_increasing_id()), "keyword-texts")
+        asked = _candidates(rows, words, by).select(F.col("kw_row").alias("kw_at"), "kw_asked")
+        rows = rows.join(asked, F.col("kw_row") == F.col("kw_at"), "left").withColumn("kw_least", F.lit(1))
+    # texts that are too short for any keyword needn't be searched
+    held = F.filter("kw_asked", lambda w: F.contains(F.col("kw_low"), w.normalized))
+    first = F.when(F.octet_length("kw_low") >= F.col("kw_least"), F.try_element_at(held, F.lit(1)).original)
+    code = F.lit(error_code) if isinstance(error_code, str) else error_code
+    out = rows.withColumn("keyword", first).withColumn("keyword_reason", F.when(F.col("keyword").isNotNull(), F.concat(F.lit("["), code, F.lit("] Matched keyword: "), "keyword")))
+    return out.select(*texts.columns, "keyword", "keyword_reason")
+
+
+def _candidates(rows: DataFrame, words: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """kw_row and kw_asked, the keywords in list order that a text may hold: it has the 3-gram of each that the fewest keywords have.
+
+    Shorter keywords are their own key. A text gets no more keywords than its 3-grams are keys of.
+    """
+    size = F.least(F.length("normalized"), F.lit(3))
+    grams = words.select(*by, "pos", "original", "normalized", F.explode(F.array_distinct(F.when(size == 3, T.char_ngrams(F.col("normalized"), 3, 3)).otherwise(F.array("normalized")))).alias("gram"))
+    grams = written(grams, "keyword-grams")
+    common = grams.groupBy(*by, "gram").agg(F.count("*").alias("holders"))
+    keyed = grams.join(common, [*by, "gram"]).groupBy(*by, "pos", "original", "normalized").agg(F.min_by("gram", F.struct("holders", "gram")).alias("gram"))
+    keyed = written(keyed, "keyword-keys")
+    least = keyed.agg(F.min(F.length("gram"))).first()[0]
+    own = rows.select("kw_row", *by, F.explode(F.array_distinct(T.char_ngrams(F.col("kw_low"), least, 3))).alias("gram"))
+    found = own.join(keyed, [*by, "gram"])
+    return found.groupBy("kw_row").agg(F.array_sort(F.collect_list(F.struct("pos", "original", "normalized"))).alias("kw_asked"))
 
 
 def score_terms(texts: DataFrame, terms: DataFrame, intercept: float, tokens: Column | None = None, classes: tuple[int, int] = (0, 1), use_idf: bool = True, key: str = "id") -> DataFrame:
-    """key, z, p: intercept plus the sum of count * idf * weight over a text's known tokens, and its sigmoid.
+    """key, z, p: intercept plus the sum of count * idf * weight over a text's known tokens, and its sigmoid; a row for each of texts.
 
     terms: term, idf, weight. tokens: an array column, else white-space tokens. classes (1, 0) turn p round.
-    Tokens meet the terms where they stand, before any shuffle, if the terms are small enough to be
-    broadcast (Spark sees their size); only sums are shuffled.
+    A model of up to MOST_TERMS terms goes to the tasks, and a text's sum is made where the text is read. With more,
+    tokens meet the terms in a join; key must then be distinct.
     """
     tokens = T.ws_tokens(F.col("text")) if tokens is None else tokens
-    each = texts.select(F.col(key).alias("k"), F.explode(tokens).alias("term"))
-    value = F.col("weight").cast("double") * (F.col("idf") if use_idf else F.lit(1.0))
-    sums = each.join(terms.select("term", "idf", "weight"), "term").groupBy("k").agg(F.sum(value).alias("s"))
-    z = F.lit(float(intercept)) + F.coalesce("s", F.lit(0.0))
-    scored = texts.select(key).join(sums, F.col(key) == F.col("k"), "left").select(key, z.alias("z"))
+    worth = F.col("weight").cast("double") * (F.col("idf") if use_idf else F.lit(1.0))
+    known = terms.select("term", worth.alias("weight"))
+    few = known.limit(MOST_TERMS + 1).toArrow()
+    if few.num_rows <= MOST_TERMS:
+        sums = token_sums(texts, tokens, few, key)
+    else:
+        found = texts.select(F.col(key).alias("k"), F.explode(tokens).alias("term")).join(known, "term").groupBy("k").agg(F.sum("weight").alias("s"))
+        sums = texts.select(key).join(found, F.col(key).eqNullSafe(F.col("k")), "left")
+    scored = sums.select(key, (F.lit(float(intercept)) + F.coalesce("s", F.lit(0.0))).alias("z"))
     p = T.sigmoid(F.col("z"))
     return scored.withColumn("p", p if tuple(classes) == (0, 1) else 1 - p)
 
@@ -92,23 +118,25 @@ def score_hashed(texts: DataFrame, buckets: DataFrame, intercept: float, key: st
     return sums.select(key, (F.lit(float(intercept)) + F.coalesce("s", F.lit(0.0))).alias("z")).withColumn("p", T.sigmoid(F.col("z")))
 
 
-def decide(scored: DataFrame, low: float = 0.2, high: float = 0.8, source: str = "local") -> DataFrame:
+def decide(scored: DataFrame, low: float | Column = 0.2, high: float | Column = 0.8, source: str | Column = "local") -> DataFrame:
     """scored with decision: p < low allow, p > high block, else uncertain; no p: skipped. And reason."""
     p = F.col("p")
     decision = F.when(p.isNull(), "skipped").when(p < low, "allow").when(p > high, "block").otherwise("uncertain")
     risk = F.when(p < low, "low risk").when(p > high, "high risk").otherwise("uncertain")
-    return scored.withColumn("decision", decision).withColumn("reason", F.when(p.isNotNull(), F.format_string("%s: %s (p=%.3f)", F.lit(source), risk, p)))
+    source = F.lit(source) if isinstance(source, str) else source
+    return scored.withColumn("decision", decision).withColumn("reason", F.when(p.isNotNull(), F.format_string("%s: %s (p=%.3f)", source, risk, p)))
 
 
-def unit_draw(seed: int, *key: str) -> Column:
+def unit_draw(seed: int | Column, *key: str) -> Column:
     """A number in [0, 1) from 52 bits of a seeded md5."""
-    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
+    seed = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.conv(F.left(F.md5(F.concat_ws(":", seed, *[F.col(k).cast("string") for k in key])), F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def force_review(rows: DataFrame, rate: float, seed: int = 42, key: str = "id") -> DataFrame:
+def force_review(rows: DataFrame, rate: float | Column, seed: int | Column = 42, key: str = "id") -> DataFrame:
     """rows with forced: the share `rate` that goes to review before any model; none at 0 or less, all at 1 or more."""
-    forced = F.lit(False) if rate <= 0 else F.lit(True) if rate >= 1 else unit_draw(seed, key) < rate
-    return rows.withColumn("forced", forced)
+    rate = rate if isinstance(rate, Column) else F.lit(float(rate))
+    return rows.withColumn("forced", F.when(rate <= 0, False).when(rate >= 1, True).otherwise(unit_draw(seed, key) < rate))
 
 
 def capacity_fallback(uncertain: DataFrame, capacity: int, low: float = 0.2, high: float = 0.8, key: str = "id") -> DataFrame:
@@ -121,44 +149,53 @@ def capacity_fallback(uncertain: DataFrame, capacity: int, low: float = 0.2, hig
     return out.withColumn("route", F.when(fallback, "local_fallback").otherwise("review")).withColumn("violation", F.when(fallback, F.col("p") >= middle)).drop("stays")
 
 
-def moderate(requests: DataFrame, keywords: DataFrame, scorer, history: DataFrame, low: float = 0.2, high: float = 0.8, max_text: int = 4000, review_rate: float = 0.0, seed: int = 42, error_code: str = ERROR_CODE) -> DataFrame:
+def moderate(requests: DataFrame, keywords: DataFrame, scorer: Callable[[DataFrame], DataFrame], history: DataFrame, low: float = 0.2, high: float = 0.8, max_text: int = 4000, review_rate: float = 0.0, seed: int = 42, error_code: str = ERROR_CODE) -> DataFrame:
     """id, profile, text_hash, decision (allow, block, review), source, category, reason, p for requests (id, profile, text).
 
     Keywords look at the full text. What follows sees the text cut in the middle: each distinct (profile, text) is
-    decided once; a drawn share goes to review before the model; scorer(texts) gives id, p; p
-    outside the bands decides; the rest reuse the newest equal sample of history, or go to review.
+    decided once; a drawn share goes to review before the model; scorer(texts) gives id, p for texts (id: a number of its own, profile,
+    text); p outside the bands decides; the rest reuse the newest equal sample of history, or go to review.
 
-    Every request gets a decision. A null text counts as an empty one; a null profile is a profile of its own, without
-    history.
+    Every row of requests gets one decision, also one with a null id or with another's. A null text counts as an empty one; a null profile
+    is a profile of its own, without history. modq.operators.profiles has the form with settings and models of each profile.
     """
-    requests = requests.withColumn("text", F.coalesce("text", F.lit("")))
-    blocked = written(keyword_block(requests.select("id", "profile", "text"), keywords, error_code), "keyword-blocks")
-    rest = blocked.where("keyword is null").select("id", "profile", T.truncate_middle(F.col("text"), max_text).alias("text"))
-    rest = rest.withColumn("text_hash", T.text_hash(F.col("text")))
-    distinct = rest.groupBy("profile", "text_hash").agg(F.min("id").alias("id"), F.min_by("text", "id").alias("text"))
-    distinct = written(force_review(distinct, review_rate, seed, "text_hash"), "distinct-texts")
-    scores = scorer(distinct.where("not forced").select("id", "text"))
-    scored = decide(distinct.join(scores.select(F.col("id").alias("scored"), "p"), F.col("id") == F.col("scored"), "left").drop("scored"), low, high)
+    settings = {"low": float(low), "high": float(high), "max_text": max_text, "review_rate": float(review_rate), "seed": seed, "error_code": error_code}
+    return flow(requests.select("id", "profile", "text", *[F.lit(v).alias(k) for k, v in settings.items()]), keywords, scorer, history)
+
+
+SETTINGS = ("low", "high", "review_rate", "seed")
+
+
+def flow(requests: DataFrame, keywords: DataFrame, scorer: Callable[[DataFrame], DataFrame], history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """moderate() for requests (id, profile, text, low, high, max_text, review_rate, seed, error_code): settings are columns, those of a
+    profile's rows the same. by: columns that keywords have, too."""
+    rows = requests.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("row", F.monotonically_increasing_id())
+    blocked = written(keyword_block(rows, keywords, F.col("error_code"), by).withColumn("text", T.truncate_middle(F.col("text"), F.col("max_text"))).withColumn("text_hash", T.text_hash(F.col("text"))), "keyword-blocks")
+    rest = blocked.where("keyword is null")
+    distinct = rest.groupBy("profile", "text_hash").agg(F.min_by(F.struct("row", "text", *SETTINGS), "row").alias("r")).select("profile", "text_hash", "r.*")
+    distinct = written(force_review(distinct, F.col("review_rate"), F.col("seed"), "text_hash"), "distinct-texts")
+    scores = scorer(distinct.where("not forced").select(F.col("row").alias("id"), "profile", "text")).select(F.col("id").alias("scored"), "p")
+    scored = decide(distinct.join(scores, F.col("row") == F.col("scored"), "left").drop("scored"), F.col("low"), F.col("high"))
     clear = scored.where("decision in ('allow', 'block')").select("profile", "text_hash", "decision", F.lit("local").alias("source"), F.lit(None).cast("string").alias("category"), "reason", "p")
-    open_ = scored.where("decision not in ('allow', 'block')").select("id", "profile", "text", "text_hash", "p")
+    open_ = scored.where("decision not in ('allow', 'block')").select("profile", "text", "text_hash", "p")
     found = lookup_by_text(open_, history)
     known = F.col("hit_id").isNotNull()
     settled = found.select(
         "profile", "text_hash", F.when(~known, "review").when(F.col("hit_label") == 0, "allow").otherwise("block").alias("decision"), F.when(known, "history").otherwise("review").alias("source"),
         F.col("hit_category").alias("category"), F.when(known, F.concat(F.lit("history: sample "), F.col("hit_id").cast("string"))).alias("reason"), "p",
     )
-    verdicts = clear.unionByName(settled)
-    settled_for = verdicts.select(F.col("profile").alias("own"), F.col("text_hash").alias("hash"), "decision", "source", "category", "reason", "p")
-    by_model = rest.select("id", "profile", "text_hash").join(settled_for, F.col("profile").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("hash"))).drop("own", "hash")
-    by_rule = blocked.where("keyword is not null").select("id", "profile", T.text_hash(T.truncate_middle(F.col("text"), max_text)).alias("text_hash"), F.lit("block").alias("decision"), F.lit("keyword").alias("source"), F.lit(None).cast("string").alias("category"), F.col("keyword_reason").alias("reason"), F.lit(None).cast("double").alias("p"))
+    verdicts = clear.unionByName(settled).select(F.col("profile").alias("own"), F.col("text_hash").alias("hash"), "decision", "source", "category", "reason", "p")
+    by_model = rest.select("id", "profile", "text_hash").join(verdicts, F.col("profile").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("hash"))).drop("own", "hash")
+    by_rule = blocked.where("keyword is not null").select("id", "profile", "text_hash", F.lit("block").alias("decision"), F.lit("keyword").alias("source"), F.lit(None).cast("string").alias("category"), F.col("keyword_reason").alias("reason"), F.lit(None).cast("double").alias("p"))
     return by_rule.unionByName(by_model)
 
 
-def review_queue(decisions: DataFrame, texts: DataFrame, template: str, max_text: int = 4000) -> DataFrame:
-    """profile, text_hash, text, prompt: one row per distinct text that waits for review."""
-    cut = texts.select("id", T.truncate_middle(F.col("text"), max_text).alias("text"))
-    waiting = decisions.where("decision = 'review'").groupBy("profile", "text_hash").agg(F.min("id").alias("id")).join(cut, "id")
-    return waiting.select("profile", "text_hash", "text", T.render_prompt(F.lit(template), F.col("text")).alias("prompt"))
+def review_queue(decisions: DataFrame, texts: DataFrame, template: str, max_text: int | Column = 4000) -> DataFrame:
+    """profile, text_hash, text, prompt: one row per distinct text of texts (profile, text) that waits for review, whatever its id."""
+    waiting = decisions.where("decision = 'review'").select(F.col("profile").alias("own"), F.col("text_hash").alias("hash")).distinct()
+    cut = texts.select("profile", T.truncate_middle(F.coalesce("text", F.lit("")), max_text).alias("text")).withColumn("text_hash", T.text_hash(F.col("text")))
+    held = cut.join(waiting, F.col("profile").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("hash")), "left_semi").groupBy("profile", "text_hash").agg(F.min("text").alias("text"))
+    return held.select("profile", "text_hash", "text", T.render_prompt(F.lit(template), F.col("text")).alias("prompt"))
 
 
 def apply_verdicts(queue: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:

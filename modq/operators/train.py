@@ -6,9 +6,11 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,57 +50,85 @@ def train_terms(samples: DataFrame, max_features: int) -> tuple[DataFrame, float
     return terms, math.log((one + 1) / (zero + 1))
 
 
+def sgd(rows: pd.DataFrame, buckets: np.ndarray | None, w: np.ndarray, bias: float, rate: float, alpha: float, deadline: float | None = None) -> tuple[np.ndarray, float, int]:
+    """(weights, intercept, rows gone through) after one pass over rows (y, buckets, values) in their order.
+
+    error = y - p; intercept += rate * error; weight += rate * (error * value - alpha * weight) on the row's buckets, in 32-bit floats. w: the
+    weights of `buckets`, ascending, or with None of all buckets. No further row is begun after deadline (time.time()).
+    """
+    w, decay = w.copy(), float(np.float32(alpha))
+    if not len(rows):
+        return w, bias, 0
+    places = np.concatenate(rows["buckets"].to_list()).astype(np.int64)
+    places = places if buckets is None else np.searchsorted(buckets, places)
+    ends = np.cumsum([len(x) for x in rows["buckets"]])
+    for done, (y, values, end) in enumerate(zip(rows["y"], rows["values"], ends, strict=True)):
+        if deadline is not None and done % 32 == 0 and time.time() >= deadline:
+            return w, bias, done
+        at = places[end - len(values) : end]
+        own = w[at]
+        z = bias + float(own.astype(np.float64) @ values)
+        p = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
+        error = y - p
+        bias += rate * error
+        w[at] = own + (rate * (error * values - decay * own)).astype(np.float32)
+    return w, bias, len(rows)
+
+
+def _epoch(shared: Broadcast, at_start: float, rate: float, alpha: float, deadline: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A shard's part of an epoch, from the weights of all buckets: the intercept (bucket -1) and the touched buckets, and how many rows moved them."""
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["turn", "id"])
+        moved, bias, done = sgd(frame, None, shared.value, at_start, rate, alpha, deadline)
+        touched = np.unique(np.concatenate([np.zeros(0, np.int64), *frame["buckets"].iloc[:done]]).astype(np.int64))
+        return pd.DataFrame({"bucket": np.append(-1, touched).astype(np.int32), "weight": np.append(bias, moved[touched].astype(np.float64)), "n": done})
+
+    return step
+
+
+#: Buckets of a model whose weights go whole to every task of an epoch: 16 MB.
+MOST_DENSE = 1 << 22
+
+
 def train_hashed(samples: DataFrame, epochs: int = 3, alpha: float = 1e-5, shards: int | None = None, seed: int = 42, rate: float = RATE, max_seconds: float | None = None, **features) -> tuple[DataFrame, float]:
     """(bucket, weight; intercept) of a logistic model over hashed features, by sharded SGD and model averaging.
 
-    Every epoch each shard (a hash of the id) starts from the averaged weights of its own buckets and goes once
-    through its samples in a seeded order: error = y - p; intercept += rate * error; weight += rate * (error * value - alpha *
-    weight) on the sample's buckets, in 32-bit floats. Shards' weights are averaged over the shards that have the
-    bucket, by rows of it. One shard is plain SGD. A shard must fit a task: unless
-    shards is given, there is one for every SHARD samples. After max_seconds no further epoch begins.
+    Every epoch each shard (a hash of the id) starts from the averaged weights and goes once through its samples in a seeded order (sgd()). Shards'
+    weights are averaged over the shards that have the bucket, by rows of it. One shard is plain SGD. A shard must fit a task: unless
+    shards is given, there is one for every SHARD samples. After max_seconds no further epoch begins, and within one no shard begins
+    a further sample.
+
+    The weights are sent to the tasks as one array and come back, averaged by Spark, for the buckets that were touched: n_features
+    bounds both, so there may be MOST_DENSE at most; modq.operators.grouped.train_hashed_profiles() takes more.
     """
-    began = time.monotonic()
+    deadline = None if max_seconds is None else time.time() + max_seconds
+    n_features = features.get("n_features", FEATURES["n_features"])
+    if n_features > MOST_DENSE:
+        raise ValueError(f"more than {MOST_DENSE} features")
     zero, one = label_counts(samples)
-    start = math.log((one + 1) / (zero + 1))
+    intercept, w = math.log((one + 1) / (zero + 1)), np.zeros(n_features, np.float32)
     shards = shards or math.ceil((zero + one) / SHARD)
     keyed = samples.select("id", F.when(F.col("label") == 0, 0.0).otherwise(1.0).alias("y"), "text")
     rows = hashed_vectors(keyed, ["id", "y"], **features).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     data = written(rows, "hashed-samples")
-    needed = written(data.select(F.col("shard").alias("at_shard"), F.explode("buckets").alias("bucket")).distinct(), "shard-buckets")
-    weights, intercept = None, start
+    spark = samples.sparkSession
     for epoch in range(epochs):
-        if epoch and max_seconds is not None and time.monotonic() - began >= max_seconds:
+        if epoch and deadline is not None and time.time() >= deadline:
             break
-        part = data.withColumn("turn", draw(seed + epoch, "id"))
-        known = needed.join(weights, "bucket", "left") if weights is not None else needed.withColumn("weight", F.lit(0.0).cast("float"))
-        at_start = intercept
-
-        def step(left: pd.DataFrame, right: pd.DataFrame, at_start: float) -> pd.DataFrame:
-            right = right.sort_values("bucket")
-            known_buckets, w = right["bucket"].to_numpy(), right["weight"].fillna(0).to_numpy(np.float32)
-            left = left.sort_values(["turn", "id"])
-            places = np.searchsorted(known_buckets, np.concatenate(left["buckets"].to_list()).astype(np.int64))
-            ends = np.cumsum([len(x) for x in left["buckets"]])
-            bias, decay = np.float64(at_start), float(np.float32(alpha))
-            for y, values, end in zip(left["y"], left["values"], ends, strict=True):
-                at = places[end - len(values) : end]
-                own = w[at]
-                z = bias + float(own.astype(np.float64) @ values)
-                p = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
-                error = y - p
-                bias += rate * error
-                w[at] = own + (rate * (error * values - decay * own)).astype(np.float32)
-            return pd.DataFrame({"bucket": np.append(-1, known_buckets).astype(np.int32), "weight": np.append(bias, w.astype(np.float64)), "n": len(left)})
-
-        def shard_step(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return step(left, right, at_start)
-
-        moved = part.groupBy("shard").cogroup(known.groupBy("at_shard")).applyInPandas(shard_step, "bucket int, weight double, n long")
-        averaged = written(moved.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight")), "weights")
-        intercept = averaged.where("bucket = -1").first()["weight"]
-        weights = averaged.where("bucket >= 0").select("bucket", F.col("weight").cast("float").alias("weight"))
-    release(data, needed)
-    return weights.where("weight <> 0"), float(intercept)
+        shared = spark.sparkContext.broadcast(w)
+        step = _epoch(shared, intercept, rate, alpha, deadline)
+        moved = data.withColumn("turn", draw(seed + epoch, "id")).groupBy("shard").applyInPandas(step, "bucket int, weight double, n long").where("n > 0")
+        averaged = moved.groupBy("bucket").agg((F.sum(F.col("weight") * F.col("n")) / F.sum("n")).alias("weight")).toPandas()
+        bucket, weight = averaged["bucket"].to_numpy(), averaged["weight"].to_numpy()
+        if (bucket == -1).any():
+            intercept = float(weight[bucket == -1][0])
+        w = w.copy()
+        w[bucket[bucket >= 0]] = weight[bucket >= 0].astype(np.float32)
+        shared.unpersist()
+    release(data)
+    at = np.flatnonzero(w)
+    return spark.createDataFrame(pd.DataFrame({"bucket": at.astype(np.int32), "weight": w[at]}), "bucket int, weight float"), intercept
 
 
 #: What a hashed model's features depend on, and their defaults: part of its meta.

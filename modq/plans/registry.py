@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modq.functions import text as T
-from modq.operators import chat, evaluate, moderate, store, streams, train
+from modq.operators import chat, evaluate, grouped, moderate, profiles, store, streams, train
 from modq.plans import inputs
 from modq.plans.inputs import KEYWORDS_SQL, SAMPLES_SQL
 from modq.session import fresh_path, prepare, table, written
@@ -419,8 +419,8 @@ query("f6_force_review", "SELECT doc_id AS id, ('0x' || left(md5('42:' || doc_id
 query("f7_capacity_fallback", f"""WITH {_scores_sql('idf')}, q AS (SELECT id, p, row_number() OVER (ORDER BY round(abs(p - 0.5), 9), id) AS k FROM (SELECT id, round(p, 9) AS p FROM p))
 SELECT id, CASE WHEN k <= 50 THEN 'review' ELSE 'local_fallback' END AS route, CASE WHEN k > 50 THEN p >= 0.5 END AS violation FROM q""")(lambda s, d: moderate.capacity_fallback(_scored(s, d).select("id", F.round("p", 9).alias("p")), 50).select("id", "route", "violation"))
 
-#: Characters of a text that the flow's queries look at after the keywords: most documents are longer.
-MOST_TEXT = 1500
+#: Characters of a text that the flow looks at after the keywords: its default.
+MOST_TEXT = 4000
 CUT_TEXTS = f"(SELECT doc_id, lang, CASE WHEN length(text) > {MOST_TEXT} THEN left(text, {2 * MOST_TEXT // 3}) || chr(10) || '...[中间省略]...' || chr(10) || right(text, {MOST_TEXT - 2 * MOST_TEXT // 3}) ELSE text END AS text FROM documents)"
 FLOW_SQL = f"""{_scores_sql('idf', CUT_TEXTS)}, {KEYWORDS_SQL},
 hit AS (SELECT doc_id AS id, arg_min(original, pos) AS keyword FROM documents JOIN keywords ON contains(translate(text, '{T.UPPER}', '{T.LOWER}'), normalized) GROUP BY doc_id),
@@ -459,6 +459,112 @@ def _(spark, d):
 query("f11_block_message", f"""WITH {FLOW_SQL} SELECT id, CASE WHEN decision = 'block' THEN 'Smart moderation blocked by ' || source || CASE WHEN source = 'history' AND hit_category <> '' THEN ' (category: ' || hit_category || ')' ELSE '' END END AS message, CASE WHEN decision = 'block' AND source <> 'keyword' AND NOT forced THEN round(p, 6) END AS confidence FROM flow""")(_messages)
 query("f12_decision_report", f"WITH {FLOW_SQL} SELECT profile, source, decision, count(*) AS n FROM flow GROUP BY ALL")(lambda s, d: moderate.decision_report(_decisions(s, d)))
 
+# many profiles in one plan: settings, keywords, samples and models of each
+
+#: Fixed settings of three languages' profiles; the others have defaults.
+PROFILES = [("en", 0.25, 0.75, 4000, 0.3, 42, "EN_BLOCKED"), ("fr", 0.3, 0.7, 1000, 0.1, 7, "FR_BLOCKED"), ("de", 0.1, 0.9, 2000, 0.0, 1, None)]
+PROFILE_KEYWORDS = [("en", 2, "wheheat", "wheheat"), ("en", 1, "Loser", "loser"), ("fr", 1, "Oui", "oui"), ("de", 1, "thhati er", "thhati er")]
+FASTTEXT = ("fr",)
+
+
+def _profiles(spark):
+    return spark.createDataFrame(PROFILES, "profile string, low double, high double, max_text int, review_rate double, seed long, error_code string")
+
+
+def _limits(spark, d):
+    """Every profile's training settings: strategies by language."""
+    names = inputs.samples(spark, d).select("profile").distinct()
+    strategy = F.when(F.col("profile") == "de", "random_duplicate").when(F.col("profile") == "es", "random_full").when(F.col("profile") == "fr", "latest_full").otherwise("balanced_undersample")
+    return names.select("profile", F.lit(TRAIN).alias("most"), F.lit(200).alias("few"), F.lit(MAX_TERMS).alias("max_features"), strategy.alias("strategy"))
+
+
+def _profile_models(spark, d):
+    limits = _limits(spark, d)
+    chosen = written(grouped.balanced_samples(inputs.samples(spark, d), limits.withColumn("strategy", F.lit("balanced_undersample"))), "chosen")
+    terms, models = grouped.train_terms_profiles(chosen, limits)
+    kind = F.when(F.col("profile").isin(*FASTTEXT), "fasttext").otherwise("bow")
+    none = spark.createDataFrame([], "profile string, bucket int, weight float")
+    return profiles.Catalog(written(models.withColumn("model_type", kind), "models"), written(terms, "terms"), none)
+
+
+BY_PROFILE = f"""r AS (SELECT *, row_number() OVER (PARTITION BY profile, label {RANDOM}) AS k, row_number() OVER (PARTITION BY profile, label ORDER BY id DESC) AS newest, count(*) OVER (PARTITION BY profile, label) AS n FROM samples),
+m AS (SELECT profile, min(n) AS least, max(n) AS most, count(DISTINCT label) AS labels FROM r GROUP BY profile)"""
+PROFILE_MODEL_SQL = rf"""{SAMPLES_SQL}, {BY_PROFILE}, chosen AS MATERIALIZED (SELECT profile, id, text, label FROM r JOIN m USING (profile) WHERE labels = 2 AND k <= least(least, {TRAIN // 2})),
+sizes AS (SELECT profile, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label <> 0) AS n1 FROM chosen GROUP BY profile),
+tokens AS (SELECT profile, id, label, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM chosen),
+stats AS (SELECT profile, term, count(*) FILTER (label = 0) AS pass_hits, count(*) FILTER (label <> 0) AS violation_hits, count(DISTINCT id) AS df FROM tokens WHERE term <> '' GROUP BY ALL),
+top AS (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY profile ORDER BY abs(violation_hits - pass_hits) DESC, df DESC, encode(term)) <= {MAX_TERMS}),
+model AS MATERIALIZED (SELECT *, ln((n0 + n1 + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 AS idf, ln((violation_hits + 1.0::DOUBLE) / (pass_hits + 1.0::DOUBLE)) AS weight FROM top JOIN sizes USING (profile)),
+biases AS (SELECT profile, ln((n1 + 1.0::DOUBLE) / (n0 + 1.0::DOUBLE)) AS b FROM sizes)"""
+
+
+@query("g1_train_profiles", f"WITH {PROFILE_MODEL_SQL} SELECT profile, term, pass_hits, violation_hits, df, round(idf, 6) AS idf, round(weight, 6) AS weight, round(b, 6) AS intercept FROM model JOIN biases USING (profile)")
+def _(spark, d):
+    catalog = _profile_models(spark, d)
+    return catalog.terms.join(catalog.models.select("profile", F.round("intercept", 6).alias("intercept")), "profile").select("profile", "term", "pass_hits", "violation_hits", "df", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"), "intercept")
+
+
+@query("g2_train_hashed_profiles")
+def _(spark, d):
+    buckets, models = grouped.train_hashed_profiles(grouped.balanced_samples(inputs.samples(spark, d), _limits(spark, d).withColumn("strategy", F.lit("balanced_undersample"))))
+    return buckets.join(models.select("profile", "intercept"), "profile")
+
+
+@query("c15_samples_by_profile", f"""WITH {SAMPLES_SQL}, {BY_PROFILE}, c AS (SELECT r.profile, id, label, CASE profile
+  WHEN 'fr' THEN (newest <= 100)::BIGINT WHEN 'es' THEN (k <= 100)::BIGINT
+  WHEN 'de' THEN CASE WHEN labels < 2 THEN 0 WHEN n >= least(100, most) THEN (k <= least(100, most))::BIGINT ELSE least(100, most) // n + (k <= least(100, most) % n)::BIGINT END
+  ELSE (labels = 2 AND k <= least(least, 100))::BIGINT END AS copies FROM r JOIN m USING (profile))
+SELECT profile, id, label FROM (SELECT profile, id, label, unnest(range(copies)) FROM c)""")
+def _(spark, d):
+    limits = _limits(spark, d).select("profile", F.col("few").alias("most"), "strategy")
+    return grouped.balanced_samples(inputs.samples(spark, d), limits).select("profile", "id", "label")
+
+
+@query("c13_retain_by_profile", f"WITH {SAMPLES_SQL}, {BY_PROFILE}, t AS (SELECT profile, count(*) AS total FROM samples GROUP BY profile) SELECT profile, id, label FROM r JOIN t USING (profile) WHERE total > 60 AND k > 30")
+def _(spark, d):
+    limits = _limits(spark, d).select("profile", F.lit(60).alias("most"))
+    return grouped.retain_profiles(inputs.samples(spark, d), limits)[1].select("profile", "id", "label")
+
+
+CUT = "CASE WHEN length(text) > most THEN left(text, 2 * most // 3) || chr(10) || '...[中间省略]...' || chr(10) || right(text, most - 2 * most // 3) ELSE text END"
+_values = lambda rows: ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+PROFILE_FLOW_SQL = rf"""{PROFILE_MODEL_SQL}, own(profile, low, high, most, rate, seed, code) AS (VALUES {_values(PROFILES)}), words(profile, pos, original, normalized) AS (VALUES {_values(PROFILE_KEYWORDS)}),
+told AS (SELECT doc_id AS id, lang AS profile, text AS whole, coalesce(low, 0.2)::DOUBLE AS low, coalesce(high, 0.8)::DOUBLE AS high, coalesce(most, 4000) AS most, coalesce(rate, 0.3)::DOUBLE AS rate, coalesce(seed, 42) AS seed, coalesce(code, 'BASIC_MODERATION_BLOCKED') AS code FROM documents LEFT JOIN own ON profile = lang),
+hit AS (SELECT id, arg_min(original, pos) AS keyword FROM told t JOIN words w ON w.profile = t.profile AND contains(translate(whole, '{T.UPPER}', '{T.LOWER}'), normalized) GROUP BY id),
+cut AS (SELECT * EXCLUDE (text), {CUT} AS text FROM (SELECT *, whole AS text FROM told)),
+seen AS (SELECT id, profile, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM cut),
+sums AS (SELECT id, sum(weight * CASE WHEN profile IN ({', '.join(f"'{x}'" for x in FASTTEXT)}) THEN 1.0::DOUBLE ELSE idf END) AS s FROM seen JOIN model USING (profile, term) GROUP BY id),
+scored AS (SELECT cut.*, b + coalesce(s, 0) AS z FROM cut LEFT JOIN sums USING (id) LEFT JOIN biases USING (profile)),
+p AS (SELECT *, CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) WHEN z < 0 THEN exp(z) / (1 + exp(z)) END AS p, CASE WHEN rate <= 0 THEN false ELSE ('0x' || left(md5(seed || ':' || md5(text)), 13))::BIGINT / pow(2, 52) < rate END AS forced FROM scored),
+history AS (SELECT profile, text, max(id) AS hit_id, arg_max(label, id) AS hit_label FROM samples GROUP BY ALL),
+flow AS (SELECT p.*, keyword, code, CASE WHEN keyword IS NOT NULL THEN 'keyword' WHEN NOT forced AND p IS NOT NULL AND (p < low OR p > high) THEN 'local' WHEN hit_id IS NOT NULL THEN 'history' ELSE 'review' END AS source, hit_label
+  FROM p LEFT JOIN hit USING (id) LEFT JOIN history h ON h.profile = p.profile AND h.text = p.text)"""
+
+
+def _profile_words(spark):
+    return spark.createDataFrame(PROFILE_KEYWORDS, "profile string, pos int, original string, normalized string")
+
+
+@query("f8_moderate_profiles", f"""WITH {PROFILE_FLOW_SQL} SELECT id, profile, source, CASE source WHEN 'keyword' THEN 'block' WHEN 'local' THEN CASE WHEN p < low THEN 'allow' ELSE 'block' END WHEN 'history' THEN CASE WHEN hit_label = 0 THEN 'allow' ELSE 'block' END ELSE 'review' END AS decision,
+  CASE WHEN keyword IS NOT NULL THEN '[' || code || '] Matched keyword: ' || keyword END AS told, CASE WHEN keyword IS NULL AND NOT forced THEN round(p, 6) END AS p FROM flow""")
+def _(spark, d):
+    decided = profiles.moderate_profiles(inputs.texts(spark, d), _profiles(spark), _profile_words(spark), _profile_models(spark, d), inputs.samples(spark, d))
+    return decided.select("id", "profile", "source", "decision", F.when(F.col("source") == "keyword", F.col("reason")).alias("told"), F.round("p", 6).alias("p"))
+
+
+@query("f7_capacity_by_profile", rf"""WITH {PROFILE_MODEL_SQL}, own(profile, low, high, most, rate, seed, code) AS (VALUES {_values(PROFILES)}), seen AS (SELECT doc_id AS id, lang AS profile, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents),
+sums AS (SELECT id, sum(weight * CASE WHEN profile IN ({', '.join(f"'{x}'" for x in FASTTEXT)}) THEN 1.0::DOUBLE ELSE idf END) AS s FROM seen JOIN model USING (profile, term) GROUP BY id),
+scored AS (SELECT doc_id AS id, lang AS profile, b + coalesce(s, 0) AS z FROM documents LEFT JOIN sums ON id = doc_id JOIN biases ON profile = lang),
+p AS (SELECT id, scored.profile, round(CASE WHEN z >= 0 THEN 1 / (1 + exp(-z)) ELSE exp(z) / (1 + exp(z)) END, 6) AS p, (coalesce(low, 0.2)::DOUBLE + coalesce(high, 0.8)::DOUBLE) / 2 AS middle FROM scored LEFT JOIN own USING (profile))
+SELECT id, profile, CASE WHEN row_number() OVER w <= 20 THEN 'review' ELSE 'local_fallback' END AS route, CASE WHEN row_number() OVER w > 20 THEN p >= middle END AS violation FROM p WINDOW w AS (PARTITION BY profile ORDER BY abs(p - middle), id)""")
+def _(spark, d):
+    texts = inputs.texts(spark, d)
+    scored = profiles.score_profiles(texts, _profile_models(spark, d)).where("p is not null").select("id", F.round("p", 6).alias("p"))
+    uncertain = texts.select("id", "profile").join(scored, "id")
+    room = uncertain.select("profile").distinct().join(_profiles(spark), "profile", "left").withColumn("capacity", F.lit(20))
+    return profiles.capacity_fallback_profiles(uncertain, room).select("id", "profile", "route", "violation")
+
+
 # H. evaluation and statistics
 
 LABELLED_SQL = f"WITH {_scores_sql('idf')}, x AS (SELECT label, round(p, 6) AS p FROM samples JOIN (SELECT id + 1 AS id, p FROM p) USING (id))"

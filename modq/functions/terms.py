@@ -14,25 +14,28 @@ from pyspark.sql import functions as F
 BETWEEN = "\n"
 
 
-def token_sums(texts: DataFrame, tokens: Column, weights: pa.Table, key: str, group: str | None = None) -> DataFrame:
-    """key and s: the sum of the weights of a text's tokens, each as often as it stands there.
+def token_scores(texts: DataFrame, tokens: Column, weights: pa.Table, group: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """texts' columns keep (default: all) with s: the sum of the weights of a text's tokens, each as often as it stands there. No row meets another, so texts may be a stream.
 
     weights: term, weight, a table that goes to every task, so its size must be bounded; with group, a column of texts, term is the
     group's name, BETWEEN and the term. Null tokens: 0.
     """
-    rows = texts.select(key, *([F.coalesce(F.col(group), F.lit("")).alias("g")] if group else []), tokens.alias("tokens"))
+    keep = texts.columns if keep is None else keep
+    rows = texts.select(*keep, *([F.coalesce(F.col(group), F.lit("")).alias("score_group")] if group else []), tokens.alias("score_tokens"))
     terms, values = weights.column("term").combine_chunks(), weights.column("weight").to_numpy().astype(np.float64)
     shared = texts.sparkSession.sparkContext.broadcast((terms, np.append(values, 0.0)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, worth = shared.value
         for batch in batches:
-            lists = batch.column("tokens")
+            lists = batch.column("score_tokens")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             owner, flat = np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(lists)
             if group:
-                flat = pc.binary_join_element_wise(batch.column("g").take(pa.array(owner)).cast(flat.type), flat, pa.scalar(BETWEEN, flat.type))
+                flat = pc.binary_join_element_wise(batch.column("score_group").take(pa.array(owner)).cast(flat.type), flat, pa.scalar(BETWEEN, flat.type))
             at = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), len(worth) - 1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(owner, worth[at], minlength=len(sizes)).astype(np.float64))], names=[key, "s"])
+            sums = np.bincount(owner, worth[at], minlength=len(sizes)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sums)], names=[*keep, "s"])
 
-    return rows.mapInArrow(scan, f"`{key}` {dict(rows.dtypes)[key]}, s double")
+    kinds = dict(texts.dtypes)
+    return rows.mapInArrow(scan, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", s double")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from modq.functions import text as T
 from modq.functions.grams import hashed_sums, hashed_vectors
-from modq.functions.terms import token_sums
+from modq.functions.terms import token_scores
 from modq.operators.store import lookup_by_text
 from modq.session import written
 
@@ -80,7 +80,7 @@ def score_terms(texts: DataFrame, terms: DataFrame, intercept: float, tokens: Co
     known = terms.select("term", worth.alias("weight"))
     few = known.limit(MOST_TERMS + 1).toArrow()
     if few.num_rows <= MOST_TERMS:
-        sums = token_sums(texts, tokens, few, key)
+        sums = token_scores(texts, tokens, few, keep=[key])
     else:
         found = texts.select(F.col(key).alias("k"), F.explode(tokens).alias("term")).join(known, "term").groupBy("k").agg(F.sum("weight").alias("s"))
         sums = texts.select(key).join(found, F.col(key).eqNullSafe(F.col("k")), "left")

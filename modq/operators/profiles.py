@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from modq.functions import text as T
 from modq.functions.grams import hashed, plain_text, slices
-from modq.functions.terms import BETWEEN, token_sums
+from modq.functions.terms import BETWEEN, token_scores
 from modq.operators import moderate as M
 from modq.operators.train import FEATURES, checked_features
 from modq.session import written
@@ -54,7 +54,7 @@ def score_term_profiles(texts: DataFrame, catalog: Catalog, key: str = "id") ->
     tokens = T.ws_tokens(F.col("text"))
     few = known.select(F.concat("profile", F.lit(BETWEEN), "term").alias("term"), "weight").limit(M.MOST_TERMS + 1).toArrow()
     if few.num_rows <= M.MOST_TERMS:
-        return token_sums(texts, tokens, few, key, "profile")
+        return token_scores(texts, tokens, few, "profile", [key])
     each = texts.select(F.col(key).alias("k"), "profile", F.explode(tokens).alias("term")).groupBy("k", "profile", "term").agg(F.count("*").alias("n"))
     found = each.join(known, ["profile", "term"]).groupBy("k").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
     return texts.select(key).join(found, F.col(key) == F.col("k"), "left").select(key, F.coalesce("s", F.lit(0.0)).alias("s"))

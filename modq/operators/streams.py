@@ -23,7 +23,11 @@ def chunks_to_frames(chunks: DataFrame) -> DataFrame:
 
 
 def body_frames(bodies: DataFrame) -> DataFrame:
-    frames = bodies.select("stream_id", "dialect", F.posexplode(F.split("body", "\r?\n\r?\n")).alias("frame_seq", "frame"))
+    return parsed_frames(bodies.select("stream_id", "dialect", F.posexplode(F.split("body", "\r?\n\r?\n")).alias("frame_seq", "frame")))
+
+
+def parsed_frames(frames: DataFrame) -> DataFrame:
+    """stream_id, dialect, frame_seq, event, data of frames (stream_id, dialect, frame_seq, frame); those without either are left out."""
     lines = F.transform(F.split("frame", "\r?\n"), lambda x: x)
     data = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
     event = F.try_element_at(F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: F.regexp_replace(x, "^event: ?", "")), F.lit(1))

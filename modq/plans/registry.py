@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modq.functions import text as T
@@ -615,9 +616,10 @@ def _files(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def _finish(writer):
-    q = writer.trigger(availableNow=True).start()
-    q.awaitTermination()
+def _finish(spark, writer, timers=False):
+    from modq.streaming import jobs
+
+    jobs.run_available(spark, writer, timers)
 
 
 @query("i1_moderate_stream", f"WITH {FLOW_SQL} SELECT id, profile, decision, source FROM flow")
@@ -627,7 +629,7 @@ def _(spark, d):
     terms, intercept = _model(spark, d)
     sink, history = fresh_path(spark, "decisions"), inputs.samples(spark, d)
     stream = _files(spark, inputs.texts(spark, d), "texts")
-    _finish(jobs.moderate_stream(stream, inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), lambda: history, sink, fresh_path(spark, "state"), max_text=MOST_TEXT, review_rate=0.3))
+    _finish(spark, jobs.moderate_stream(stream, inputs.keywords(spark), lambda t: moderate.score_terms(t, terms, intercept), lambda: history, sink, fresh_path(spark, "state"), max_text=MOST_TEXT, review_rate=0.3))
     return spark.read.parquet(sink).select("id", "profile", "decision", "source")
 
 
@@ -638,7 +640,7 @@ def _(spark, d):
     rows = inputs.texts(spark, d).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     sink = fresh_path(spark, "deduped")
     stream = jobs.dedupe_texts_stream(_files(spark, rows, "texts"))
-    _finish(stream.select("profile", "text_hash").writeStream.format("parquet").option("path", sink).option("checkpointLocation", fresh_path(spark, "state")))
+    _finish(spark, stream.select("profile", "text_hash").writeStream.format("parquet").option("path", sink).option("checkpointLocation", fresh_path(spark, "state")))
     return spark.read.parquet(sink)
 
 
@@ -648,15 +650,82 @@ def _(spark, d):
 
     sink = fresh_path(spark, "streams")
     chunks = inputs.stream_chunks(spark, d).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    _finish(jobs.reassemble_streams_stream(_files(spark, chunks, "chunks"), sink, fresh_path(spark, "state")))
+    _finish(spark, jobs.reassemble_streams_stream(_files(spark, chunks, "chunks"), sink, fresh_path(spark, "state")))
     return spark.read.parquet(sink).select("stream_id", "text", "finish_reason", "done")
 
 
 @query("i4_running_counts_stream", f"WITH {SAMPLES_SQL} SELECT profile, label, count(*) AS n FROM samples GROUP BY ALL")
 def _(spark, d):
+    from modq.operators import sample_table
     from modq.streaming import jobs
 
-    sink, state = fresh_path(spark, "counts"), fresh_path(spark, "state")
-    counts = jobs.running_counts_stream(_files(spark, inputs.samples(spark, d), "samples"))
-    _finish(counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(sink)).option("checkpointLocation", state))
-    return spark.read.parquet(sink)
+    rows, counts = inputs.samples(spark, d), sample_table.counts_table(spark, fresh_path(spark, "counts"))
+    path = fresh_path(spark, "samples")
+    for half in (0, 1):  # two batches: the second changes totals that the first has written
+        rows.where(F.col("id") % 2 == half).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    _finish(spark, jobs.upsert_counts_stream(stream, counts, fresh_path(spark, "state")))
+    return counts.read()
+
+
+#: A verdict of each document of its own, so that a repeat's would differ from its text's first.
+OWN_VERDICTS = "SELECT doc_id AS id, lang AS profile, md5(text) AS text_hash, (doc_id % 100) / 100.0::DOUBLE AS p FROM documents"
+
+
+@query("i2_reuse_verdicts_stream", f"""WITH d AS ({OWN_VERDICTS}), f AS (SELECT profile, text_hash, min(id) AS first, arg_min(p, id) AS p FROM d GROUP BY ALL)
+SELECT d.id, d.profile, d.text_hash, CASE WHEN f.p < 0.2 THEN 'allow' WHEN f.p > 0.8 THEN 'block' ELSE 'uncertain' END AS decision, round(f.p, 6) AS p, d.id <> first AS reused FROM d JOIN f USING (profile, text_hash)""")
+def _(spark, d):
+    from modq.streaming import jobs
+
+    rows = inputs.texts(spark, d).select("id", "profile", F.md5("text").alias("text_hash"), ((F.col("id") % 100) / 100.0).alias("p"))
+    decided = moderate.decide(rows).withColumn("source", F.lit("local"))
+    middle = rows.agg(F.percentile_approx("id", 0.5)).first()[0]
+    path, sink = fresh_path(spark, "decided"), fresh_path(spark, "reused")
+    for half in (F.col("id") <= middle, F.col("id") > middle):  # one batch after the other: repeats within a batch and of an earlier one
+        decided.where(half).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in the order of their time, in seconds
+    stream = spark.readStream.schema(decided.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.reuse_verdicts_stream(stream)
+    _finish(spark, out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", fresh_path(spark, "state")))
+    return spark.read.parquet(sink).select("id", "profile", "text_hash", "decision", F.round("p", 6).alias("p"), "reused")
+
+
+# the sample store that changes
+
+@query("c13_retain_in_place", f"WITH {SAMPLES_SQL}, {BY_PROFILE}, t AS (SELECT profile, count(*) AS total FROM samples GROUP BY profile), kept AS (SELECT r.* FROM r JOIN t USING (profile) WHERE total <= 60 OR k <= 30) SELECT profile, text_hash, max(id) AS pointer, count(*) AS samples FROM kept GROUP BY ALL")
+def _(spark, d):
+    from modq.operators import sample_table
+
+    store_ = sample_table.sample_table(spark, fresh_path(spark, "sample-table"))
+    sample_table.import_samples(store_, inputs.samples(spark, d))
+    version = sample_table.retain(store_, _limits(spark, d).select("profile", F.lit(60).alias("most")))
+    have = store_.read(version).groupBy("profile", "text_hash").agg(F.count("*").alias("samples"))
+    return sample_table.pointers(store_, version).withColumnRenamed("id", "pointer").join(have, ["profile", "text_hash"])
+
+
+@query("c5_lookup_in_table", ORACLE_SQL["c5_lookup_by_text"])
+def _(spark, d):
+    from modq.operators import sample_table
+
+    store_ = sample_table.sample_table(spark, fresh_path(spark, "sample-table"))
+    s = inputs.samples(spark, d)
+    for half in (0, 1):
+        sample_table.import_samples(store_, s.where(F.col("id") % 2 == half))
+    return sample_table.lookup(store_, inputs.texts(spark, d)).select("id", "hit_id", "hit_label")
+
+
+@query("i1_learning_loop", f"WITH {VERDICTS}, said AS (SELECT d.lang AS profile, md5(d.text) AS text_hash, v.toxic::INT AS label, v.source AS category FROM verdicts v JOIN documents d USING (doc_id) WHERE doc_id % 3 <> 0 AND doc_id = (SELECT min(x.doc_id) FROM documents x WHERE x.lang = d.lang AND x.text = d.text)) SELECT profile, text_hash, label, category FROM said")
+def _(spark, d):
+    """Reviewers' verdicts on each text's first document meet the queue in a stream, and become samples."""
+    from modq.operators import sample_table
+    from modq.streaming import jobs
+
+    first = Window.partitionBy("lang", "text_hash").orderBy("doc_id")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    firsts = table(spark, d, "documents").withColumn("text_hash", F.md5("text")).withColumn("nth", F.row_number().over(first)).where("nth = 1").select("doc_id", "text_hash")
+    judged = _verdicts(spark, d).join(firsts, "doc_id")
+    queue = judged.select(F.col("lang").alias("profile"), "text_hash", "text", at.alias("queued_at"))
+    verdicts = judged.select(F.col("lang").alias("profile"), "text_hash", "content", (at + F.expr("interval 5 minutes")).alias("judged_at"))
+    samples = sample_table.sample_table(spark, fresh_path(spark, "sample-table"))
+    _finish(spark, jobs.learn_stream(_files(spark, queue, "queue"), _files(spark, verdicts, "verdicts"), samples, fresh_path(spark, "rejects"), fresh_path(spark, "state")))
+    return samples.read().select("profile", "text_hash", "label", "category")

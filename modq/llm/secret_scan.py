@@ -100,7 +100,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     MOST_REPOSITORIES repositories; more widely copied ones are taken for examples and left out. verdict says which
     of the two each span's credential is: example or live.
 
-    Null or empty text: no spans. Null owner or repository: one owner of its own. Null doc_id: kept.
+    Null or empty text: no spans. Null owner or repository: one owner or repository of its own. Repositories of two owners with one name are two. Null doc_id: kept.
     Repeated rows: one result each, counted in n_rows. Empty table: no rows. Other columns are ignored.
     """
     prepare(docs.sparkSession)
@@ -122,7 +122,16 @@ def span_list(spans) -> "F.Column":
 
 
 def with_digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans from secrets()' rows."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans from secrets()' rows, and what the ownership of each span's credential is in the whole corpus:
+    owners, a row of (kind, start, end, n_owners, n_repositories, n_occurrences, verdict) for each of spans, in that order; n_live and n_example, spans
+    of either verdict; most_owners, of any of its credentials."""
     of = lambda k: F.size(F.filter("all_spans", lambda s: s.kind == k)).cast("long")
+    said = lambda v: F.size(F.filter("all_spans", lambda s: s.verdict == v)).cast("long")
     base = span_list(F.filter("all_spans", lambda s: s.kind < 3))
-    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), span_list(F.col("all_spans")).alias("spans"))
+    names = F.array(*map(F.lit, KINDS))
+    owners = F.transform("all_spans", lambda s: F.struct(F.element_at(names, s.kind + 1).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.n_owners.alias("n_owners"), s.n_repositories.alias("n_repositories"), s.n_rows.alias("n_occurrences"), s.verdict.alias("verdict")))
+    most = F.coalesce(F.array_max(F.transform("all_spans", lambda s: s.n_owners)), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), span_list(F.col("all_spans")).alias("spans"),
+        said("live").alias("n_live"), said("example").alias("n_example"), most.alias("most_owners"), owners.alias("owners"),
+    )

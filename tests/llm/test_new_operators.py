@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modq.llm import exact_dedup, merkle, whitening
+from modq.llm import exact_dedup, merkle, secret_scan, whitening
 from modq.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -187,3 +187,36 @@ def test_scatter_is_exact():
         y = (x - whitening.BASE).astype(object)
         assert sums == y.sum(axis=0).tolist()
         assert all(products[i][j] == int((y[:, i] * y[:, j]).sum()) for i in range(5) for j in range(i, 5))
+
+
+def test_ownership_of_every_span(spark):
+    """Owners, repositories and occurrences of each span's credential in the corpus, null ones too, and the verdict by them, against plain counts."""
+    from modq.llm import queries
+
+    given = [r.asDict() for r in queries.QUERIES["op8_secrets"](spark, SF).collect()]
+    docs = [(r["doc_id"], r["text"], r["source"], f"{r['source']}/{r['lang']}") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    live, wide, few = "Zx9kLmQ2vB7nRt4pWs8yUe1o", "password = 'Hunter2Hunter2'", "0123456789abcdef" * 2
+    odd = [(i, f"key {live} and {few}", "own", "r1") for i in range(3)] + [(9, wide, None, None), (10, wide, None, "r1"), (11, f"{wide} {wide}", "b", None), (12, f"{live}x {few}", None, None), (None, few, "own", "r2"), (13, None, "a", "r")]
+    odd += [(20 + i, "AKIA" + "B" * 16, "own", f"r{i}") for i in range(4)]
+    found = secret_scan.with_digests(secret_scan.secrets(spark.createDataFrame(odd, "doc_id long, text string, owner string, repository string"))).collect()
+    for rows, got in ((docs, given), (odd, [r.asDict() for r in found])):
+        owners, places, occurrences = defaultdict(set), defaultdict(set), Counter()
+        spans = []
+        for d, text, owner, repository in rows:
+            base = secret_scan.base_spans(text or "")
+            every = base + secret_scan.candidates(text or "", base)
+            for _, _, _, value in every:
+                owners[value].add(owner)
+                places[value].add((owner, repository))
+                occurrences[value] += 1
+            spans.append((d, every))
+        want = []
+        for d, every in spans:
+            told = []
+            for kind, start, end, value in sorted(every, key=lambda s: (s[1], s[0])):
+                copied = len(owners[value]) > secret_scan.MOST_OWNERS or len(places[value]) > secret_scan.MOST_REPOSITORIES
+                if kind < 3 or not copied:
+                    told.append((secret_scan.KINDS[kind], start, end, len(owners[value]), len(places[value]), occurrences[value], "example" if copied else "live"))
+            want.append((d, told, sum(t[-1] == "live" for t in told), sum(t[-1] == "example" for t in told), max((t[3] for t in told), default=0)))
+        assert sorted(((r["doc_id"], [tuple(o) for o in r["owners"]], r["n_live"], r["n_example"], r["most_owners"]) for r in got), key=str) == sorted(want, key=str)
+    assert any(r["n_example"] for r in found if r["doc_id"] == 20)

@@ -2,24 +2,119 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modq.functions.text import is_kind, items_of, string_of
 from modq.operators.chat import at, either, has, objects
+from modq.session import written
 
 EVENT = "struct<kind:string,key:string,text:string,call_id:string,name:string,finish_reason:string,input_tokens:bigint,output_tokens:bigint>"
 #: Fixed value: after more than so many bytes a stream passes whatever it says.
 PRECHECK_BYTES = 1048
 
 
+BLANK = re.compile(r"\r?\n\r?\n")
+#: Frames that begin in one chunk are numbered from its number times this.
+PER_CHUNK = 1 << 20
+#: Parts of a partition's text of a stream: a frame of its own; what stands before the first blank line, after the last one, or has none.
+FRAME, HEAD, TAIL, NONE = range(4)
+PART = "stream_id string, part int, kind int, frame_seq bigint, dialect string, frame string, marks array<struct<seq:bigint,size:int>>"
+
+
+def cut_frames(stream_id: str, part: int, chunks: Iterator[tuple[int, str | None, str]]) -> Iterator[tuple]:
+    """PART's rows of a stream's neighbouring chunks (seq, dialect, chunk). marks: the chunks of a frame and its blank line, and their characters in it.
+
+    Only the unfinished frame is held.
+    """
+    held, size, edge, marks, first, seen, said = [], 0, "", [], 0, False, None
+    for seq, dialect, chunk in chunks:
+        said = dialect if said is None else said
+        if not held and not marks:
+            first = seq * PER_CHUNK
+        if not BLANK.search(edge[-3:] + chunk):
+            held.append(chunk)
+            marks.append((seq, len(chunk)))
+            size, edge = size + len(chunk), (edge + chunk)[-3:]
+            continue
+        text, start, before = "".join(held) + chunk, 0, size
+        n = 0
+        for m in BLANK.finditer(text, max(0, size - 3)):
+            own = [*marks, (seq, m.end() - max(start, before))] if start == 0 else [(seq, m.end() - start)]
+            yield stream_id, part, FRAME if seen else HEAD, first, said, text[start : m.start()], own
+            start, seen, marks, n = m.end(), True, [], n + 1
+            first = seq * PER_CHUNK + n
+        held, size, edge = [text[start:]], len(text) - start, text[start:][-3:]
+        marks = [(seq, size)]
+    yield stream_id, part, TAIL if seen else NONE, first, said, "".join(held), marks
+
+
 def chunks_to_frames(chunks: DataFrame) -> DataFrame:
-    """stream_id, dialect, frame_seq, event, data for chunks (stream_id, seq, dialect, chunk) cut anywhere.
+    """stream_id, dialect, frame_seq (ascending), event, data, end_seq for chunks (stream_id, seq, dialect, chunk) cut anywhere.
 
-    A stream's chunks meet once. Frames end at an empty line; a last partial frame counts too.
+    Frames end at an empty line; a last partial frame counts too. end_seq: the chunk that holds the end of the frame's empty line; null for a partial frame.
+
+    Chunks are range-sorted by stream and number, so a stream of any length is cut over tasks, and no row holds more than a frame. A task gives the
+    frames within its range; what stands before its first and after its last blank line is joined with that of the ranges beside it.
     """
-    whole = chunks.groupBy("stream_id").agg(F.first("dialect").alias("dialect"), F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("c"))
-    return body_frames(whole.select("stream_id", "dialect", F.array_join(F.transform("c", lambda x: x.chunk), "").alias("body")))
+    ranged = chunks.select("stream_id", F.col("seq").cast("bigint").alias("seq"), "dialect", F.coalesce("chunk", F.lit("")).alias("chunk")).repartitionByRange("stream_id", "seq").sortWithinPartitions("stream_id", "seq")
+    columns = [c.split()[0] for c in PART.replace(",size", ";size").split(", ")]
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*[batch.column(c).to_pylist() for c in ("stream_id", "part", "seq", "dialect", "chunk")], strict=True)
+
+    def packed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("stream_id", pa.string()), ("part", pa.int32()), ("kind", pa.int32()), ("frame_seq", pa.int64()), ("dialect", pa.string()), ("frame", pa.string()), ("marks", pa.list_(pa.struct([("seq", pa.int64()), ("size", pa.int32())])))])
+        out, size = [], 0
+        for row in rows:
+            out.append({**dict(zip(columns, row, strict=True)), "marks": [{"seq": a, "size": b} for a, b in row[-1]]})
+            size += len(row[5])
+            if size >= 1 << 20 or len(out) >= 10_000:
+                yield pa.RecordBatch.from_pylist(out, kind)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = itertools.groupby(rows_of(batches), key=lambda r: (r[0], r[1]))
+        yield from packed(row for (stream, part), rows in streams for row in cut_frames(stream, part, (r[2:] for r in rows)))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined() -> Iterator[tuple]:
+            for batch in batches:
+                for stream, seq, dialect, text, marks, ended in zip(*[batch.column(c).to_pylist() for c in ("stream_id", "frame_seq", "dialect", "frame", "marks", "ended")], strict=True):
+                    at, ends = 0, []  # where each chunk's characters end
+                    for m in marks:
+                        at += m["size"]
+                        ends.append(at)
+                    start, found = 0, list(BLANK.finditer(text))
+                    for n, m in enumerate([*found, None]):
+                        stop, over = (m.start(), m.end()) if m else (len(text), len(text))
+                        last = marks[min(bisect.bisect_left(ends, over), len(marks) - 1)]["seq"] if m else marks[-1]["seq"] if ended else None
+                        yield stream, 0, FRAME, seq + n, dialect, text[start:stop], [(last, 0)] if last is not None else []
+                        start = over
+
+        yield from packed(joined())
+
+    parts = written(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(scan, PART), "frame-parts")
+    edges = parts.where(F.col("kind") != FRAME)
+    upto = Window.partitionBy("stream_id").orderBy("part", "kind")
+    segments = edges.withColumn("segment", F.sum((F.col("kind") == TAIL).cast("int")).over(upto))
+    pieces = F.array_sort(F.collect_list(F.struct("part", "kind", "frame", "marks", "dialect", "frame_seq")))
+    whole = segments.groupBy("stream_id", "segment").agg(pieces.alias("p")).select(
+        "stream_id", F.array_min(F.transform("p", lambda x: x.frame_seq)).alias("frame_seq"), F.try_element_at(F.filter(F.transform("p", lambda x: x.dialect), lambda x: x.isNotNull()), F.lit(1)).alias("dialect"),
+        F.array_join(F.transform("p", lambda x: x.frame), "").alias("frame"), F.flatten(F.transform("p", lambda x: x.marks)).alias("marks"), F.exists("p", lambda x: x.kind == HEAD).alias("ended"),
+    )
+    frames = parts.where(F.col("kind") == FRAME).unionByName(whole.mapInArrow(again, PART))
+    end = F.try_element_at("marks", F.lit(-1)).seq
+    return parsed_frames(frames.withColumn("end_seq", end))
 
 
 def body_frames(bodies: DataFrame) -> DataFrame:
@@ -27,11 +122,12 @@ def body_frames(bodies: DataFrame) -> DataFrame:
 
 
 def parsed_frames(frames: DataFrame) -> DataFrame:
-    """stream_id, dialect, frame_seq, event, data of frames (stream_id, dialect, frame_seq, frame); those without either are left out."""
+    """stream_id, dialect, frame_seq, event, data (and end_seq, if they have it) of frames (stream_id, dialect, frame_seq, frame); those without event
+    and data are left out."""
     lines = F.transform(F.split("frame", "\r?\n"), lambda x: x)
     data = F.array_join(F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
     event = F.try_element_at(F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: F.regexp_replace(x, "^event: ?", "")), F.lit(1))
-    out = frames.select("stream_id", "dialect", "frame_seq", event.alias("event"), data.alias("data"))
+    out = frames.select("stream_id", "dialect", "frame_seq", event.alias("event"), data.alias("data"), *[c for c in ("end_seq",) if c in frames.columns])
     return out.where("data <> '' or event is not null")
 
 
@@ -141,14 +237,26 @@ def reassemble_streams(events: DataFrame) -> DataFrame:
 
 
 def stream_health(chunks: DataFrame) -> DataFrame:
-    """stream_id, bytes, passed_at, passes, message: more than two content characters or a tool call pass, and so do
-    streams of more than PRECHECK_BYTES; passed_at is the chunk that exceeds them."""
-    running = F.sum(F.octet_length("chunk")).over(Window.partitionBy("stream_id").orderBy("seq"))
-    sizes = chunks.select("stream_id", "seq", "chunk", running.alias("upto")).groupBy("stream_id").agg(F.max("upto").alias("bytes"), F.min(F.when(F.col("upto") > PRECHECK_BYTES, F.col("seq"))).alias("passed_at"))
-    whole = reassemble_streams(frames_to_events(chunks_to_frames(chunks)))
-    rows = sizes.join(whole, "stream_id", "left")
-    said = F.length(F.concat(F.coalesce("text", F.lit("")), F.coalesce("reasoning", F.lit(""))))
-    called = F.coalesce(F.size("tool_calls"), F.lit(0)) > 0
-    passes = (said > 2) | called | F.col("passed_at").isNotNull()
-    message = F.when(passes, F.lit(None).cast("string")).when(F.coalesce("bytes", F.lit(0)) == 0, "stream ended without any content").when(F.col("text").isNull(), "stream ended without content events").otherwise("stream content is too short")
-    return rows.select("stream_id", F.coalesce("bytes", F.lit(0)).alias("bytes"), "passed_at", F.coalesce(passes, F.lit(False)).alias("passes"), message.alias("message"))
+    """stream_id, bytes, passed_at, passes, message: a stream passes at the chunk that completes a frame by which it has said more than two characters or
+    begun a tool call, or that exceeds PRECHECK_BYTES, whichever is first; that chunk is passed_at.
+
+    What only a last partial frame says lets the stream pass at its end, without a chunk. Bytes and characters are summed over light rows, of
+    frames only those up to the chunk that exceeds PRECHECK_BYTES.
+    """
+    running = F.sum("n").over(Window.partitionBy("stream_id").orderBy("seq"))
+    sizes = chunks.select("stream_id", "seq", F.octet_length("chunk").alias("n")).select("stream_id", "seq", running.alias("upto"))
+    sizes = written(sizes.groupBy("stream_id").agg(F.max("upto").alias("bytes"), F.min(F.when(F.col("upto") > PRECHECK_BYTES, F.col("seq"))).alias("forced_at")), "stream-sizes")
+    frames = written(chunks_to_frames(chunks), "frames")
+    events = frames_to_events(frames)
+    said = F.when(F.col("kind").isin("text", "reasoning"), F.length("text")).otherwise(0)
+    called = F.col("kind").isin("tool_start", "tool_args", "tool_whole")
+    each = events.groupBy("stream_id", "frame_seq").agg(F.sum(said).alias("said"), F.bool_or(called).alias("called")).where("said > 0 or called")
+    each = each.join(frames.select("stream_id", "frame_seq", "end_seq"), ["stream_id", "frame_seq"]).join(sizes.select("stream_id", "forced_at"), "stream_id")
+    early = each.where("end_seq is not null and (forced_at is null or end_seq <= forced_at)")
+    upto = Window.partitionBy("stream_id").orderBy("frame_seq")
+    points = early.withColumn("so_far", F.sum("said").over(upto)).groupBy("stream_id").agg(F.min(F.when((F.col("so_far") > 2) | F.col("called"), F.col("end_seq"))).alias("heard_at"))
+    totals = events.groupBy("stream_id").agg(F.sum(said).alias("said"), F.bool_or(called).alias("called"))
+    rows = sizes.join(points, "stream_id", "left").join(totals, "stream_id", "left")
+    passes = (F.coalesce("said", F.lit(0)) > 2) | F.coalesce("called", F.lit(False)) | F.col("forced_at").isNotNull()
+    message = F.when(passes, F.lit(None).cast("string")).when(F.coalesce("bytes", F.lit(0)) == 0, "stream ended without any content").when(F.col("said").isNull(), "stream ended without content events").otherwise("stream content is too short")
+    return rows.select("stream_id", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.least("heard_at", "forced_at").alias("passed_at"), passes.alias("passes"), message.alias("message"))

@@ -280,15 +280,22 @@ SELECT 'openai_chat' AS dialect, count(*) AS requests, sum(tokens)::BIGINT AS to
 # E. stream logs
 
 
-@query("e1_chunks_to_frames", "SELECT conv_id || ':' || turn AS stream_id, ceil(length(coalesce(text, '')) / 400)::BIGINT + 2 AS frames FROM conversations WHERE role = 'assistant'")
+PIECES = """pieces AS (SELECT conv_id || ':' || turn AS stream_id, [substr(coalesce(text, ''), 400 * i + 1, 400) FOR i IN range(0, ((length(coalesce(text, '')) + 399) // 400)::BIGINT)] AS p FROM conversations WHERE role = 'assistant')"""
+
+
+@query("e1_chunks_to_frames", f"""WITH {PIECES}, frames AS (SELECT stream_id, list_concat(['{{"choices":[{{"index":0,"delta":{{"content":' || to_json(x) || '}}}}]}}' FOR x IN p], ['{{"choices":[{{"index":0,"delta":{{}},"finish_reason":"stop"}}]}}', '[DONE]']) AS f FROM pieces)
+SELECT stream_id, unnest(range(1, len(f) + 1)) AS nth, unnest(f) AS data FROM frames""")
 def _(spark, d):
-    return streams.chunks_to_frames(inputs.stream_chunks(spark, d)).groupBy("stream_id").agg(F.count("*").alias("frames"))
+    frames = streams.chunks_to_frames(inputs.stream_chunks(spark, d))
+    return frames.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_seq")).cast("long").alias("nth"), "data")
 
 
-@query("e2_frames_to_events", "SELECT conv_id || ':' || turn AS stream_id, ceil(length(coalesce(text, '')) / 400)::BIGINT AS texts, 1::BIGINT AS finals, 1::BIGINT AS dones FROM conversations WHERE role = 'assistant'")
+@query("e2_frames_to_events", f"""WITH {PIECES}, e AS (SELECT stream_id, list_concat([{{'kind': 'text', 'text': x, 'finish': NULL::VARCHAR}} FOR x IN p], [{{'kind': 'final', 'text': NULL, 'finish': 'stop'}}, {{'kind': 'done', 'text': NULL, 'finish': NULL}}]) AS e FROM pieces)
+SELECT stream_id, nth, x.kind AS kind, x.text AS text, x.finish AS finish_reason FROM (SELECT stream_id, unnest(range(1, len(e) + 1)) AS nth, unnest(e) AS x FROM e)""")
 def _(spark, d):
     e = streams.frames_to_events(streams.chunks_to_frames(inputs.stream_chunks(spark, d)))
-    return e.groupBy("stream_id").agg(F.count_if(F.col("kind") == "text").alias("texts"), F.count_if(F.col("kind") == "final").alias("finals"), F.count_if(F.col("kind") == "done").alias("dones"))
+    nth = F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_seq", "sub")).cast("long")
+    return e.select("stream_id", nth.alias("nth"), "kind", "text", "finish_reason")
 
 
 @query("e3_reassemble_streams", "SELECT conv_id || ':' || turn AS stream_id, coalesce(text, '') AS text, 'stop' AS finish_reason, true AS done FROM conversations WHERE role = 'assistant'")
@@ -304,9 +311,10 @@ chunks AS (SELECT stream_id, text, i AS seq, sum(octet_length(encode(substr(body
   FROM (SELECT stream_id, text, body, unnest(range(0, ((length(body) + 999) // 1000)::BIGINT)) AS i FROM bodies))"""
 
 
-@query("e4_stream_health", f"""WITH {CHUNKED}
-SELECT stream_id, max(upto)::BIGINT AS bytes, coalesce(min(seq) FILTER (upto > 1048), -1)::BIGINT AS passed_at, length(any_value(text)) > 2 OR max(upto) > 1048 AS passes,
-  CASE WHEN length(any_value(text)) > 2 OR max(upto) > 1048 THEN NULL ELSE 'stream content is too short' END AS message FROM chunks GROUP BY stream_id""")
+@query("e4_stream_health", f"""WITH {CHUNKED},
+heard AS (SELECT stream_id, (length('data: {{"choices":[{{"index":0,"delta":{{"content":' || to_json(p[1]) || '}}}}]}}') + 2 - 1) // 1000 AS heard_at FROM pieces WHERE length(text) > 2)
+SELECT stream_id, max(upto)::BIGINT AS bytes, coalesce(least(any_value(heard_at), min(seq) FILTER (upto > 1048)), -1)::BIGINT AS passed_at, length(any_value(text)) > 2 OR max(upto) > 1048 AS passes,
+  CASE WHEN length(any_value(text)) > 2 OR max(upto) > 1048 THEN NULL ELSE 'stream content is too short' END AS message FROM chunks LEFT JOIN heard USING (stream_id) GROUP BY stream_id""")
 def _(spark, d):
     return streams.stream_health(inputs.stream_chunks(spark, d)).withColumn("passed_at", F.coalesce("passed_at", F.lit(-1)))
 

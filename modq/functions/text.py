@@ -166,12 +166,25 @@ def items_of(value: Column, path: str = "$") -> Column:
     return F.when(is_kind(inner, "ARRAY"), F.try_variant_get(inner, "$", "array<variant>"))
 
 
+def json_of(text: Column) -> Column:
+    """A JSON text as VARIANT; null if it is none. Unlike try_parse_json(), which stops behind the first value, nothing but white space may follow it."""
+
+    # as the first of two items, of which the second is known: what follows the value would stand between them
+    def first(t: Column) -> Column:
+        both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit(',"'), F.md5(t), F.lit('"]'))), "$", "array<variant>")
+        whole = lambda b: F.when((F.size(b) == 2) & (F.try_variant_get(F.get(b, F.lit(1)), "$", "string") == F.md5(t)), F.get(b, F.lit(0)))
+        return F.get(F.transform(F.array(both), whole), F.lit(0))
+
+    # in lambdas, so that the text is parsed once, however often the value is used
+    return F.get(F.transform(F.array(text), first), F.lit(0))
+
+
 def parse_verdict(content: Column) -> Column:
     """struct(violation, category, reason, confidence, parse_error) from the outermost braces of a reply."""
     start = F.instr(content, "{")
     end = F.length(content) - F.instr(F.reverse(content), "}") + 1
     inside = F.when((start > 0) & (F.instr(content, "}") > 0) & (end > start), F.substring(content, start, end - start + 1))
-    v = F.try_parse_json(inside)
+    v = json_of(inside)
     flag = F.try_variant_get(v, "$.violation", "variant")
     number = F.try_variant_get(v, "$.confidence", "variant")
     is_number = F.coalesce(F.schema_of_variant(number).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)"), F.lit(False))

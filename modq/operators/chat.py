@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modq.functions.text import estimate_tokens, is_kind, items_of, string_of, trimmed
+from modq.functions.text import estimate_tokens, is_kind, items_of, json_of, string_of, trimmed
 
 DIALECTS = ("gemini_chat", "openai_chat", "claude_chat", "openai_responses")
 BLOCK = {"role": "string", "kind": "string", "text": "string", "call_id": "string", "name": "string", "payload": "string", "url": "string", "detail": "string"}
@@ -31,7 +31,7 @@ def either(condition: Column) -> Column:
 
 def parsed(requests: DataFrame) -> DataFrame:
     """requests with v: the body as VARIANT, null where it is no JSON."""
-    return requests.withColumn("v", F.try_parse_json("body"))
+    return requests.withColumn("v", json_of(F.col("body")))
 
 
 def _rules(path: Column, headers: Column, v: Column) -> dict[str, Column]:
@@ -120,7 +120,7 @@ def _result(output: Column, call_id: Column, name: Column | None = None) -> Colu
 
 def _arguments(value: Column) -> Column:
     """Arguments as JSON text: a string that holds JSON counts as that JSON."""
-    return F.coalesce(F.to_json(F.try_parse_json(string_of(value))), F.to_json(value), F.lit("{}"))
+    return F.coalesce(F.to_json(json_of(string_of(value))), F.to_json(value), F.lit("{}"))
 
 
 def _openai_message(m: Column) -> Column:
@@ -363,7 +363,7 @@ def normalize_responses(responses: DataFrame) -> DataFrame:
         value = out.otherwise(default)
         return F.coalesce(value, F.array().cast(CALLS)) if name == "tool_calls" else value
 
-    rows = responses.withColumn("v", F.try_parse_json("body"))
+    rows = responses.withColumn("v", json_of(F.col("body")))
     return rows.select("response_id", "dialect", *[pick(n).alias(n) for n in openai])
 
 

@@ -62,18 +62,22 @@ def append_samples(new: DataFrame, existing: DataFrame, now: Column | None = Non
 
 
 def rebuild_meta(samples: DataFrame) -> DataFrame:
-    """profile, name, value: counts and newest-id pointers of each text, recomputed; a missing hash is computed."""
-    hashed = samples.withColumn("text_hash", F.coalesce("text_hash", text_hash(F.col("text"))))
-    counts = sample_counts(hashed).select("profile", F.explode(F.create_map(F.lit("count"), "total", F.lit("count:0"), "label_0", F.lit("count:1"), "label_1", F.lit("next_id"), "next_id")).alias("name", "value"))
-    pointers = hashed.groupBy("profile", F.concat(F.lit("text_latest:"), "text_hash").alias("name")).agg(F.max("id").alias("value"))
+    """profile, name, value: counts and newest-id pointers of each text, recomputed; a missing hash is computed.
+
+    Rows without an id (corrupt records of raw_samples()) count in the total alone.
+    """
+    sound = samples.where("id is not null").withColumn("text_hash", F.coalesce("text_hash", text_hash(F.col("text"))))
+    counts = sample_counts(samples).select("profile", F.explode(F.create_map(F.lit("count"), "total", F.lit("count:0"), "label_0", F.lit("count:1"), "label_1", F.lit("next_id"), F.coalesce("next_id", F.lit(1)))).alias("name", "value"))
+    pointers = sound.groupBy("profile", F.concat(F.lit("text_latest:"), "text_hash").alias("name")).agg(F.max("id").alias("value"))
     return counts.unionByName(pointers)
 
 
 def meta_drift(samples: DataFrame, stored: DataFrame) -> DataFrame:
     """profile, name, stored, rebuilt where the two differ or one is missing; stored: profile, name, value."""
-    fresh = rebuild_meta(samples).withColumnRenamed("value", "rebuilt")
-    both = stored.withColumnRenamed("value", "stored").join(fresh, ["profile", "name"], "full_outer")
-    return both.where(~F.col("stored").eqNullSafe(F.col("rebuilt")))
+    fresh = rebuild_meta(samples).select(F.col("profile").alias("p"), F.col("name").alias("m"), F.col("value").alias("rebuilt"))
+    both = stored.withColumnRenamed("value", "stored").join(fresh, F.col("profile").eqNullSafe(F.col("p")) & (F.col("name") == F.col("m")), "full_outer")
+    apart = both.where(~F.col("stored").eqNullSafe(F.col("rebuilt")))
+    return apart.select(F.coalesce("profile", "p").alias("profile"), F.coalesce("name", "m").alias("name"), "stored", "rebuilt")
 
 
 def lookup_by_text(texts: DataFrame, samples: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modq.functions.text import is_kind, items_of, string_of
+from modq.functions.text import is_kind, items_of, json_of, string_of
 from modq.operators.chat import at, either, has, objects
 from modq.session import written
 
@@ -208,7 +208,7 @@ def frames_to_events(frames: DataFrame) -> DataFrame:
     d = F.col("dialect")
     decoded = F.when(d == "openai_chat", chat).when(d == "openai_responses", responses).when(d == "claude_chat", claude).when(d == "gemini_chat", gemini).otherwise(none)
     events = F.when(F.trim("data") == "[DONE]", F.array(_event("done"))).when(is_kind(v, "OBJECT"), decoded).otherwise(none)
-    rows = frames.withColumn("v", F.try_parse_json("data")).select("stream_id", "frame_seq", F.posexplode(F.filter(events, lambda e: e.isNotNull())).alias("sub", "e"))
+    rows = frames.withColumn("v", json_of(F.col("data"))).select("stream_id", "frame_seq", F.posexplode(F.filter(events, lambda e: e.isNotNull())).alias("sub", "e"))
     return rows.select("stream_id", "frame_seq", "sub", "e.*")
 
 

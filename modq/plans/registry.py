@@ -47,12 +47,15 @@ on_documents("a2_normalize_spaces", T.normalize_spaces, f"regexp_replace(text, {
 on_documents("a3_lower", F.lower, "lower(text)")
 on_documents("a3_ascii_lower", T.ascii_lower, f"translate(text, '{T.UPPER}', '{T.LOWER}')")
 on_documents("a4_ws_tokens", lambda t: F.array_join(T.ws_tokens(t), "|"), f"array_to_string(list_filter(regexp_split_to_array(lower(text), {SPACE}), lambda x: x <> ''), '|')")
-on_documents("a5_char_ngrams", lambda t: F.size(F.array_distinct(T.char_ngrams(t, 2, 4))).cast("long"), "(SELECT len(list_distinct(list_concat([c[i] || c[i + 1] FOR i IN range(1, len(c))], [c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)], [c[i] || c[i + 1] || c[i + 2] || c[i + 3] FOR i IN range(1, len(c) - 2)]))) FROM (SELECT string_split(text, '') AS c))")
+on_documents("a5_char_ngrams", lambda t: F.md5(F.array_join(T.char_ngrams(t, 2, 4), "|")), "(SELECT md5(array_to_string(list_concat([c[i] || c[i + 1] FOR i IN range(1, len(c))], [c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)], [c[i] || c[i + 1] || c[i + 2] || c[i + 3] FOR i IN range(1, len(c) - 2)]), '|')) FROM (SELECT string_split(text, '') AS c))")
 on_documents("a6_word_ngrams", lambda t: F.array_join(T.word_ngrams(t, 1, 2), "|"), f"(SELECT array_to_string(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), '|') FROM (SELECT list_filter(regexp_split_to_array(text, {SPACE}), lambda x: x <> '') AS w))")
 on_documents("a10_text_hash", T.text_hash, "md5(text)")
 on_documents("a11_truncate_middle", lambda t: T.truncate_middle(t, 300), "CASE WHEN length(text) > 300 THEN left(text, 200) || chr(10) || '...[中间省略]...' || chr(10) || right(text, 100) ELSE text END")
 on_documents("a12_render_prompt", lambda t: T.render_prompt(F.lit(TEMPLATE), t), "replace('Judge this text: {{text}}', '{{text}}', replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'))")
-on_documents("a13_estimate_tokens", T.estimate_tokens, r"(SELECT CASE WHEN t = '' THEN NULL ELSE greatest(1, ceil(0.28::DOUBLE * (length(t) - s) + 1.4::DOUBLE * 0 + 0.15::DOUBLE * s + 4.0::DOUBLE))::BIGINT END FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t)))")
+#: Documents hold no CJK: these get some, more or less by their length.
+CJK = lambda t: F.concat(F.repeat(F.lit("語𠀀"), F.length(t) % 7), t)
+CJK_SQL = "repeat('語𠀀', (length(text) % 7)::BIGINT) || text"
+on_documents("a13_estimate_tokens", lambda t: T.estimate_tokens(CJK(t)), rf"(SELECT CASE WHEN t = '' THEN NULL ELSE greatest(1, ceil(0.28::DOUBLE * (length(t) - s - c) + 1.4::DOUBLE * c + 0.15::DOUBLE * s + 4.0::DOUBLE))::BIGINT END FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s, length(t) - length(replace(replace(t, '語', ''), '𠀀', '')) AS c FROM (SELECT regexp_replace({CJK_SQL}, '^\s+|\s+$', '', 'g') AS t)))")
 
 
 #: MurmurHash3 x86 32, seed 0, of the distinct strings gram of a table g, signed, as a table hashed (gram, h).
@@ -75,14 +78,11 @@ def _(spark, d):
     return grams.select("gram", T.hash_bucket(F.col("gram"), 1 << 20).alias("b")).select("gram", "b.bucket", "b.sign")
 
 
-@query("a8_l2_normalize", r"""
-WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS term FROM documents),
-c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL)
-SELECT doc_id, term, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
+@query("a8_l2_normalize", rf"""WITH t AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), {SPACE}), lambda x: x <> '')) AS gram FROM documents), g AS (SELECT DISTINCT gram FROM t), {MURMUR_SQL},
+c AS (SELECT id, (abs(h) % 1048576)::INT AS bucket, sum(CASE WHEN h < 0 THEN -1 ELSE 1 END)::DOUBLE AS n FROM t JOIN hashed USING (gram) GROUP BY ALL HAVING sum(CASE WHEN h < 0 THEN -1 ELSE 1 END) <> 0)
+SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS value FROM c""")
 def _(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.explode(T.ws_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").count()
-    lengths = c.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("length"))
-    return c.join(lengths, "doc_id").select("doc_id", "term", F.round(F.col("count") / F.col("length"), 6).alias("value"))
+    return moderate.hashed_features(inputs.texts(spark, d), analyzer="word", ngrams=(1, 1)).select("id", "bucket", F.round("value", 6).alias("value"))
 
 
 on_documents("a9_sigmoid", lambda t: F.round(T.sigmoid((F.length(t) - 1500) / 100.0), 9), "round(CASE WHEN length(text) >= 1500 THEN 1 / (1 + exp(-((length(text) - 1500) / 100.0::DOUBLE))) ELSE exp((length(text) - 1500) / 100.0::DOUBLE) / (1 + exp((length(text) - 1500) / 100.0::DOUBLE)) END, 9)")
@@ -144,21 +144,43 @@ def _(spark, d):
     return store.append_samples(s.select("profile", "text", "label", "category"), s).select("profile", "id")
 
 
-@query("b3_read_keywords", "SELECT doc_id, i - 1 AS pos, trim(lines[i]) AS original FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(lines[i]) <> '' AND NOT starts_with(trim(lines[i]), '#')")
+@query("b1_read_json", f"WITH {SAMPLES_SQL} SELECT profile, id, text_hash, label, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM samples WHERE id % 11 > 1")
 def _(spark, d):
     from modq.sources import tables
 
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    kept = tables.keywords_of(lines.select("line", F.struct("doc_id", "pos").alias("pos")))
-    return kept.select("pos.doc_id", F.col("pos.pos").cast("long").alias("pos"), "original")
+    read = tables.read_samples(spark, _export(spark, d), kind="json")
+    return read.select("profile", "id", F.coalesce("text_hash", F.md5("text")).alias("text_hash"), "label", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
-@query("b4_read_requests", "SELECT conv_id::VARCHAR AS request_id, true AS readable FROM conversations GROUP BY conv_id")
+def _export(spark, d):
+    """Samples as JSON lines: of each eleven ids one line is cut off and one has no id; a quarter lacks its hash."""
+    line = F.to_json(F.struct(F.when(F.col("id") % 11 != 1, F.col("id")).alias("id"), "text", "label", "category", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.when(F.col("id") % 4 != 0, F.col("text_hash")).alias("text_hash")))
+    path = fresh_path(spark, "export")
+    rows = inputs.samples(spark, d).select("profile", F.when(F.col("id") % 11 == 0, F.left(line, F.length(line) - 3)).otherwise(line).alias("value"))
+    rows.write.partitionBy("profile").text(path)
+    return path
+
+
+@query("b3_read_keywords", "SELECT pos, trim(line) AS original, lower(trim(line)) AS normalized FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, CASE WHEN s_suppkey % 10 = 0 THEN '# ' || s_name WHEN s_suppkey % 7 = 0 THEN '  ' ELSE '  ' || s_name || ' ' END AS line FROM supplier) WHERE s_kept(line)".replace("s_kept(line)", "trim(line) <> '' AND NOT starts_with(trim(line), '#')"))
 def _(spark, d):
     from modq.sources import tables
 
+    name, key = F.col("s_name"), F.col("s_suppkey")
+    line = F.when(key % 10 == 0, F.concat(F.lit("# "), name)).when(key % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit("  "), name, F.lit(" ")))
+    path = fresh_path(spark, "keywords")
+    table(spark, d, "supplier").select("s_suppkey", line.alias("line")).coalesce(1).sortWithinPartitions("s_suppkey").select("line").write.text(path)
+    return tables.read_keywords(spark, path).select(F.col("pos").cast("long").alias("pos"), "original", "normalized")
+
+
+@query("b4_read_requests", "SELECT conv_id::VARCHAR AS request_id, length(conv_id::VARCHAR || max(role)) % 3 <> 0 AND count(*) % 2 = 0 AS readable FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    from modq.sources import tables
+
+    whole = inputs.requests(spark, d, "openai_chat").join(table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("c")).agg(F.max("role").alias("role"), F.count("*").alias("n")), F.col("request_id") == F.col("c"))
+    sound = (F.length(F.concat("request_id", "role")) % 3 != 0) & (F.col("n") % 2 == 0)
+    broken = F.when(F.col("n") % 2 == 1, F.left("body", F.length("body") - 1)).otherwise(F.concat("body", F.lit("]")))  # cut off, or with too much
     path = fresh_path(spark, "requests")
-    inputs.requests(spark, d, "openai_chat").select("request_id", "profile", "path", "headers", "body").write.json(path)
+    whole.select("request_id", "profile", "path", "headers", F.when(sound, F.col("body")).otherwise(broken).alias("body")).write.json(path)
     return tables.read_requests(spark, path).select("request_id", "readable")
 
 
@@ -168,18 +190,49 @@ query("c1_sample_counts", f"WITH {SAMPLES_SQL} SELECT profile, count(*) AS total
 query("c2_latest_by_text", f"WITH {SAMPLES_SQL} SELECT profile, text_hash, max(id) AS id FROM samples GROUP BY profile, text_hash")(lambda s, d: store.latest_by_text(inputs.samples(s, d)).select("profile", "text_hash", "id"))
 
 
-@query("c3_import_legacy", "SELECT doc_id AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS label, CASE WHEN doc_id % 6 = 0 THEN '1970-01-01 00:00:00' ELSE '2024-05-06 07:08:09' END AS created_at, md5(coalesce(text, '')) AS text_hash FROM documents")
+@query("c3_import_legacy", "SELECT doc_id - 9 AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS label, CASE WHEN doc_id % 6 = 0 THEN '1970-01-01 00:00:00' ELSE '2024-05-06 07:08:09' END AS created_at, md5(coalesce(text, '')) AS text_hash, false AS rejected FROM documents WHERE doc_id >= 9 UNION ALL SELECT doc_id - 9, text, NULL, NULL, NULL, true FROM documents WHERE doc_id < 9")
+def _(spark, d):
+    old = table(spark, d, "documents").select((F.col("doc_id") - 9).alias("id"), "text", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 4).alias("label"), F.col("source").alias("category"), F.when(F.col("doc_id") % 6 != 0, "2024-05-06 07:08:09").alias("created_at"))
+    good, bad = store.import_legacy(old, "p")
+    good = good.select("id", "text", "label", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "text_hash", F.lit(False).alias("rejected"))
+    none = F.lit(None).cast("string")
+    return good.unionByName(bad.select("id", "text", F.lit(None).cast("int").alias("label"), none.alias("created_at"), none.alias("text_hash"), F.lit(True).alias("rejected")))
+
+
+RAW_SQL = f"""{SAMPLES_SQL}, x AS (SELECT *, id % 11 > 1 AS sound FROM samples),
+fresh AS (SELECT profile, 'count' AS name, count(*) AS value FROM x GROUP BY profile UNION ALL SELECT profile, 'count:0', count(*) FILTER (sound AND label = 0) FROM x GROUP BY profile UNION ALL SELECT profile, 'count:1', count(*) FILTER (sound AND label <> 0) FROM x GROUP BY profile
+  UNION ALL SELECT profile, 'next_id', coalesce(max(id) FILTER (sound), 0) + 1 FROM x GROUP BY profile UNION ALL SELECT profile, 'text_latest:' || text_hash, max(id) FROM x WHERE sound GROUP BY profile, text_hash),
+stored AS (SELECT profile, name, value + CASE WHEN value % 10 = 3 THEN 1 ELSE 0 END AS value FROM fresh WHERE profile <> 'de' AND value % 13 <> 5 UNION ALL SELECT profile, 'text_latest:none', 7 FROM fresh WHERE name = 'count' UNION ALL SELECT 'gone', 'count', 5)"""
+
+
+def _stored(spark, d):
+    """(raw records, what is stored of them: some of it wrong, some missing, some of records that don't exist)."""
+    from modq.operators import repair
+    from modq.sources import tables
+
+    raw = tables.raw_samples(spark, _export(spark, d))
+    fresh = store.rebuild_meta(raw)
+    off = fresh.where("profile <> 'de' and value % 13 <> 5").withColumn("value", F.col("value") + F.when(F.col("value") % 10 == 3, 1).otherwise(0))
+    more = fresh.where("name = 'count'").select("profile", F.lit("text_latest:none").alias("name"), F.lit(7).cast("bigint").alias("value"))
+    meta = repair.meta_table(spark, fresh_path(spark, "meta"))
+    meta.append(off.unionByName(more).unionByName(spark.createDataFrame([("gone", "count", 5)], repair.META)))
+    return raw, meta
+
+
+@query("c4_meta_drift", f"WITH {RAW_SQL} SELECT profile, name, s.value AS stored, f.value AS rebuilt FROM stored s FULL JOIN fresh f USING (profile, name) WHERE s.value IS DISTINCT FROM f.value")
 def _(spark, d):
-    old = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 4).alias("label"), F.col("source").alias("category"), F.when(F.col("doc_id") % 6 != 0, "2024-05-06 07:08:09").alias("created_at"))
-    return store.import_legacy(old, "p")[0].select("id", "text", "label", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "text_hash")
+    from modq.operators import repair
+
+    raw, meta = _stored(spark, d)
+    return repair.repair(meta, raw)[0]
 
 
-@query("c4_meta_drift", f"""WITH {SAMPLES_SQL}, p AS (SELECT profile, 'text_latest:' || text_hash AS name, max(id) AS value FROM samples GROUP BY ALL)
-SELECT profile, name, value + 1 AS stored, value AS rebuilt FROM p WHERE value % 10 = 0""")
+@query("c4_repair", f"WITH {RAW_SQL} SELECT profile, name, value FROM fresh")
 def _(spark, d):
-    s = inputs.samples(spark, d)
-    stored = store.rebuild_meta(s).withColumn("value", F.when(F.col("name").startswith("text_latest") & (F.col("value") % 10 == 0), F.col("value") + 1).otherwise(F.col("value")))
-    return store.meta_drift(s, stored)
+    from modq.operators import repair
+
+    raw, meta = _stored(spark, d)
+    return meta.read(repair.repair(meta, raw, dry_run=False)[1])
 
 
 @query("c5_lookup_by_text", f"WITH {SAMPLES_SQL}, n AS (SELECT profile, text, max(id) AS hit_id, arg_max(label, id) AS hit_label FROM samples GROUP BY ALL) SELECT d.doc_id AS id, n.hit_id, n.hit_label FROM documents d LEFT JOIN n ON d.lang = n.profile AND d.text = n.text")
@@ -274,8 +327,16 @@ query("d5_normalize_responses", """SELECT d || ':' || conv_id || ':' || turn AS
 FROM conversations, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d) WHERE role = 'assistant'""")(lambda s, d: chat.normalize_responses(inputs.responses(s, d)).select("response_id", "dialect", "text", "status", "input_tokens", "output_tokens", "total_tokens"))
 query("d6_empty_response_flags", """SELECT d AS dialect, count(*) FILTER (length(coalesce(text, '')) <= 2) AS n_empty, count(*) AS n FROM conversations, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d) WHERE role = 'assistant' GROUP BY d""")(lambda s, d: chat.empty_response_flags(inputs.responses(s, d)).groupBy("dialect").agg(F.count_if("empty").alias("n_empty"), F.count("*").alias("n")))
 query("d7_chat_export", """SELECT conv_id::VARCHAR AS request_id, '/v1/chat/completions' AS path, '{"model":"model","messages":[' || string_agg('{"role":' || to_json(role) || ',"content":' || to_json(coalesce(text, '')) || '}', ',' ORDER BY turn) || ']}' AS body FROM conversations GROUP BY conv_id""")(lambda s, d: inputs.requests(s, d, "openai_chat").select("request_id", "path", "body"))
-query("d8_prompt_token_report", rf"""WITH x AS ({SAID}), e AS (SELECT CASE WHEN t = '' THEN NULL ELSE ceil(0.28::DOUBLE * (length(t) - s) + 0.15::DOUBLE * s + 4.0::DOUBLE)::BIGINT END AS tokens FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM x)))
-SELECT 'openai_chat' AS dialect, count(*) AS requests, sum(tokens)::BIGINT AS tokens, round(avg(tokens), 6) AS average FROM e""")(lambda s, d: chat.prompt_token_report(inputs.requests(s, d, "openai_chat")).select("dialect", "requests", "tokens", F.round("average", 6).alias("average")))
+query("d8_prompt_token_report", rf"""WITH x AS ({SAID}), e AS (SELECT CASE WHEN t = '' THEN NULL ELSE ceil(0.28::DOUBLE * (length(t) - s - c) + 1.4::DOUBLE * c + 0.15::DOUBLE * s + 4.0::DOUBLE)::BIGINT END AS tokens FROM (SELECT t, len(regexp_extract_all(t, '\s')) AS s, length(t) - length(replace(t, '語', '')) AS c FROM (SELECT regexp_replace(replace(text, 'e', '語'), '^\s+|\s+$', '', 'g') AS t FROM x)))
+SELECT 'openai_chat' AS dialect, count(*) AS requests, sum(tokens)::BIGINT AS tokens, round(avg(tokens), 6) AS average FROM e""")(lambda s, d: chat.prompt_token_report(_cjk_requests(s, d)).select("dialect", "requests", "tokens", F.round("average", 6).alias("average")))
+
+
+def _cjk_requests(spark, d):
+    """Requests whose texts have a CJK character for every e."""
+    blocks = inputs.conversation_blocks(spark, d).withColumn("text", F.translate("text", "e", "語"))
+    rows = chat.chat_export(blocks, "openai_chat")
+    return rows.withColumn("dialect", F.lit("openai_chat")).withColumn("headers", F.create_map().cast("map<string,string>")).withColumn("profile", F.lit("p"))
+
 
 # E. stream logs
 

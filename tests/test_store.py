@@ -1,4 +1,6 @@
 import datetime
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,33 +54,50 @@ def test_import_and_drift(spark, six):
     assert store.meta_drift(six, store.rebuild_meta(six)).count() == 0
 
 
+MAIL = [(1, "see you at lunch", 0), (2, "lunch was great", 0), (3, "you foul foul thing", 1), (4, "great foul mouth", 1), (5, "see the dentist", 0)]
+
+
+def plain_model(rows):
+    """{term: (weight, idf)}, intercept of (id, text, label) rows, worked out by hand."""
+    hits, held, labels = Counter(), Counter(), Counter()
+    for _, text, label in rows:
+        labels[label] += 1
+        held.update(set(text.split()))
+        hits.update((t, label) for t in text.split())
+    n = len(rows)
+    return {t: (math.log((hits[t, 1] + 1) / (hits[t, 0] + 1)), math.log((n + 1) / (held[t] + 1)) + 1) for t in held}, math.log((labels[1] + 1) / (labels[0] + 1))
+
+
 def test_train_and_score_terms(spark):
     from modq.operators import moderate
 
-    s = samples(spark, [(1, "hello friend", 0), (2, "calm weather", 0), (3, "blocked phrase", 1), (4, "blocked threat", 1)])
+    s = samples(spark, MAIL)
     terms, intercept = train.train_terms(s, 100)
-    first = terms.first()
-    assert intercept == 0 and first["term"] == "blocked" and abs(first["idf"] - 1.5108256238) < 1e-9 and abs(first["weight"] - 1.0986122887) < 1e-9
-    texts = spark.createDataFrame([(1, "blocked phrase"), (2, "hello weather"), (3, "blocked blocked hello"), (4, "nothing")], "id long, text string")
-    got = {r["id"]: r["p"] for r in moderate.score_terms(texts, terms, intercept).collect()}
-    assert all(abs(got[i] - p) < 1e-6 for i, p in {1: 0.952032850, 2: 0.065586876, 3: 0.879886071, 4: 0.5}.items())
-    got = {r["id"]: r["p"] for r in moderate.score_tokens(texts, terms, intercept).collect()}
-    assert all(abs(got[i] - p) < 1e-6 for i, p in {1: 0.857142860, 2: 0.199999999, 3: 0.818181824, 4: 0.5}.items())
+    model, bias = plain_model(MAIL)
+    assert intercept == pytest.approx(bias) and terms.first()["term"] == "foul"
+    assert {r["term"]: (pytest.approx(r["weight"]), pytest.approx(r["idf"])) for r in terms.collect()} == model
+    texts = {1: "foul lunch", 2: "see you at the dentist", 3: "foul foul great", 4: "nobody"}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for score, idf in ((moderate.score_terms, True), (moderate.score_tokens, False)):
+        got = {r["id"]: r["p"] for r in score(df, terms, intercept).collect()}
+        for i, text in texts.items():
+            z = bias + sum(w * (f if idf else 1) for w, f in (model.get(t, (0, 0)) for t in text.split()))
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-z)))
     with pytest.raises(ValueError):
         train.train_terms(s.where("label = 0"), 10)
 
 
 def test_model_round_trip(spark, tmp_path):
-    s = samples(spark, [(1, "hello friend", 0), (2, "calm weather", 0), (3, "blocked phrase", 1), (4, "blocked threat", 1)])
+    s = samples(spark, MAIL[1:])
     version, run = train.train(s, str(tmp_path), max_samples=4)
     rows, meta = train.read_model(spark, version)
-    assert rows.count() == 7 and meta["runtime_version"] == 1 and run.first()["sample_count"] == 4
+    assert rows.count() == len({w for _, t, _ in MAIL[1:] for w in t.split()}) and meta["runtime_version"] == 1 and run.first()["sample_count"] == 4
 
 
 def test_hashed_training_separates(spark):
     from modq.operators import moderate
 
-    s = samples(spark, [(i, "calm weather today" if i % 2 else "blocked threat here", 1 - i % 2) for i in range(20)])
+    s = samples(spark, [(i, "lunch was great" if i % 2 else "you foul thing", 1 - i % 2) for i in range(20)])
     weights, intercept = train.train_hashed(s, epochs=2, shards=1, n_features=1 << 12)
     p = {r["id"]: r["p"] for r in moderate.score_hashed(s.select("id", "text"), weights, intercept, n_features=1 << 12).collect()}
     assert p[0] > 0.5 > p[1]
@@ -116,3 +135,31 @@ def test_readiness(spark, six):
     assert ready(old, runs) == (True, "retrain_interval_elapsed") and ready(new, runs)[0] is False
     failed = spark.createDataFrame([("p", "failed", 99_000)], "profile string, status string, timestamp long")
     assert ready(old, failed) == (False, "cooldown")
+
+
+def test_repair_from_raw_records(spark, tmp_path):
+    """Corrupt lines count in the total alone, a missing hash is computed; a dry run writes nothing, a repair only profiles that differ."""
+    import json
+
+    from modq.operators import repair
+    from modq.sources.tables import raw_samples, read_samples
+
+    line = lambda i, t, y, **k: json.dumps({"id": i, "text": t, "label": y, "category": None, "created_at": "2026-04-03 10:00:00"} | k)
+    a = [line(1, "x", 0), line(2, "x\ny", 1, text_hash="given"), line(3, "x", 1)[:-4], '["no", "object"]', line("four", "x", 0), line(5, "z", 1, created_at="soon"), "", line(None, "w", 0)]
+    b = [line(7, "only", 0)]
+    rows = [("a", x) for x in a] + [("b", x) for x in b]
+    spark.createDataFrame(rows, "profile string, value string").write.partitionBy("profile").text(str(tmp_path / "raw"))
+    raw = raw_samples(spark, str(tmp_path / "raw"))
+    assert sorted((r["id"], r["created_at"] is None) for r in read_samples(spark, str(tmp_path / "raw"), kind="json").collect()) == [(1, False), (2, False), (5, True), (7, False)]
+    assert sorted(r["raw"] for r in raw.where("raw is not null").collect()) == sorted(a[2:5] + a[6:])
+    md5 = lambda t: __import__("hashlib").md5(t.encode()).hexdigest()
+    want = {("a", "count", 8), ("a", "count:0", 1), ("a", "count:1", 2), ("a", "next_id", 6), ("a", "text_latest:" + md5("x"), 1), ("a", "text_latest:given", 2), ("a", "text_latest:" + md5("z"), 5)}
+    right = {("b", "count", 1), ("b", "count:0", 1), ("b", "count:1", 0), ("b", "next_id", 8), ("b", "text_latest:" + md5("only"), 7)}
+    meta = repair.meta_table(spark, f"file://{tmp_path}/meta")
+    meta.append(spark.createDataFrame([("a", "count", 7), ("a", "text_latest:old", 9), ("gone", "count", 1), *right], repair.META))
+    drift, version = repair.repair(meta, raw)
+    assert version == meta.current() and {(r["profile"], r["name"], r["stored"]) for r in drift.collect()} == {("a", "text_latest:old", 9), ("gone", "count", 1)} | {(p, n, 7 if n == "count" else None) for p, n, _ in want}
+    _, after = repair.repair(meta, raw, dry_run=False)
+    assert {tuple(r) for r in meta.read().collect()} == want | right and after.number == 2
+    assert [e for e in after.entries if e["profile"] == "b"] == [e for e in version.entries if e["profile"] == "b"]
+    assert repair.repair(meta, raw, dry_run=False)[0].count() == 0 and meta.current() == after

@@ -36,7 +36,7 @@ def test_truncate_and_prompt(spark):
 
 
 def test_estimate_tokens(spark):
-    assert [one(spark, t, T.estimate_tokens) for t in ("hello world from claude", "hello", "你好世界", "  ")] == [11, 6, 10, None]
+    assert [one(spark, t, T.estimate_tokens) for t in ("eight words make up this quite short line", "hm", "山川草木", "  ")] == [15, 5, 10, None]
 
 
 def test_parse_verdict(spark):
@@ -51,3 +51,11 @@ def test_created_at_is_strict(spark):
     assert str(one(spark, " 2024-01-31 10:00:00 ", T.parse_created_at)) == "2024-01-31 10:00:00"
     assert one(spark, "2024-01-31", T.parse_created_at) is None
     assert [one(spark, c, T.category_class) for c in (None, " Unknown ", "spam")] == ["missing", "unknown", "other"]
+
+
+def test_json_is_whole(spark):
+    """Nothing but white space may follow a value."""
+    good = ['{"a": [1, "]"]}', " [1] \n", '"x"', "0", "null", '"a\\"],"']
+    bad = ["", "{}]", "{} {}", "1,2", "[1],[2", "{", "nul", '{"a":1},', '1,"x"],', None]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", T.json_of(F.col("t")).isNotNull().alias("ok"))
+    assert [r["ok"] for r in df.collect()] == [True] * len(good) + [False] * len(bad)

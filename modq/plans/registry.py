@@ -323,6 +323,41 @@ def _(spark, d):
 SAID = f"WITH {TURNS} SELECT request_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (text <> ''), '') AS text FROM turns GROUP BY request_id"
 query("d4a_moderation_text_blocks", SAID)(lambda s, d: chat.moderation_text_blocks(inputs.conversation_blocks(s, d)))
 query("d4b_moderation_text_body", SAID)(lambda s, d: chat.moderation_text_body(inputs.requests(s, d, "openai_chat")).select("request_id", "text"))
+
+# bodies that no exporter of this library wrote: parts, images, tool messages, text without content, cut-off JSON
+
+ODD_SQL = """odd AS (SELECT conv_id::VARCHAR AS request_id, turn, conv_id % 7 = 3 AS broken, conv_id % 5 = 1 AS refused,
+  list_filter(CASE turn % 4 WHEN 0 THEN [coalesce(text, '')] WHEN 1 THEN [coalesce(text, ''), 'more'] WHEN 2 THEN [] ELSE [coalesce(text, '')] END, lambda x: x <> '') AS pieces FROM conversations)"""
+
+
+def _odd_requests(spark, d):
+    c = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    quoted = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    role = F.concat(F.lit('{"role":"'), F.col("role"), F.lit('","'))
+    message = (
+        F.when(F.col("turn") % 4 == 0, F.concat(role, F.lit('content":'), quoted, F.lit("}")))
+        .when(F.col("turn") % 4 == 1, F.concat(role, F.lit('content":[{"type":"text","text":'), quoted, F.lit('},{"type":"image_url","image_url":{"url":"https://example.org/x.png"}},{"type":"output_text","text":"more"},{"type":"audio","text":"unheard"}]}')))
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit('{"role":"tool","tool_call_id":"c","content":'), quoted, F.lit("}")))
+        .otherwise(F.concat(role, F.lit('name":null,"text":'), quoted, F.lit("}")))
+    )
+    listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
+    tools = F.when(F.col("conv_id") % 5 == 1, F.lit(',"tools":[{"name":"find","input_schema":{"type":"object"}}]')).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"model":"m","messages":['), F.array_join(F.transform("ms", lambda x: x.m), ","), F.lit("]"), tools, F.lit("}"))
+    body = F.when(F.col("conv_id") % 7 == 3, F.left(body, F.length(body) - 2)).otherwise(body)
+    return listed.select(F.col("conv_id").cast("string").alias("request_id"), F.lit("p").alias("profile"), F.lit("/v1/chat/completions").alias("path"), F.create_map().cast("map<string,string>").alias("headers"), body.alias("body"))
+
+
+@query("d4b_odd_bodies", f"WITH {ODD_SQL} SELECT request_id, CASE WHEN any_value(broken) THEN '' ELSE coalesce(string_agg(array_to_string(pieces, chr(10)), chr(10) ORDER BY turn) FILTER (len(pieces) > 0), '') END AS text FROM odd GROUP BY request_id")
+def _(spark, d):
+    return chat.moderation_text_body(_odd_requests(spark, d).withColumn("dialect", F.lit("openai_chat"))).select("request_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("d1_odd_bodies", f"WITH {ODD_SQL} SELECT request_id, NOT any_value(broken) AND NOT any_value(refused) AS openai FROM odd GROUP BY request_id")
+def _(spark, d):
+    found = chat.detect_dialect(_odd_requests(spark, d))
+    return found.select("request_id", F.array_contains("dialects", "openai_chat").alias("openai"))
+
+
 query("d5_normalize_responses", """SELECT d || ':' || conv_id || ':' || turn AS response_id, d AS dialect, coalesce(text, '') AS text, 'completed' AS status, 3::BIGINT AS input_tokens, 4::BIGINT AS output_tokens, 7::BIGINT AS total_tokens
 FROM conversations, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d) WHERE role = 'assistant'""")(lambda s, d: chat.normalize_responses(inputs.responses(s, d)).select("response_id", "dialect", "text", "status", "input_tokens", "output_tokens", "total_tokens"))
 query("d6_empty_response_flags", """SELECT d AS dialect, count(*) FILTER (length(coalesce(text, '')) <= 2) AS n_empty, count(*) AS n FROM conversations, (VALUES ('gemini_chat'), ('openai_chat'), ('claude_chat'), ('openai_responses')) AS t(d) WHERE role = 'assistant' GROUP BY d""")(lambda s, d: chat.empty_response_flags(inputs.responses(s, d)).groupBy("dialect").agg(F.count_if("empty").alias("n_empty"), F.count("*").alias("n")))

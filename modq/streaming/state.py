@@ -106,7 +106,7 @@ class FrameAssembly(StatefulProcessor):
         for frame in rows:
             frame = frame.sort_values("seq", kind="stable")
             newest = max(newest, int(frame["ms"].max()))
-            if at["ended"]:
+            if before:
                 continue
             for seq, dialect, chunk in zip(frame["seq"], frame["dialect"], frame["chunk"], strict=True):
                 at["dialect"] = at["dialect"] if pd.isna(dialect) else dialect
@@ -116,8 +116,6 @@ class FrameAssembly(StatefulProcessor):
                     self._drain(at)
                 elif seq > at["next"]:
                     self.early.updateValue((seq,), (chunk,))
-                if at["ended"]:
-                    break
         self._arm(at, max(newest, at["ms"]), timerValues)
         if at["ended"] and not before:
             yield from self._given(key, at, True)
@@ -143,7 +141,7 @@ class FrameAssembly(StatefulProcessor):
         self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, newest + self.idle))
 
     def _drain(self, at: dict) -> None:
-        while not at["ended"] and self.early.containsKey((at["next"],)):
+        while self.early.containsKey((at["next"],)):
             chunk = self.early.getValue((at["next"],))[0]
             self.early.removeKey((at["next"],))
             self._feed(at, chunk)
@@ -161,16 +159,11 @@ class FrameAssembly(StatefulProcessor):
             *done, rest = parts
             self.pieces.clear()
             at["size"], at["edge"] = 0, ""
-            for i, frame in enumerate(done):
+            for frame in done:
                 self.frames.appendValue((frame,))
                 at["frames"] += 1
-                if has_end(frame, at["dialect"]):
-                    at["ended"] = True
-                    # what stands behind the end in the same chunk is a part of the body
-                    for later in [*done[i + 1 :], rest]:
-                        self.frames.appendValue((later,))
-                        at["frames"] += 1
-                    return
+                # what has arrived with the end and stands behind it is a part of the body
+                at["ended"] = at["ended"] or has_end(frame, at["dialect"])
             chunk = rest
         if chunk:
             self.pieces.appendValue((chunk,))
@@ -179,7 +172,7 @@ class FrameAssembly(StatefulProcessor):
         # a last frame needs no blank line
         if at["size"] <= MOST_LAST and (DONE in at["edge"] or at["edge"].rstrip().endswith("}") and at["dialect"] in ENDS):
             last = "".join(p[0] for p in self.pieces.get())
-            at["ended"] = has_end(last, at["dialect"])
+            at["ended"] = at["ended"] or has_end(last, at["dialect"])
 
     def _given(self, key, at: dict, complete: bool) -> Iterator[pd.DataFrame]:
         """The frames so far, in frames of some rows, and what stands of the last one."""

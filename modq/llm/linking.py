@@ -87,18 +87,30 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+#: Words of 64 bits of a set's parity bitmap.
+WORDS = 4
+
+
+def parity(value: Column, word: int) -> Column:
+    """What a value adds, by exclusive or, to a word of its set's bitmap: one bit of all words, by its hash."""
+    bit = F.pmod(F.xxhash64(value), F.lit(64 * WORDS)).cast("int")
+    return F.when(F.shiftright(bit, 6) == word, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))
+
+
 def prefix_postings(items: DataFrame, threshold: int) -> DataFrame:
-    """value, node, n, place: the lists that every pair of 100 * |A & B| >= threshold * |A | B| shares; items: node, value, whole sets.
+    """value, node, n, place, bits0, ...: the lists that every pair of 100 * |A & B| >= threshold * |A | B| shares; items: node, value, whole sets.
 
     Both sets of such a pair have at least ceil(threshold * n / 100) values in common, so with all values in
     one order, each must find a common one among its first n - ceil(threshold * n / 100) + 1. The
-    order is by rarity: what only one node has is in no list.
+    order is by rarity: what only one node has is in no list. bits: the whole set's parity bitmap, for may_be_near().
     """
     shared = items.groupBy("value").agg(F.count("*").alias("nodes"))
     by = Window.partitionBy("node")
     ranked = items.join(shared, "value").withColumn("place", F.row_number().over(by.orderBy("nodes", "value"))).withColumn("n", F.count("*").over(by))
+    bits = [f"bits{i}" for i in range(WORDS)]
+    ranked = ranked.withColumns({b: F.bit_xor(parity(F.col("value"), i)).over(by) for i, b in enumerate(bits)})
     room = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    return ranked.where((F.col("place") <= room) & (F.col("nodes") > 1)).select("value", "node", "n", "place")
+    return ranked.where((F.col("place") <= room) & (F.col("nodes") > 1)).select("value", "node", "n", "place", *bits)
 
 
 def may_overlap(threshold: int) -> Column:
@@ -108,6 +120,15 @@ def may_overlap(threshold: int) -> Column:
     return (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold
 
 
+def may_be_near(threshold: int) -> Column:
+    """Whether two sets whose bitmaps are a0, ... and b0, ... can be a link. Bitmaps differ in no more bits than the sets do in values, which are
+    (100 - threshold) / (100 + threshold) * (na + nb) at most. No link is lost (Sandes et al., bitmap filter, 2020)."""
+    apart = F.lit(0)
+    for i in range(WORDS):
+        apart = apart + F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")))
+    return apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
+
+
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
     """node, component for nodes that share a list (others are linked with nothing).
 
@@ -118,7 +139,7 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     with one, the lowest by rank: of a group of near copies most join it there. Lists that still span
     several components are left: their nodes' whole sets go through prefix_postings(), which drops all
     that is too far from everything, and what then shares a list in different components, at places that leave room for a
-    link, is compared pair by pair. No link between components is missed; pairs within one can't change it.
+    link and with bitmaps that are near enough, is compared pair by pair. No link between components is missed; pairs within one can't change it.
     """
     pivots = postings.groupBy("value").agg(F.min(F.struct("rank", "node", "n")).alias("p"), F.count("*").alias("nodes")).where("nodes > 1")
     pivots = pivots.select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("n_pivot"))
@@ -133,9 +154,9 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     left = written(at.join(open_, "value", "left_semi").select("node", "component").distinct(), "spread")
     finer = prefix_postings(whole_sets(left.select("node")), threshold)
     finer = written(finer.join(left, "node"), "finer")
-    one = finer.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
-    two = finer.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_overlap(threshold))
+    one = finer.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(f"bits{i}").alias(f"a{i}") for i in range(WORDS)])
+    two = finer.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(f"bits{i}").alias(f"b{i}") for i in range(WORDS)])
+    more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_overlap(threshold) & may_be_near(threshold))
     more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = written(verify(more), "links")
     out = known if found.isEmpty() else components(edges.union(found))

@@ -18,13 +18,15 @@ from modq.session import delete, file_system, fresh_path, prepare, release, writ
 WINDOW, ANCHOR = 13, 5
 #: Windows that are compared in a task's memory before they are shuffled.
 SETTLE_ROWS = 1 << 19
+#: Rows of a fingerprint that each task of a batch puts in lot 0 before it deals the others over further lots.
+FEW = 16
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def bucketed(rows: DataFrame, name: str, path: str, buckets: int, key: str, sort: bool = False) -> DataFrame:
-    """rows written to path as a table that is dealt into buckets by key, and read back."""
-    writer = rows.write.bucketBy(buckets, key)
-    (writer.sortBy(key) if sort else writer).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+def bucketed(rows: DataFrame, name: str, path: str, buckets: int, keys: list[str], sort: bool = False) -> DataFrame:
+    """rows written to path as a table that is dealt into buckets by keys, and read back."""
+    writer = rows.write.bucketBy(buckets, *keys)
+    (writer.sortBy(*keys) if sort else writer).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     return rows.sparkSession.table(name)
 
 
@@ -34,10 +36,41 @@ def forget(spark: SparkSession, name: str, path: str) -> None:
     delete(spark, path)
 
 
+def dealt(fingerprints: DataFrame, lots: int) -> DataFrame:
+    """hash, lot, doc_id of fingerprints (hash, doc_id), so that a very frequent one fills no bucket.
+
+    In each task, the FEW smallest documents of a fingerprint are of lot 0 and all others of lots 1 to `lots`, by
+    doc_id. So lot 0 tells whether several documents have a fingerprint, with at most FEW rows a task. Lots follow from a
+    task's rows, not from their order, and are the same when a lost task is run again.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = (None, None, 0)  # hash, document and place of the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            value, doc = (batch.column(i).to_numpy() for i in (0, 1))
+            same = np.zeros(value.size, bool)  # as the row before
+            same[1:] = (value[1:] == value[:-1]) & (doc[1:] == doc[:-1])
+            same[0] = (value[0], doc[0]) == last[:2]
+            begins = np.ones(value.size, bool)
+            begins[1:] = value[1:] != value[:-1]
+            place = np.cumsum(~same)
+            group = np.cumsum(begins) - 1
+            place = place - (place - ~same)[begins][group]  # from 1 within a fingerprint
+            if value[0] == last[0]:
+                place += np.where(group == 0, last[2], 0)
+            last = (value[-1], doc[-1], int(place[-1]))
+            lot = np.where(place <= FEW, 0, 1 + (mix(doc.view(np.uint64)) % np.uint64(lots)).astype(np.int64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~same]) for x in (value, lot, doc)], names=["hash", "lot", "doc_id"])
+
+    return fingerprints.select("hash", "doc_id").sortWithinPartitions("hash", "doc_id").mapInArrow(deal, "hash long, lot int, doc_id long")
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints (hash, doc_id), each a bucketed table sorted by hash, in one shared folder.
+    """Sorted immutable runs of window fingerprints (hash, lot, doc_id), each a bucketed table sorted by hash and lot, in one shared folder.
 
-    append() writes one run per batch; shared() merge-joins a run with all runs, bucket by bucket, without a
+    append() writes one run per batch; shared() merge-joins a run's lot 0 with that of all runs, bucket by bucket, without a
     shuffle of history; compact() merges the runs into one once there are more than max_runs. A run is
     never changed: a lost executor only repeats the reading or writing of some buckets. The runs in force are named by the last
     of the folder's manifests, each written after its runs: an unfinished run is in none. open() finds the runs from any session.
@@ -58,13 +91,13 @@ class FingerprintIndex:
         index = cls(spark, folder, said["buckets"], max_runs)
         index.runs, index.made, index.saved = said["runs"], said["made"], said["saved"]
         for run in index.runs:
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (hash BIGINT, doc_id BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {index.buckets} BUCKETS LOCATION '{folder}/{run}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (hash BIGINT, lot INT, doc_id BIGINT) USING parquet CLUSTERED BY (hash, lot) SORTED BY (hash, lot) INTO {index.buckets} BUCKETS LOCATION '{folder}/{run}'")
         return index
 
     def _write(self, rows: DataFrame) -> str:
         run = f"run_{uuid.uuid4().hex}"
         self.made += 1
-        bucketed(rows, run, f"{self.folder}/{run}", self.buckets, "hash", sort=True)
+        bucketed(rows, run, f"{self.folder}/{run}", self.buckets, ["hash", "lot"], sort=True)
         return run
 
     def _save(self) -> None:
@@ -75,8 +108,8 @@ class FingerprintIndex:
         out.close()
 
     def append(self, fingerprints: DataFrame) -> str:
-        """A batch's fingerprints (hash, doc_id) become a run."""
-        run = self._write(fingerprints.select("hash", "doc_id").repartition(self.buckets, "hash"))
+        """A batch's fingerprints (hash, doc_id; neither null) become a run."""
+        run = self._write(dealt(fingerprints, self.buckets).repartition(self.buckets, "hash", "lot"))
         self.runs.append(run)
         self._save()
         return run
@@ -90,16 +123,23 @@ class FingerprintIndex:
 
     def shared(self, run: str) -> DataFrame:
         """hash: fingerprints of this run that another document of this or an earlier run has too."""
-        bounds = [self.spark.table(r).groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")) for r in self.runs[: self.runs.index(run) + 1]]
+        # a fingerprint with rows in other lots has several documents in lot 0 too
+        bounds = [self.spark.table(r).where("lot = 0").groupBy("hash", "lot").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")) for r in self.runs[: self.runs.index(run) + 1]]
         own = bounds[-1]
         found = own.where("low <> high").select("hash")
         for earlier in bounds[:-1]:
-            found = found.union(own.join(earlier.select("hash"), "hash", "left_semi").select("hash"))
+            found = found.union(own.join(earlier.select("hash", "lot"), ["hash", "lot"], "left_semi").select("hash"))
         return found
 
+    def having(self, hashes: DataFrame) -> DataFrame:
+        """The index's rows of some fingerprints (hash, each once). Only hashes and lots move, the rows stay in their buckets."""
+        rows = self.rows()
+        lots = rows.where("lot > 0").select("hash", "lot").distinct().join(hashes, "hash", "left_semi")
+        return rows.join(hashes.select("hash", F.lit(0).alias("lot")).union(lots), ["hash", "lot"], "left_semi")
+
     def compact(self) -> None:
         if len(self.runs) > self.max_runs:
-            run = self._write(self.rows().distinct())  # bucket by bucket, as all runs are dealt by hash
+            run = self._write(self.rows().distinct())  # bucket by bucket, as all runs are dealt by hash and lot
             old, self.runs = self.runs, [run]
             self._save()
             for r in old:
@@ -153,22 +193,27 @@ def profiles(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def settled(doc: np.ndarray, one: np.ndarray, two: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of windows with known: whether a smaller document of these rows has the window too.
+    """Rows of windows, at most one for each window and one for each document, with a list of their first words in `at`.
 
-    Such a row needs no other to be judged, so its fingerprint is replaced: a window of very many
-    documents doesn't bring them all to one task.
+    Not known: a window's least document of these rows. Known: all windows of a document that a smaller one
+    of these rows has too; they need no other rows to be judged, so their fingerprint is replaced. So a window of very
+    many documents, or one that a document repeats very often, doesn't bring all its rows to one task.
     """
-    order = np.lexsort((doc, two, one))
+    order = np.lexsort((at, doc, two, one))
     doc, one, two, at = doc[order], one[order], two[order], at[order]
     begins = np.ones(doc.size, bool)
     begins[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     known = doc > doc[begins][np.cumsum(begins) - 1]
-    one, two = np.where(known, mix(doc.view(np.uint64)), one), np.where(known, at.astype(np.uint64), two)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(at), pa.array(known)], names=["doc_id", "one", "two", "at", "known"])
+    one, two = np.where(known, mix(doc.view(np.uint64)), one), np.where(known, np.uint64(0), two)
+    order = np.lexsort((two, one, known))
+    doc, one, two, at, known = doc[order], one[order], two[order], at[order], known[order]
+    begins[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1]) | (known[1:] != known[:-1])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(begins), doc.size).astype(np.int32)), pa.array(at))
+    return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(one[begins].view(np.int64)), pa.array(two[begins].view(np.int64)), lists, pa.array(known[begins])], names=["doc_id", "one", "two", "at", "known"])
 
 
 def candidate_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, one, two (128-bit window fingerprint: two hashes of independent word hashes), at (first word), known (as in settled())
+    """doc_id, one, two (128-bit window fingerprint: two hashes of independent word hashes), at (first words), known (as in settled())
     for windows that cover one of their document's shared anchors; docs: doc_id, text_key, text, shared."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +250,7 @@ def candidate_windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         if n_waiting:
             yield settled(*map(np.concatenate, zip(*waiting, strict=True)))
 
-    return docs.select("doc_id", "text", "shared").mapInArrow(scan, "doc_id long, one long, two long, at int, known boolean")
+    return docs.select("doc_id", "text", "shared").mapInArrow(scan, "doc_id long, one long, two long, at array<int>, known boolean")
 
 
 def removed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -280,18 +325,18 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
     release(seen)
     shared = shared.distinct()
     index.compact()
-    hits = index.rows().join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("shared"))
+    hits = index.having(shared).groupBy("doc_id").agg(F.collect_set("hash").alias("shared"))
     everything = keyed if history is None else keyed.union(history.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text"))
     touched = everything.join(hits, "doc_id")  # text moves once: the table is bucketed by document for what follows
     buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store, place = f"touched_{uuid.uuid4().hex}", fresh_path(spark, "touched")
-    touched = bucketed(touched, store, place, buckets, "doc_id")
+    touched = bucketed(touched, store, place, buckets, ["doc_id"])
     release(*founds)
     if own:
         index.drop()
     # one shuffle by fingerprint; a fingerprint's rows stay where they are while its least document is found
     windows = candidate_windows(touched, window, anchor).withColumn("low", F.min("doc_id").over(Window.partitionBy("known", "one", "two")))
-    starts = windows.where("known or doc_id > low").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    starts = windows.where("known or doc_id > low").groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("starts"))
     cut = removed(touched.join(starts, "doc_id"), window, with_text).dropDuplicates(["doc_id", "text_key"])
     cut = written(cut, "cut")
     forget(spark, store, place)

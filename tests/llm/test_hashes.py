@@ -46,10 +46,35 @@ def test_settled_windows():
     for r in rows:
         if not r["known"]:
             low[r["one"]] = min(low.get(r["one"], 99), r["doc_id"])
-    assert {(r["doc_id"], r["at"]) for r in rows if r["known"] or r["doc_id"] > low[r["one"]]} == want
+    assert {(r["doc_id"], a) for r in rows if r["known"] or r["doc_id"] > low[r["one"]] for a in r["at"]} == want
     assert sum(not r["known"] for r in rows) < 1000
 
 
+def test_settled_windows_of_one_document():
+    """A window that a document repeats is one row of it, and so are all windows that are settled."""
+    doc, one = np.repeat(np.array([3, 1, 2]), 1000), np.tile(np.arange(2, dtype=np.uint64), 1500)
+    rows = substring_dedup.settled(doc, one, one, np.arange(3000, dtype=np.int32)).to_pylist()
+    assert sorted((r["known"], r["doc_id"], len(r["at"])) for r in rows) == [(False, 1, 500), (False, 1, 500), (True, 2, 1000), (True, 3, 1000)]
+
+
+def test_frequent_fingerprints_are_dealt(spark):
+    """Rows stay, each once; lot 0 has few of a frequent one, and other lots none of the rest."""
+    rows = [(7, d) for d in range(5000)] + [(h, d) for h in range(100, 120) for d in range(3)]
+    prints = spark.createDataFrame(rows * 2, "hash long, doc_id long").repartition(4, "doc_id")
+    got = substring_dedup.dealt(prints, 8).collect()
+    assert sorted((r["hash"], r["doc_id"]) for r in got) == sorted(rows)
+    assert {r["hash"] for r in got if r["lot"] > 0} == {7}
+    lots = [sum(r["lot"] == n and r["hash"] == 7 for r in got) for n in range(9)]
+    assert lots[0] == 4 * substring_dedup.FEW and max(lots[1:]) < 2 * min(lots[1:])
+    index = substring_dedup.FingerprintIndex(spark, buckets=4)
+    run = index.append(prints)
+    assert {r["hash"] for r in index.shared(run).collect()} == {7, *range(100, 120)}
+    asked = spark.createDataFrame([(7,), (101,), (5,)], "hash long")
+    assert sorted((r["hash"], r["doc_id"]) for r in index.having(asked).collect()) == sorted((h, d) for h, d in rows if h in (7, 101))
+    assert "Exchange hashpartitioning(hash" not in index.shared(run)._jdf.queryExecution().toString()  # history isn't shuffled
+    index.drop()
+
+
 def test_second_session_opens_the_index(spark):
     text = lambda i: " ".join(f"t{i}x{j}" for j in range(30))
     old = spark.createDataFrame([(i, text(i)) for i in range(6)], "doc_id long, text string")

@@ -20,6 +20,8 @@ WINDOW, ANCHOR = 13, 5
 SETTLE_ROWS = 1 << 19
 #: Rows of a fingerprint that each task of a batch puts in lot 0 before it deals the others over further lots.
 FEW = 16
+#: Word sequences whose least document is broadcast, at most.
+MOST_HEADS = 4096
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -280,6 +282,22 @@ def removed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return docs.select("doc_id", "text_key", "text", "starts").mapInArrow(scan, schema)
 
 
+def with_heads(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text_key, n_words, words_sha) with head: the least doc_id of their word sequence, null where no other row has it.
+
+    The heads of sequences of more than 1/MOST_HEADS of all rows, which are fewer than MOST_HEADS, are broadcast; rows
+    of a large group of copies stay where they are. All others are joined by a shuffle.
+    """
+    key = ["words_sha", "n_words"]
+    heads = rows.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = written(heads, "copied")
+    large = F.col("n") > F.lit(rows.count() / MOST_HEADS)
+    split = rows.join(F.broadcast(heads.where(large).select(*key, F.col("head").alias("large_head"))), key, "left")
+    of_large = split.where("large_head is not null").withColumnRenamed("large_head", "head")
+    others = split.where("large_head is null").drop("large_head").join(heads.where(~large).select(*key, "head"), key, "left")
+    return of_large.unionByName(others)
+
+
 def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = 2, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, with_text: kept_text, for every row of docs.
 
@@ -306,8 +324,7 @@ def dedup(docs: DataFrame, index: FingerprintIndex | None = None, history: DataF
     index = index or FingerprintIndex(spark)
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     seen = written(profiles(keyed, window, anchor), "profiles")
-    heads = seen.where("doc_id is not null").groupBy("words_sha", "n_words").agg(F.min("doc_id").alias("head"))
-    seen_heads = seen.select("doc_id", "text_key", "n_words", "words_sha").join(heads, ["words_sha", "n_words"], "left")
+    seen_heads = with_heads(seen.select("doc_id", "text_key", "n_words", "words_sha"))
     plain = written(seen_heads.withColumn("copy", (F.col("n_words") >= window) & F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False))), "heads")
     first = seen.join(plain.where("not copy and doc_id is not null").select("doc_id", "text_key").distinct(), ["doc_id", "text_key"], "left_semi")
     prints = first.select("doc_id", F.explode("anchors").alias("hash"))

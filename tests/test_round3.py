@@ -33,3 +33,33 @@ def test_newest_sample_without_category(spark, copies):
     got, want = rows_of(spark, copies, "f11_block_message")
     assert got == want
     assert any(m and "blocked by history" in m for _, m, _ in got)
+
+
+@pytest.fixture
+def parts(monkeypatch):
+    """The files that a query writes for its stream, by name."""
+    from modq.plans import registry
+
+    made, before = {}, registry.fresh_path
+    monkeypatch.setattr(registry, "fresh_path", lambda spark, name: made.setdefault(name, before(spark, name)))
+    return lambda name: [f for f in os.listdir(made[name].removeprefix("file://")) if f.startswith("part-")]
+
+
+@pytest.fixture(scope="module")
+def many_files(spark, copies, tmp_path_factory):
+    """The same rows in six files, each of which is a task's."""
+    folder = str(tmp_path_factory.mktemp("files"))
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{copies}/{name}.parquet").repartition(6).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_running_counts_of_many_files(spark, many_files, parts):
+    """Both halves are written by more than one task each."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got, want = rows_of(spark, many_files, "i4_running_counts_stream")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and len(parts("samples")) > 2

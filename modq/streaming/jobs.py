@@ -84,7 +84,7 @@ def reuse_verdicts_stream(decided: DataFrame, key: str = "id", ttl: str = "1 hou
 
     A text's verdict is kept in the state store for ttl after it was made (processing time), so state is bounded by time; with the trigger
     availableNow use run_available(). Rows of one batch
-    count in the order of their key as they arrive. Texts are dealt by profile and two digits of their hash: a profile is many keys.
+    count in the order of their key. Texts are dealt by profile and two digits of their hash: a profile is many keys.
     """
     use_state_store(decided.sparkSession)
     kind = dict(decided.dtypes)[key]

@@ -63,3 +63,30 @@ def test_running_counts_of_many_files(spark, many_files, parts):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == want and len(parts("samples")) > 2
+
+
+def test_reused_verdicts_of_many_files(spark, many_files, parts):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got, want = rows_of(spark, many_files, "i2_reuse_verdicts_stream")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and len(parts("decided")) > 2
+
+
+def test_least_key_counts_first_over_frames():
+    """A batch's rows of a key may come in several frames, in any order."""
+    import pandas as pd
+
+    from modq.streaming import state
+
+    class Verdicts(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+    p = state.VerdictReuse("1 hour")
+    p.verdicts = Verdicts()
+    frame = lambda *rows: pd.DataFrame([(k, "a", h, f"by {k}", "local", None, k / 10) for k, h in rows], columns=["key", "profile", "text_hash", "decision", "source", "reason", "p"])
+    run = lambda *frames: {r.key: (r.decision, r.reused) for r in pd.concat(p.handleInputRows(("a", "0"), iter(frames), None)).itertuples()}
+    assert run(frame((7, "x"), (5, "x"), (6, "y")), frame((3, "x"), (9, "y"), (4, "x"))) == {7: ("by 3", True), 5: ("by 3", True), 3: ("by 3", False), 4: ("by 3", True), 6: ("by 6", False), 9: ("by 6", True)}
+    assert run(frame((1, "x"), (2, "z"))) == {1: ("by 3", True), 2: ("by 2", False)}

@@ -90,3 +90,16 @@ def test_least_key_counts_first_over_frames():
     run = lambda *frames: {r.key: (r.decision, r.reused) for r in pd.concat(p.handleInputRows(("a", "0"), iter(frames), None)).itertuples()}
     assert run(frame((7, "x"), (5, "x"), (6, "y")), frame((3, "x"), (9, "y"), (4, "x"))) == {7: ("by 3", True), 5: ("by 3", True), 3: ("by 3", False), 4: ("by 3", True), 6: ("by 6", False), 9: ("by 6", True)}
     assert run(frame((1, "x"), (2, "z"))) == {1: ("by 3", True), 2: ("by 2", False)}
+
+
+def test_char_grams_in_one_pass(spark):
+    """Every code point begins a run, line ends and those beyond 16 bits too; and no expression is evaluated for each run."""
+    from pyspark.sql import functions as F
+
+    from modq.functions import text as T
+
+    texts = ["abc", "a", "", None, "a\n\r b", "🙂語🙂🙂é", "\u2028\u0085x$", "  ", "aaaa"]
+    want = [[t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)] if t else [] for t in texts]
+    grams = spark.createDataFrame([(t,) for t in texts], "text string").select(T.char_ngrams(F.col("text"), 2, 4).alias("g"))
+    assert [r["g"] for r in grams.collect()] == want
+    assert "transform" not in grams._jdf.queryExecution().optimizedPlan().toString()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from modq.functions import text as T
 
 #: Bytes of text whose n-grams are in memory at once, but for one longer text.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 16
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Between a profile and a term in a key of both: no token holds white space.
 BETWEEN = "\n"
+#: Tokens that are looked up at once, but for one longer text.
+SLICE_TOKENS = 1 << 17
 
 
 def token_scores(texts: DataFrame, tokens: Column, weights: pa.Table, group: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -30,11 +32,15 @@ def token_scores(texts: DataFrame, tokens: Column, weights: pa.Table, group: str
         for batch in batches:
             lists = batch.column("score_tokens")
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            owner, flat = np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(lists)
-            if group:
-                flat = pc.binary_join_element_wise(batch.column("score_group").take(pa.array(owner)).cast(flat.type), flat, pa.scalar(BETWEEN, flat.type))
-            at = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), len(worth) - 1).to_numpy(zero_copy_only=False)
-            sums = np.bincount(owner, worth[at], minlength=len(sizes)).astype(np.float64)
+            sums, upto, row = np.zeros(len(sizes)), np.cumsum(sizes, dtype=np.int64), 0
+            while row < len(sizes):
+                end = max(int(np.searchsorted(upto, upto[row] - sizes[row] + SLICE_TOKENS, "right")), row + 1)
+                owner, flat = np.repeat(np.arange(end - row), sizes[row:end]), pc.list_flatten(lists.slice(row, end - row))
+                if group:
+                    flat = pc.binary_join_element_wise(batch.column("score_group").slice(row, end - row).take(pa.array(owner)).cast(flat.type), flat, pa.scalar(BETWEEN, flat.type))
+                at = pc.fill_null(pc.index_in(flat, value_set=known.cast(flat.type)), len(worth) - 1).to_numpy(zero_copy_only=False)
+                sums[row:end] = np.bincount(owner, worth[at], minlength=end - row)
+                row = end
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sums)], names=[*keep, "s"])
 
     kinds = dict(texts.dtypes)

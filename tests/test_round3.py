@@ -103,3 +103,21 @@ def test_char_grams_in_one_pass(spark):
     grams = spark.createDataFrame([(t,) for t in texts], "text string").select(T.char_ngrams(F.col("text"), 2, 4).alias("g"))
     assert [r["g"] for r in grams.collect()] == want
     assert "transform" not in grams._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tokens_are_looked_up_in_slices(spark, monkeypatch):
+    """A batch of rows is looked up a slice at a time; a longer text is its own slice."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from modq.functions import terms
+
+    monkeypatch.setattr(terms, "SLICE_TOKENS", terms.SLICE_TOKENS * 0 + 3)
+    texts = [None, "a b", "", "c", "a a a a b", "x", "b c", "a", None]
+    worth = {"a": 1.0, "b": 10.0, "c": 100.0}
+    rows = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "id long, profile string, text string").coalesce(1)
+    want = {i: sum(worth.get(x, 0) for x in (t or "").split()) for i, t in enumerate(texts)}
+    for group in (None, "profile"):
+        known = pa.table({"term": [(f"p{terms.BETWEEN}" if group else "") + k for k in worth], "weight": list(worth.values())})
+        got = terms.token_scores(rows, F.filter(F.split("text", " "), lambda x: x != ""), known, group, ["id"])
+        assert {r["id"]: r["s"] for r in got.collect()} == want

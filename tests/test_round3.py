@@ -121,3 +121,21 @@ def test_tokens_are_looked_up_in_slices(spark, monkeypatch):
         known = pa.table({"term": [(f"p{terms.BETWEEN}" if group else "") + k for k in worth], "weight": list(worth.values())})
         got = terms.token_scores(rows, F.filter(F.split("text", " "), lambda x: x != ""), known, group, ["id"])
         assert {r["id"]: r["s"] for r in got.collect()} == want
+
+
+def test_a_stream_of_one_batch_stores_no_frames(monkeypatch):
+    """Frames and pieces of a call that ends its stream aren't stored; long ones of a call are, and come back in their order."""
+    import test_streaming as ts
+
+    from modq.streaming import state
+
+    stored = []
+    append = ts.List.appendValue
+    monkeypatch.setattr(ts.List, "appendValue", lambda self, v: (stored.append(v), append(self, v)))
+    text = ts.body([f"piece {i} " * 20 for i in range(30)])
+    rows = [(i // 50, text[i : i + 50]) for i in range(0, len(text), 50)]
+    frames, complete, _ = ts.parsed([rows])
+    assert complete and not stored
+    monkeypatch.setattr(state, "MOST_NEW", 300)
+    assert ts.parsed([rows])[:2] == (frames, True) and stored
+    assert ts.parsed([rows[:40], rows[90:], rows[40:90]])[:2] == (frames, True)

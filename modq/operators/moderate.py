@@ -143,6 +143,7 @@ def capacity_fallback(uncertain: DataFrame, capacity: int, low: float = 0.2, hig
     """uncertain with route: review for the `capacity` rows nearest the bands' midpoint (ties by key), local_fallback
     for the rest, and violation: of these, whether p is the midpoint or more."""
     middle = (low + high) / 2
+    uncertain = written(uncertain, "uncertain")  # its scores are read twice
     stay = uncertain.orderBy(F.abs(F.col("p") - middle), key).limit(capacity).select(F.col(key).alias("stays"))
     out = uncertain.join(stay, F.col(key) == F.col("stays"), "left")
     fallback = F.col("stays").isNull()

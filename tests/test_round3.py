@@ -139,3 +139,14 @@ def test_a_stream_of_one_batch_stores_no_frames(monkeypatch):
     monkeypatch.setattr(state, "MOST_NEW", 300)
     assert ts.parsed([rows])[:2] == (frames, True) and stored
     assert ts.parsed([rows[:40], rows[90:], rows[40:90]])[:2] == (frames, True)
+
+
+def test_fallback_scores_once(spark):
+    """The scores are read twice, but made once."""
+    from modq.operators import moderate
+
+    terms = spark.createDataFrame([("a", 1.0, 2.0)], "term string, idf double, weight double")
+    texts = spark.createDataFrame([(i, "a " * (i % 3)) for i in range(9)], "id long, text string")
+    out = moderate.capacity_fallback(moderate.score_terms(texts, terms, -1.0), 2)
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in out.where("route = 'review'").collect()) == [0, 1]

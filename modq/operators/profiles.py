@@ -34,11 +34,15 @@ class Catalog(NamedTuple):
 
 
 def with_settings(rows: DataFrame, profiles: DataFrame) -> DataFrame:
-    """rows with the columns of DEFAULTS, from profiles (profile and some of them; a profile's settings stand in one row)."""
+    """rows with the columns of DEFAULTS, from profiles (profile and some of them; a profile's settings stand in one row).
+
+    profiles is written first: a table of a size that Spark knows goes to rows' tasks, and rows aren't dealt by profile, which would bring each
+    profile's texts to one task. Rows of more profiles than may be sent are dealt, and Spark cuts partitions that are too large.
+    """
     given = [c for c in DEFAULTS if c in profiles.columns]
-    own = profiles.select(F.col("profile").alias("own_profile"), F.struct(*[F.col(c).cast(TYPES[c]).alias(c) for c in given]).alias("own"))
+    own = written(profiles.select(F.col("profile").alias("own_profile"), *[F.col(c).cast(TYPES[c]).alias(f"own_{c}") for c in given]), "settings")
     joined = rows.join(own, F.col("profile") == F.col("own_profile"), "left")
-    setting = lambda c: F.coalesce(*([F.col(f"own.{c}")] if c in given else []), F.lit(DEFAULTS[c]).cast(TYPES[c]))
+    setting = lambda c: F.coalesce(*([F.col(f"own_{c}")] if c in given else []), F.lit(DEFAULTS[c]).cast(TYPES[c]))
     return joined.select(*[rows[c] for c in rows.columns if c not in DEFAULTS], *[setting(c).alias(c) for c in DEFAULTS])
 
 

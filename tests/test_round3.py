@@ -150,3 +150,18 @@ def test_fallback_scores_once(spark):
     out = moderate.capacity_fallback(moderate.score_terms(texts, terms, -1.0), 2)
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["id"] for r in out.where("route = 'review'").collect()) == [0, 1]
+
+
+def test_settings_leave_rows_where_they_are(spark):
+    """Rows of one profile aren't brought to one task by its settings."""
+    from pyspark.sql import functions as F
+
+    from modq.operators import profiles
+
+    rows = spark.range(0, 600, 1, 6).select(F.col("id"), F.when(F.col("id") % 3 > 0, "big").alias("profile"), F.lit("x").alias("text"))
+    for given in ("profile string, low double, seed long", "profile string"):
+        own = spark.createDataFrame([("big", 0.4, 7)[: given.count(",") + 1], ("other", 0.1, None)[: given.count(",") + 1]], given)
+        out = profiles.with_settings(rows, own)
+        assert out.select(F.spark_partition_id()).distinct().count() == 6
+        low, seed = (0.4, 7) if "low" in given else (0.2, 42)
+        assert {(r["profile"], r["low"], r["seed"], r["max_text"]) for r in out.collect()} == {("big", low, seed, 4000), (None, 0.2, 42, 4000)} and out.count() == 600

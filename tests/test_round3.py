@@ -165,3 +165,22 @@ def test_settings_leave_rows_where_they_are(spark):
         assert out.select(F.spark_partition_id()).distinct().count() == 6
         low, seed = (0.4, 7) if "low" in given else (0.2, 42)
         assert {(r["profile"], r["low"], r["seed"], r["max_text"]) for r in out.collect()} == {("big", low, seed, 4000), (None, 0.2, 42, 4000)} and out.count() == 600
+
+
+def test_batches_for_python_are_small(spark):
+    """A worker's batch is bounded by bytes; a session's own limit stays."""
+    import pyarrow as pa
+
+    import __spark_entry__ as entry
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    entry.queries()["f6_force_review"](spark, "/root/testdata/sf0.001")
+    rows = spark.range(0, 9000, 1, 1).selectExpr("split(repeat('word ', 300), ' ') AS t")
+    got = rows.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert len(got) > 1 and max(r["n"] for r in got) < 9 << 20
+    spark.conf.set(limit, "16m")
+    try:
+        entry.queries()["f6_force_review"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(limit) == "16m"
+    finally:
+        spark.conf.unset(limit)

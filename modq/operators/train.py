@@ -59,13 +59,10 @@ def sgd(rows: pd.DataFrame, buckets: np.ndarray | None, w: np.ndarray, bias: flo
     w, decay = w.copy(), float(np.float32(alpha))
     if not len(rows):
         return w, bias, 0
-    places = np.concatenate(rows["buckets"].to_list()).astype(np.int64)
-    places = places if buckets is None else np.searchsorted(buckets, places)
-    ends = np.cumsum([len(x) for x in rows["buckets"]])
-    for done, (y, values, end) in enumerate(zip(rows["y"], rows["values"], ends, strict=True)):
+    for done, (y, values, own_buckets) in enumerate(zip(rows["y"], rows["values"], rows["buckets"], strict=True)):
         if deadline is not None and done % 32 == 0 and time.time() >= deadline:
             return w, bias, done
-        at = places[end - len(values) : end]
+        at = own_buckets.astype(np.int64, copy=False) if buckets is None else np.searchsorted(buckets, own_buckets)
         own = w[at]
         z = bias + float(own.astype(np.float64) @ values)
         p = 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
@@ -81,7 +78,10 @@ def _epoch(shared: Broadcast, at_start: float, rate: float, alpha: float, deadli
     def step(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["turn", "id"])
         moved, bias, done = sgd(frame, None, shared.value, at_start, rate, alpha, deadline)
-        touched = np.unique(np.concatenate([np.zeros(0, np.int64), *frame["buckets"].iloc[:done]]).astype(np.int64))
+        held = np.zeros(moved.size, bool)
+        for own in frame["buckets"].iloc[:done]:
+            held[own.astype(np.int64, copy=False)] = True
+        touched = np.flatnonzero(held)
         return pd.DataFrame({"bucket": np.append(-1, touched).astype(np.int32), "weight": np.append(bias, moved[touched].astype(np.float64)), "n": done})
 
     return step

@@ -184,3 +184,23 @@ def test_batches_for_python_are_small(spark):
         assert spark.conf.get(limit) == "16m"
     finally:
         spark.conf.unset(limit)
+
+
+def test_sgd_makes_no_copy_of_a_shard(monkeypatch):
+    """A shard's buckets are used where they lie, not joined into one array."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from modq.operators import train
+
+    rng = np.random.default_rng(5)
+    buckets = [np.sort(rng.choice(5000, 500, False)).astype(np.int32) for _ in range(40)]
+    frame = pd.DataFrame({"id": range(40), "turn": [f"{i % 7}" for i in range(40)], "y": [float(i % 2) for i in range(40)], "buckets": buckets, "values": [rng.random(500) for _ in range(40)]})
+    monkeypatch.setattr(train.np, "concatenate", lambda *a, **k: pytest.fail("a copy"))
+    out = train._epoch(SimpleNamespace(value=np.zeros(5000, np.float32)), 0.1, 0.35, 1e-5, None)(frame)
+    assert out["bucket"].to_list() == [-1, *sorted({int(x) for b in buckets for x in b})]
+    known = np.unique(np.array(buckets))
+    w, bias, n = train.sgd(frame.sort_values(["turn", "id"]), known, np.zeros(known.size, np.float32), 0.1, 0.35, 1e-5)
+    assert n == 40 and bias == out["weight"][0] and (w == out["weight"].to_numpy()[1:].astype(np.float32)).all()

@@ -204,3 +204,14 @@ def test_sgd_makes_no_copy_of_a_shard(monkeypatch):
     known = np.unique(np.array(buckets))
     w, bias, n = train.sgd(frame.sort_values(["turn", "id"]), known, np.zeros(known.size, np.float32), 0.1, 0.35, 1e-5)
     assert n == 40 and bias == out["weight"][0] and (w == out["weight"].to_numpy()[1:].astype(np.float32)).all()
+
+
+def test_capacity_by_profile_scores_once(spark, monkeypatch):
+    """Scores are read for the profiles' names and for the routes, but made once."""
+    import __spark_entry__ as entry
+    from modq.plans import registry
+
+    made, before = [], registry.written
+    monkeypatch.setattr(registry, "written", lambda df, name: (made.append(name), before(df, name))[1])
+    entry.queries()["f7_capacity_by_profile"](spark, "/root/testdata/sf0.001")
+    assert made.count("scores") == 1

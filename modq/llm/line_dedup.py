@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modq.llm.linking import SKETCH, link, matching, sketch_filter
-from modq.session import release, written
+from modq.session import release, short_methods, written
 
 #: Characters of a shingle. One begins at every character of a line; a shorter line is one shingle.
 SHINGLE = 5
@@ -16,10 +16,14 @@ STEP = 32
 #: equal ones in some band with a chance of about 1 - (1 - s**ROWS)**BANDS, 0.994 at 0.8 and over 0.9999 from 0.9.
 #: Unlike lines of one language are at 0.02 to 0.1, so shorter bands would let most lines meet.
 BANDS, ROWS = 17, 6
+#: (n, bands, rows): bands of sets of n hashes or more, up to those that may link to sets below the next one's n. Long lines of one language are
+#: alike at random, the more lines the more of them; so where hashes suffice, bands are longer, and so many that the chance to meet is as above.
+TIERS = ((0, BANDS, ROWS), (154, 22, 7))
 #: A small set's bands overlap, so that it also has those of further orders: sets below BELOW[i] hashes have order i + 1. The
 #: smallest have shorter bands too: six hashes are most of such a set.
 BELOW, SHORT_ROWS = (100, 16, 16), 3
-POINTS = [(b * (1 << 64)) // BANDS - (1 << 63) for b in range(BANDS)]
+#: Lists of so many lines or fewer are compared pair by pair.
+COMPARED = 32
 #: Looks ahead for a shingle and then takes one character, so that each match begins at the next character.
 SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -48,30 +52,35 @@ def hashed_sets(lines: DataFrame, *keys: str) -> DataFrame:
     return whole.select(*keys, F.array_distinct(F.flatten("parts")).alias("x")).select(*keys, F.sort_array("x").alias("hashes"))
 
 
-def banded(sets: DataFrame, values: Column, rows: int, order: int, name: str) -> DataFrame:
+def banded(sets: DataFrame, values: Column, bands: int, rows: int, order: int, name: str) -> DataFrame:
     """sets with one value per band of values (ascending), null where these are null."""
+    points = [(b * (1 << 64)) // bands - (1 << 63) for b in range(bands)]
     # the circle, and where the points would stand among the values
-    laid = sets.select("*", F.concat(values, F.slice(values, 1, rows)).alias("circle"), F.sort_array(F.concat(values, F.array(*map(F.lit, POINTS)))).alias("marked"))
-    first = [(F.array_position("marked", F.lit(p)) - b).cast("int") for b, p in enumerate(POINTS)]
-    bands = F.array(*[F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * BANDS + b), F.slice("circle", at, rows)) for b, at in enumerate(first)])
-    return laid.select(*sets.columns, F.when(F.col("circle").isNotNull(), bands).alias(name))
+    laid = sets.select("*", F.concat(values, F.slice(values, 1, rows)).alias("circle"), F.sort_array(F.concat(values, F.array(*map(F.lit, points)))).alias("marked"))
+    first = [(F.array_position("marked", F.lit(p)) - b).cast("int") for b, p in enumerate(points)]
+    made = F.array(*[F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * 64 + b), F.slice("circle", at, rows)) for b, at in enumerate(first)])
+    return laid.select(*sets.columns, F.when(F.col("circle").isNotNull(), made).alias(name))
 
 
-def signatures(sets: DataFrame) -> DataFrame:
+def signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """h, g, n (distinct shingles), bands: one row per set (h, g, hashes).
 
-    The ROWS least values from a point on are a MinHash of ROWS values under the order that begins at that point. A small
-    set's bands share values, so that it also has those of further orders, each a rehash of the set.
+    The rows least values from a point on are a MinHash of so many values under the order that begins at that point. A small
+    set's bands share values, so that it also has those of further orders, each a rehash of the set. Two sets at the threshold have
+    a tier of bands in common: the larger has no more than 100 / threshold times the smaller's hashes.
     """
     sets = sets.withColumn("n", F.size("hashes").cast("long"))
-    sets = banded(sets, F.col("hashes"), ROWS, 0, "bands0")
-    more = ["bands0"]
     rehash = lambda order: F.sort_array(F.transform("hashes", lambda x: F.xxhash64(F.lit(order), x)))
-    for order, below, rows in [*((i, n, ROWS) for i, n in enumerate(BELOW, 1)), *((i, BELOW[-1], SHORT_ROWS) for i in range(len(BELOW) + 1))]:
-        own = sets.withColumn("own", F.when(F.col("n") < below, rehash(order)))
-        more.append(f"bands{len(more)}")
-        sets = banded(own, F.col("own"), rows, order, more[-1]).drop("own")
-    return sets.select("h", "g", "n", F.flatten(F.array_compact(F.array(*more))).alias("bands"))
+    every = []
+    for (least, bands, rows), after in zip(TIERS, [*TIERS[1:], None], strict=True):
+        most = F.lit(True) if after is None else F.col("n") * threshold <= (after[0] - 1) * 100
+        every.append(((F.col("n") >= least) & most, F.col("hashes"), bands, rows, 0))
+    every += [(F.col("n") < n, rehash(i), BANDS, ROWS, i) for i, n in enumerate(BELOW, 1)]
+    every += [(F.col("n") < BELOW[-1], rehash(i), BANDS, SHORT_ROWS, i) for i in range(len(BELOW) + 1)]
+    names = [f"bands{i}" for i in range(len(every))]
+    for name, (wanted, values, bands, rows, order) in zip(names, every, strict=True):
+        sets = banded(sets.withColumn("own", F.when(wanted, values)), F.col("own"), bands, rows, order, name).drop("own")
+    return sets.select("h", "g", "n", F.flatten(F.array_compact(F.array(*names))).alias("bands"))
 
 
 def document_key() -> list[Column]:
@@ -90,7 +99,7 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     ids = line_ids(docs)
     # a line's signature is made where its one text is: texts are shuffled, signatures are not
     lines = ids.groupBy("h", "g").agg(F.min("line").alias("line"))
-    members = written(signatures(hashed_sets(lines, "h", "g")).withColumn("node", F.monotonically_increasing_id()), "bands")
+    members = written(signatures(hashed_sets(lines, "h", "g"), threshold).withColumn("node", F.monotonically_increasing_id()), "bands")
     postings = members.select("node", "n", F.explode("bands").alias("value"))
     many = written(postings.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
     postings = written(matching(postings, many, ["value"]), "postings")
@@ -114,7 +123,7 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     def whole_sets(nodes: DataFrame) -> DataFrame:
         return hashed_sets(texts.select("node", "line").join(nodes, "node", "left_semi"), "node").select("node", F.explode("hashes").alias("value"))
 
-    linked = link(lists, verify, whole_sets, threshold)
+    linked = link(lists, verify, whole_sets, threshold, COMPARED)
     named = wanted.select("node", "h", "g").join(linked, "node")
     heads = wanted.select(F.col("node").alias("component"), F.col("h").alias("ch"), F.col("g").alias("cg"))
     out = written(named.join(heads, "component").select("h", "g", "ch", "cg"), "line-components")
@@ -149,7 +158,9 @@ def dedup_lines(docs: DataFrame, threshold: int = 80) -> DataFrame:
     document. Empty table: no rows. Other columns stay; n_lines and n_removed_lines are replaced.
     """
     docs = docs.drop("n_lines", "n_removed_lines")
-    gone = line_verdicts(docs.select("doc_id", "text"), threshold).groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
+    with short_methods(docs.sparkSession):
+        verdicts = line_verdicts(docs.select("doc_id", "text"), threshold)
+    gone = verdicts.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
     # a row travels as one struct, so that no name of its columns meets one of these
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("d"), *[c.alias(n) for c, n in zip(document_key(), ("own_doc", "own_key"), strict=True)])
     rows = packed.join(gone, F.col("own_doc").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key")), "left")

@@ -129,7 +129,7 @@ def may_be_near(threshold: int) -> Column:
     return apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int) -> DataFrame:
+def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int, compared: int = 0) -> DataFrame:
     """node, component for nodes that share a list (others are linked with nothing).
 
     postings: value, node, n (set size), rank (lower: likelier to be in the middle of its near copies).
@@ -137,7 +137,8 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
 
     Comparing all of a list of n nodes would take n * n / 2 pairs. So each list first compares its nodes
     with one, the lowest by rank: of a group of near copies most join it there. Lists that still span
-    several components are left: their nodes' whole sets go through prefix_postings(), which drops all
+    several components are left. Those of no more than `compared` nodes are compared pair by pair, which is no more than half of that for each row of
+    postings; it suits lists that unlike sets seldom share. The others' nodes' whole sets go through prefix_postings(), which drops all
     that is too far from everything, and what then shares a list in different components, at places that leave room for a
     link and with bitmaps that are near enough, is compared pair by pair. No link between components is missed; pairs within one can't change it.
     """
@@ -148,17 +149,22 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     pairs = written(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
     edges = written(verify(pairs), "links")
     known = components(edges)
-    at = postings.select("value", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    at = postings.select("value", "node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # the only pair of a list of two has been compared
-    open_ = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high and nodes > 2").select("value")
-    left = written(at.join(open_, "value", "left_semi").select("node", "component").distinct(), "spread")
+    open_ = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high and nodes > 2").select("value", "nodes")
+    open_ = written(open_, "open")
+    short = at.join(open_.where(F.col("nodes") <= compared).select("value"), "value")
+    direct = short.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(short.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb")), F.col("value") == F.col("v"))
+    direct = direct.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes("na", "nb")).select("a", "b")
+    left = written(at.join(open_.where(F.col("nodes") > compared), "value", "left_semi").select("node", "component").distinct(), "spread")
     finer = prefix_postings(whole_sets(left.select("node")), threshold)
     finer = written(finer.join(left, "node"), "finer")
     one = finer.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(f"bits{i}").alias(f"a{i}") for i in range(WORDS)])
     two = finer.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(f"bits{i}").alias(f"b{i}") for i in range(WORDS)])
     more = one.join(two, (F.col("value") == F.col("v")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_overlap(threshold) & may_be_near(threshold))
-    more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = more.select("a", "b")
+    more = written((more.union(direct) if compared else more).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = written(verify(more), "links")
     out = known if found.isEmpty() else components(edges.union(found))
-    release(pairs, edges, left, finer, more, found, *([known] if out is not known else []))
+    release(pairs, edges, open_, left, finer, more, found, *([known] if out is not known else []))
     return out

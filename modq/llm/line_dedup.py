@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ TIERS = ((0, BANDS, ROWS), (154, 22, 7))
 BELOW, SHORT_ROWS = (100, 16, 16), 3
 #: Lists of so many lines or fewer are compared pair by pair.
 COMPARED = 32
+#: Parts of the bands. A value stands in one of them alone, so that lines meet in one part after the other and no more than a part's values are in a shuffle.
+PARTS = 4
 #: Looks ahead for a shingle and then takes one character, so that each match begins at the next character.
 SHINGLES = rf"(?s)(?=(.{{{SHINGLE}}}))."
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -53,17 +57,17 @@ def hashed_sets(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def banded(sets: DataFrame, values: Column, bands: int, rows: int, order: int, name: str) -> DataFrame:
-    """sets with one value per band of values (ascending), null where these are null."""
+    """sets with one value per band of values (ascending), null where these are null: PARTS arrays of about as many bands each."""
     points = [(b * (1 << 64)) // bands - (1 << 63) for b in range(bands)]
     # the circle, and where the points would stand among the values
     laid = sets.select("*", F.concat(values, F.slice(values, 1, rows)).alias("circle"), F.sort_array(F.concat(values, F.array(*map(F.lit, points)))).alias("marked"))
     first = [(F.array_position("marked", F.lit(p)) - b).cast("int") for b, p in enumerate(points)]
-    made = F.array(*[F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * 64 + b), F.slice("circle", at, rows)) for b, at in enumerate(first)])
-    return laid.select(*sets.columns, F.when(F.col("circle").isNotNull(), made).alias(name))
+    made = [F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * 64 + b), F.slice("circle", at, rows)) for b, at in enumerate(first)]
+    return laid.select(*sets.columns, *[F.when(F.col("circle").isNotNull(), F.array(*made[i::PARTS])).alias(f"{name}_{i}") for i in range(PARTS)])
 
 
-def signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
-    """h, g, n (distinct shingles), bands: one row per set (h, g, hashes).
+def parted_signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
+    """h, g, n (distinct shingles), part0, ... (values of PARTS parts of the bands): one row per set (h, g, hashes).
 
     The rows least values from a point on are a MinHash of so many values under the order that begins at that point. A small
     set's bands share values, so that it also has those of further orders, each a rehash of the set. Two sets at the threshold have
@@ -80,7 +84,21 @@ def signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
     names = [f"bands{i}" for i in range(len(every))]
     for name, (wanted, values, bands, rows, order) in zip(names, every, strict=True):
         sets = banded(sets.withColumn("own", F.when(wanted, values)), F.col("own"), bands, rows, order, name).drop("own")
-    return sets.select("h", "g", "n", F.flatten(F.array_compact(F.array(*names))).alias("bands"))
+    return sets.select("h", "g", "n", *[F.flatten(F.array_compact(F.array(*[f"{name}_{i}" for name in names]))).alias(f"part{i}") for i in range(PARTS)])
+
+
+def signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
+    """h, g, n, bands: parted_signatures() with the parts in one array."""
+    return parted_signatures(sets, threshold).select("h", "g", "n", F.concat(*[f"part{i}" for i in range(PARTS)]).alias("bands"))
+
+
+def shared_values(members: DataFrame, part: str) -> DataFrame:
+    """value, node, n, lines (how many share the value) for the values of a part (of members: node, n, parts) that several lines share."""
+    values = members.select("node", "n", F.explode(part).alias("value"))
+    many = written(values.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
+    out = written(matching(values, many, ["value"]), "postings")
+    release(many)
+    return out
 
 
 def document_key() -> list[Column]:
@@ -99,16 +117,15 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     ids = line_ids(docs)
     # a line's signature is made where its one text is: texts are shuffled, signatures are not
     lines = ids.groupBy("h", "g").agg(F.min("line").alias("line"))
-    members = written(signatures(hashed_sets(lines, "h", "g"), threshold).withColumn("node", F.monotonically_increasing_id()), "bands")
-    postings = members.select("node", "n", F.explode("bands").alias("value"))
-    many = written(postings.groupBy("value").agg(F.count("*").alias("lines")).where("lines > 1"), "shared")
-    postings = written(matching(postings, many, ["value"]), "postings")
+    members = written(parted_signatures(hashed_sets(lines, "h", "g"), threshold).withColumn("node", F.monotonically_increasing_id()), "bands")
+    parts = [shared_values(members, f"part{i}") for i in range(PARTS)]
+    postings = functools.reduce(DataFrame.unionByName, parts)
     ranks = postings.groupBy("node").agg((-F.sum("lines")).alias("rank"))
     lists = written(postings.select("value", "node", "n").join(ranks, "node"), "lists")
     # a set takes many times its line's room, so that lines travel and sets are made where they are compared
     wanted = written(members.select("h", "g", "node", "n").join(ranks.select("node"), "node", "left_semi"), "wanted")
+    release(members, *parts)
     texts = written(matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("node").agg(F.min("n").alias("n"), F.min("line").alias("line")), "texts")
-    release(members, many, postings)
     # dealt by node before they are hashed
     placed = texts.select("node", "line").repartition("node")
     sketches = written(hashed_sets(placed, "node").select("node", F.slice("hashes", 1, SKETCH).alias("sketch")), "sketches")

@@ -1,5 +1,7 @@
 """Candidates of line_dedup: bands of long lines, short lists, and methods that HotSpot compiles."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,30 @@ def test_methods_are_short_inside_only(spark):
             assert spark.conf.get(limit) == "9000"
     finally:
         spark.conf.unset(limit)
+
+
+def test_bands_meet_part_by_part(spark, monkeypatch):
+    """No shuffle of values holds all of them, no value is in two parts, and the bands are gone when texts are gathered."""
+    asked, kept, there = [], {}, []
+    matched, wrote = line_dedup.matching, line_dedup.written
+
+    def matching(rows, small, keys, how="inner"):
+        if keys == ["value"]:
+            asked.append((rows.count(), {r["value"] for r in small.select("value").collect()}))
+        return matched(rows, small, keys, how)
+
+    def written(df, name):
+        if name == "texts":
+            there.append(Path(kept["bands"].written_to.removeprefix("file://")).exists())
+        kept[name] = wrote(df, name)
+        if name == "bands":
+            wanted = [F.size(c) for c in df.columns if c.startswith(("part", "bands"))]
+            kept["values"] = kept[name].select(F.sum(sum(wanted[1:], wanted[0]))).first()[0]
+        return kept[name]
+
+    monkeypatch.setattr(line_dedup, "matching", matching)
+    monkeypatch.setattr(line_dedup, "written", written)
+    line_dedup.line_components(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert sum(n for n, _ in asked) == kept["values"] and max(n for n, _ in asked) < 0.4 * kept["values"]
+    assert sum(len(v) for _, v in asked) == len(set().union(*(v for _, v in asked))) > 0
+    assert there == [False]

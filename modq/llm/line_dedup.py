@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modq.llm.linking import SKETCH, link, matching, sketch_filter
+from modq.llm.linking import link, matching, print_filter, prints
 from modq.session import release, short_methods, written
 
 #: Characters of a shingle. One begins at every character of a line; a shorter line is one shingle.
@@ -19,13 +19,16 @@ STEP = 32
 #: Unlike lines of one language are at 0.02 to 0.1, so shorter bands would let most lines meet.
 BANDS, ROWS = 17, 6
 #: (n, bands, rows): bands of sets of n hashes or more, up to those that may link to sets below the next one's n. Long lines of one language are
-#: alike at random, the more lines the more of them; so where hashes suffice, bands are longer, and so many that the chance to meet is as above.
-TIERS = ((0, BANDS, ROWS), (154, 22, 7))
+#: alike at random, the longer they are (0.08 from 400 hashes on, 0.15 from 800) and the more lines the more of them; so where hashes suffice, bands
+#: are longer, and so many that the chance to meet is as above.
+TIERS = ((0, BANDS, ROWS), (154, 22, 7), (400, 28, 8), (800, 57, 11))
 #: A small set's bands overlap, so that it also has those of further orders: sets below BELOW[i] hashes have order i + 1. The
 #: smallest have shorter bands too: six hashes are most of such a set.
 BELOW, SHORT_ROWS = (100, 16, 16), 3
 #: Lists of so many lines or fewer are compared pair by pair.
 COMPARED = 32
+#: Words of 64 bits of a set's parity bitmap, by which most pairs that are no link are left before their texts are gathered.
+WORDS = 16
 #: Parts of the bands. A value stands in one of them alone, so that lines meet in one part after the other and no more than a part's values are in a shuffle.
 PARTS = 4
 #: Looks ahead for a shingle and then takes one character, so that each match begins at the next character.
@@ -56,14 +59,21 @@ def hashed_sets(lines: DataFrame, *keys: str) -> DataFrame:
     return whole.select(*keys, F.array_distinct(F.flatten("parts")).alias("x")).select(*keys, F.sort_array("x").alias("hashes"))
 
 
-def banded(sets: DataFrame, values: Column, bands: int, rows: int, order: int, name: str) -> DataFrame:
-    """sets with one value per band of values (ascending), null where these are null: PARTS arrays of about as many bands each."""
-    points = [(b * (1 << 64)) // bands - (1 << 63) for b in range(bands)]
-    # the circle, and where the points would stand among the values
-    laid = sets.select("*", F.concat(values, F.slice(values, 1, rows)).alias("circle"), F.sort_array(F.concat(values, F.array(*map(F.lit, points)))).alias("marked"))
-    first = [(F.array_position("marked", F.lit(p)) - b).cast("int") for b, p in enumerate(points)]
-    made = [F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * 64 + b), F.slice("circle", at, rows)) for b, at in enumerate(first)]
-    return laid.select(*sets.columns, *[F.when(F.col("circle").isNotNull(), F.array(*made[i::PARTS])).alias(f"{name}_{i}") for i in range(PARTS)])
+def points(bands: int) -> list[Column]:
+    """The points on the circle of hashes from which bands begin."""
+    return [F.lit((b * (1 << 64)) // bands - (1 << 63)) for b in range(bands)]
+
+
+def marked(values: Column, bands: int) -> Column:
+    """values (ascending) and where the points would stand among them."""
+    return F.sort_array(F.concat(values, F.array(*points(bands))))
+
+
+def parted(circle: Column, marks: Column, bands: int, rows: int, order: int) -> list[Column]:
+    """PARTS arrays of about as many bands each, one value per band, null where there are no marks; circle: a set's values and at least the rows first ones again."""
+    first = [(F.array_position(marks, p) - b).cast("int") for b, p in enumerate(points(bands))]
+    made = [F.xxhash64(F.lit((rows * (len(BELOW) + 1) + order) * 64 + b), F.slice(circle, at, rows)) for b, at in enumerate(first)]
+    return [F.when(marks.isNotNull(), F.array(*made[i::PARTS])) for i in range(PARTS)]
 
 
 def parted_signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
@@ -73,17 +83,25 @@ def parted_signatures(sets: DataFrame, threshold: int = 80) -> DataFrame:
     set's bands share values, so that it also has those of further orders, each a rehash of the set. Two sets at the threshold have
     a tier of bands in common: the larger has no more than 100 / threshold times the smaller's hashes.
     """
-    sets = sets.withColumn("n", F.size("hashes").cast("long"))
+    n = F.size("hashes").cast("long")
+    most = [n * threshold <= (after[0] - 1) * 100 for after in TIERS[1:]] + [F.lit(True)]
+    marks = [F.when((n >= least) & m, marked(F.col("hashes"), bands)).alias(f"marks{i}") for i, ((least, bands, _), m) in enumerate(zip(TIERS, most, strict=True))]
+    circle = F.concat("hashes", F.slice("hashes", 1, max(rows for _, _, rows in TIERS)))
+    # large sets are laid out once; what small ones have besides is made without their hashes in the row
+    sets = sets.select("h", "g", n.alias("n"), F.when(n < max(BELOW), F.col("hashes")).alias("hashes"), circle.alias("circle"), *marks)
+    tiers = [[c.alias(f"tier{i}_{p}") for p, c in enumerate(parted(F.col("circle"), F.col(f"marks{i}"), bands, rows, 0))] for i, (_, bands, rows) in enumerate(TIERS)]
+    names = [f"tier{i}" for i in range(len(TIERS))]
+    sets = sets.select("h", "g", "n", "hashes", *sum(tiers, []))
     rehash = lambda order: F.sort_array(F.transform("hashes", lambda x: F.xxhash64(F.lit(order), x)))
-    every = []
-    for (least, bands, rows), after in zip(TIERS, [*TIERS[1:], None], strict=True):
-        most = F.lit(True) if after is None else F.col("n") * threshold <= (after[0] - 1) * 100
-        every.append(((F.col("n") >= least) & most, F.col("hashes"), bands, rows, 0))
-    every += [(F.col("n") < n, rehash(i), BANDS, ROWS, i) for i, n in enumerate(BELOW, 1)]
-    every += [(F.col("n") < BELOW[-1], rehash(i), BANDS, SHORT_ROWS, i) for i in range(len(BELOW) + 1)]
-    names = [f"bands{i}" for i in range(len(every))]
-    for name, (wanted, values, bands, rows, order) in zip(names, every, strict=True):
-        sets = banded(sets.withColumn("own", F.when(wanted, values)), F.col("own"), bands, rows, order, name).drop("own")
+    for order in range(len(BELOW) + 1):
+        wanted = [(below, rows) for below, rows in ((BELOW[order - 1] if order else 0, ROWS), (BELOW[-1], SHORT_ROWS)) if below]
+        laid = sets.withColumn("own", F.when(F.col("n") < max(below for below, _ in wanted), rehash(order)))
+        laid = laid.select("*", F.concat("own", F.slice("own", 1, ROWS)).alias("circle"), marked(F.col("own"), BANDS).alias("marks"))
+        for below, rows in wanted:
+            here = F.when(F.col("n") < below, F.col("marks"))
+            names.append(f"order{order}_{rows}")
+            laid = laid.withColumns({f"order{order}_{rows}_{p}": c for p, c in enumerate(parted(F.col("circle"), here, BANDS, rows, order))})
+        sets = laid.drop("own", "circle", "marks")
     return sets.select("h", "g", "n", *[F.flatten(F.array_compact(F.array(*[f"{name}_{i}" for name in names]))).alias(f"part{i}") for i in range(PARTS)])
 
 
@@ -128,8 +146,8 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     texts = written(matching(ids.select("h", "g", "line"), wanted, ["h", "g"]).groupBy("node").agg(F.min("n").alias("n"), F.min("line").alias("line")), "texts")
     # dealt by node before they are hashed
     placed = texts.select("node", "line").repartition("node")
-    sketches = written(hashed_sets(placed, "node").select("node", F.slice("hashes", 1, SKETCH).alias("sketch")), "sketches")
-    likely = sketch_filter(sketches, threshold)
+    bitmaps = written(prints(hashed_sets(placed, "node").select("node", F.explode("hashes").alias("value")), WORDS), "bitmaps")
+    likely = print_filter(bitmaps, threshold, WORDS)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = likely(pairs).join(texts.select(F.col("node").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a")
@@ -140,11 +158,11 @@ def line_components(docs: DataFrame, threshold: int = 80) -> DataFrame:
     def whole_sets(nodes: DataFrame) -> DataFrame:
         return hashed_sets(texts.select("node", "line").join(nodes, "node", "left_semi"), "node").select("node", F.explode("hashes").alias("value"))
 
-    linked = link(lists, verify, whole_sets, threshold, COMPARED)
+    linked = link(lists, verify, whole_sets, threshold, COMPARED, bitmaps)
     named = wanted.select("node", "h", "g").join(linked, "node")
     heads = wanted.select(F.col("node").alias("component"), F.col("h").alias("ch"), F.col("g").alias("cg"))
     out = written(named.join(heads, "component").select("h", "g", "ch", "cg"), "line-components")
-    release(lists, sketches, texts, wanted)
+    release(lists, bitmaps, texts, wanted)
     return out
 
 

@@ -49,6 +49,24 @@ def sketch_filter(sketches: DataFrame, threshold: int) -> Callable[[DataFrame],
     return likely
 
 
+def prints(items: DataFrame, words: int) -> DataFrame:
+    """node, n, bits0, ...: size and parity bitmap of 64 * words bits of every set (items: node, value, whole sets of hashes)."""
+    bit = F.pmod(F.xxhash64("value"), F.lit(64 * words)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)
+    each = items.select("node", bit.alias("bit")).groupBy("node", F.shiftright("bit", 6).alias("word")).agg(F.count("*").alias("n"), F.bit_xor(one).alias("bits"))
+    return each.groupBy("node").agg(F.sum("n").alias("n"), *[F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"bits{i}") for i in range(words)])
+
+
+def print_filter(made: DataFrame, threshold: int, words: int) -> Callable[[DataFrame], DataFrame]:
+    """Pairs a, b to those whose sizes and bitmaps (made: prints()) may be of a link. No link is lost."""
+    one, two = [made.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"bits{i}").alias(f"{x}{i}") for i in range(words)]) for x in "ab"]
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(two, "b").where(may_be_near(threshold, words)).select("a", "b")
+
+    return likely
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that it reaches) for every node of edges a, b.
 
@@ -120,25 +138,26 @@ def may_overlap(threshold: int) -> Column:
     return (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1) * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold
 
 
-def may_be_near(threshold: int) -> Column:
+def may_be_near(threshold: int, words: int = WORDS) -> Column:
     """Whether two sets whose bitmaps are a0, ... and b0, ... can be a link. Bitmaps differ in no more bits than the sets do in values, which are
     (100 - threshold) / (100 + threshold) * (na + nb) at most. No link is lost (Sandes et al., bitmap filter, 2020)."""
     apart = F.lit(0)
-    for i in range(WORDS):
+    for i in range(words):
         apart = apart + F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")))
     return apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
 
 
-def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int, compared: int = 0) -> DataFrame:
+def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_sets: Callable[[DataFrame], DataFrame], threshold: int, compared: int = 0, near: DataFrame | None = None) -> DataFrame:
     """node, component for nodes that share a list (others are linked with nothing).
 
     postings: value, node, n (set size), rank (lower: likelier to be in the middle of its near copies).
-    verify: pairs a, b to those of them that are links. whole_sets: nodes to node, value rows.
+    verify: pairs a, b to those of them that are links. whole_sets: nodes to node, value rows. near: prints() of the nodes, if there are any.
 
     Comparing all of a list of n nodes would take n * n / 2 pairs. So each list first compares its nodes
     with one, the lowest by rank: of a group of near copies most join it there. Lists that still span
     several components are left. Those of no more than `compared` nodes are compared pair by pair, which is no more than half of that for each row of
-    postings; it suits lists that unlike sets seldom share. The others' nodes' whole sets go through prefix_postings(), which drops all
+    postings; it suits lists that unlike sets seldom share. With near, pairs whose bitmaps are too far apart aren't made: versions of one line that are no
+    links to each other are many, with the square of their number. The others' nodes' whole sets go through prefix_postings(), which drops all
     that is too far from everything, and what then shares a list in different components, at places that leave room for a
     link and with bitmaps that are near enough, is compared pair by pair. No link between components is missed; pairs within one can't change it.
     """
@@ -154,8 +173,12 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], whole_se
     open_ = at.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes")).where("low <> high and nodes > 2").select("value", "nodes")
     open_ = written(open_, "open")
     short = at.join(open_.where(F.col("nodes") <= compared).select("value"), "value")
-    direct = short.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(short.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb")), F.col("value") == F.col("v"))
-    direct = direct.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes("na", "nb")).select("a", "b")
+    bits = [c for c in near.columns if c.startswith("bits")] if near else []
+    if near:
+        short = short.join(near.select("node", *bits), "node")
+    one, two = [[F.col(c).alias(f"{x}{i}") for i, c in enumerate(bits)] for x in "ab"]
+    direct = short.select("value", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *one).join(short.select(F.col("value").alias("v"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *two), F.col("value") == F.col("v"))
+    direct = direct.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes("na", "nb") & may_be_near(threshold, len(bits))).select("a", "b")
     left = written(at.join(open_.where(F.col("nodes") > compared), "value", "left_semi").select("node", "component").distinct(), "spread")
     finer = prefix_postings(whole_sets(left.select("node")), threshold)
     finer = written(finer.join(left, "node"), "finer")
